@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import simhash
+from cyclecast.llm import bpe, simhash
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -14,6 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
