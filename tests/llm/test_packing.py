@@ -97,7 +97,7 @@ def test_blocks_join_without_a_seam():
         got[doc_id].append(length)
         fill[sequence] += length
     assert all(sum(got[i]) == len(ids) for i, ids in docs.items())
-    assert max(fill.values()) <= 64 and sum(x < 48 for x in fill.values()) <= 1
+    assert max(fill.values()) <= 64 and sum(fill.values()) > 0.9 * 64 * (len(fill) - 1)
 
 
 def test_empty_table_and_repeated_rows(spark):
