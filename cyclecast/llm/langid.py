@@ -195,7 +195,8 @@ class Scorer:
             return "und", 0.0, None, True
         words = text.lower().split()
         size = sum(map(len, words)) + len(words)
-        entropy = -self.word_rows[self._rows(words)].sum(axis=0) / size
+        places = self._rows(words)  # may replace word_rows
+        entropy = -self.word_rows[places].sum(axis=0) / size
         best = int(entropy.argmin())
         score = 1 / np.exp(-(entropy - entropy[best]) * min(size, 50)).sum()
         rejected = letters >= LETTERS and entropy[best] > self.model.limits[best]

@@ -41,7 +41,7 @@ def test_probabilities_sum_to_one():
 def test_scorer_adds_up_character_by_character():
     model, _ = model_of(rows())
     scorer = langid.Scorer(model)
-    text = "The wasser être unknown42 the " + "x" * 5000
+    text = "The wasser être unknown42 the " + "x" * 5000 + " ".join(f" w{i}" for i in range(3000))
     total, size = np.zeros(3), 0
     for word in text.lower().split():
         w = "\x02" + word + "\x02"
