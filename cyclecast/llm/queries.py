@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, langid, packing, simhash
+from cyclecast.llm import bpe, langid, packing, simhash, urlrules
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -26,12 +26,39 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+OP4_SQL = """
+WITH rules(host, path, verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+urls AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+best AS (
+  SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS place
+  FROM urls u LEFT JOIN rules r
+    ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM best WHERE place = 1
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, window=1024)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_packing": op5_packing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL}
