@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bit per value of ``keys(key)`` modulo ``bits`` (a power of two): a filter of a fixed size.
+
+    The words are put together in Spark; the driver gets ``bits / 64`` of them at most.
+    """
+    at = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    rows = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = np.zeros(max(1, bits // 64), np.int64)
+    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it until no column of ``df`` has it (case aside)."""
     taken = {c.lower() for c in df.columns}

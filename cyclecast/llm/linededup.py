@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import fresh, map_batches
+from cyclecast.llm.common import bitmap, fresh, map_batches
 
 #: Shorter lines (in code points, without outer white space) are left alone.
 MIN_CHARS = 20
@@ -69,24 +69,18 @@ def _occurrences(docs: DataFrame, max_edits: int) -> DataFrame:
     return map_batches(docs, run, _LINE + ", keys array<long>")
 
 
-def _bitmap(occurrences: DataFrame) -> np.ndarray:
-    """Bits of the part keys that different lines share."""
+def _shared_keys(occurrences: DataFrame) -> DataFrame:
+    """The part keys that different lines share."""
     keys = occurrences.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b")
-    at = F.col("key").bitwiseAND(F.lit(BITMAP_BITS - 1).cast("long"))
-    words = shared.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    found = np.zeros(BITMAP_BITS // 64, np.int64)
-    found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+    return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
 
 
-def _variants(docs: DataFrame, bitmap) -> DataFrame:
+def _variants(docs: DataFrame, shared) -> DataFrame:
     """Of each line that meets the bitmap: its text, and (v1, v2, at) of itself (at -1) and of its
     deletions in the parts that its shared keys leave out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, mask = bitmap.value, BITMAP_BITS - 1
+        bits, mask = shared.value, BITMAP_BITS - 1
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for at, line in enumerate(lines_of(text)):
@@ -140,8 +134,8 @@ def earliest(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     exact = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     if not max_edits:
         return exact
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(occurrences))
-    lines = _variants(narrow, bitmap).checkpoint()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(_shared_keys(occurrences), BITMAP_BITS))
+    lines = _variants(narrow, shared).checkpoint()
     run, same = Window.partitionBy("v1", "v2"), Window.partitionBy("v1", "v2", "at")
     found, whole = F.struct("place", "h1"), F.col("at") == -1
     met = _neighbourhood(lines).select(

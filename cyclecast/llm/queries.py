@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, langid, linededup, packing, sharding, simhash, urlrules
+from cyclecast.llm import bpe, langid, linededup, packing, pii, sharding, simhash, urlrules
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -59,6 +59,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, window=1024)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return linededup.report(table(spark, sf_dir, "documents"))
@@ -69,6 +74,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
 
 ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL}
