@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, langid, linededup, packing, pii, sharding, simhash, urlrules
+from cyclecast.llm import bpe, langid, linededup, mtree, packing, pii, sharding, simhash, urlrules, vptree
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -64,6 +64,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return linededup.report(table(spark, sf_dir, "documents"))
@@ -74,6 +84,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
 
 ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL}
