@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "panel_item"
+from cyclecast.plans import panels
+
+FLAGSHIP = "item_panel"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (panels,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
