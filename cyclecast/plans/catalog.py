@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cyclecast.plans import panels
+from cyclecast.plans import backtests, panels
 
 FLAGSHIP = "item_panel"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (panels,):
+for module in (panels, backtests):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
