@@ -174,15 +174,29 @@ def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
     return np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1]) <= radius)
 
 
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places is connected to by the pairs."""
+    labels = np.arange(n)
+    while True:
+        low = np.minimum(labels[i], labels[j])
+        before = labels.copy()
+        np.minimum.at(labels, i, low)
+        np.minimum.at(labels, j, low)
+        labels = labels[labels]
+        if (labels == before).all():
+            return labels
+
+
 def _bucket_links(radius: int):
-    """Per sorted bucket: links of each row to every leader in reach; rows out of reach lead.
+    """Per sorted bucket: links that connect its rows, in proportion to its size.
 
-    A block's new leaders are compared with one another too. Memory is a block and the leaders,
-    however large the bucket.
+    Rows out of the leaders' reach lead, a block at a time, and are connected among themselves by one
+    link each. Any other row is linked to one leader of each component in its reach, which joins these.
+    Memory is a block and the leaders, however large the bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_f, lead_n, last = np.empty((0, 2), np.uint64), np.empty(0, np.int64), None
+        lead_f, lead_n, lead_c, last = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
             key, node, f0, f1 = (np.asarray(c) for c in batch.columns)
             f = np.stack([f0, f1], 1).view(np.uint64)  # bitwise_count takes a signed number's absolute value
@@ -190,20 +204,25 @@ def _bucket_links(radius: int):
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
             for begin, end in zip(cuts, cuts[1:]):
                 if key[begin] != last:
-                    lead_f, lead_n, last = f[:0], node[:0], key[begin]
+                    lead_f, lead_n, lead_c, last = f[:0], node[:0], node[:0], key[begin]
                 for at in range(begin, end, BLOCK):
                     x, n = f[at : min(at + BLOCK, end)], node[at : min(at + BLOCK, end)]
                     if len(lead_n):
                         i, j = _near(x, lead_f, radius)
+                        _, first = np.unique(np.stack([i, lead_c[j]], 1), axis=0, return_index=True)
+                        i, j = i[first], j[first]
                         a.append(n[i]), b.append(lead_n[j])
+                        for u, v in zip(*(np.flatnonzero(i[1:] == i[:-1]) + k for k in (0, 1))):  # a row joins two components
+                            lead_c = np.where(lead_c == lead_c[j[v]], lead_c[j[u]], lead_c)
                         free = np.ones(len(n), bool)
                         free[i] = False
                         x, n = x[free], n[free]
-                    if len(n) > 1:
-                        i, j = _near(x, x, radius)
-                        keep = i > j
-                        a.append(n[i[keep]]), b.append(n[j[keep]])
-                    lead_f, lead_n = np.concatenate([lead_f, x]), np.concatenate([lead_n, n])
+                    if not len(n):
+                        continue
+                    labels = _labels(len(n), *_near(x, x, radius))
+                    linked = np.flatnonzero(labels != np.arange(len(n)))
+                    a.append(n[linked]), b.append(n[labels[linked]])
+                    lead_f, lead_n, lead_c = np.concatenate([lead_f, x]), np.concatenate([lead_n, n]), np.concatenate([lead_c, n[labels]])
             if a:
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
