@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cyclecast.llm import vectors
 
 #: Entries of a page; pivots that rows are dealt to, at most.
-LEAF, FANOUT, PIVOTS = 96, 24, 256
+LEAF, FANOUT, PIVOTS = 384, 12, 256
 
 
 class _Node:
@@ -79,8 +79,10 @@ class MTree:
                 rows = node.rows[np.abs(far - node.from_parent) <= reach + slack]
                 self.distances += len(rows)
                 scores = (self.x[rows] @ q).astype(np.int64)
-                fit = self.ids[rows] != own
-                found = sorted([*found, *zip((-scores[fit]).tolist(), self.ids[rows][fit].tolist())])[:k]
+                fit = np.flatnonzero(self.ids[rows] != own)
+                if len(fit) > k:  # those at least as high as the page's k-th
+                    fit = fit[scores[fit] >= np.partition(scores[fit], len(fit) - k)[len(fit) - k]]
+                found = sorted([*found, *zip((-scores[fit]).tolist(), self.ids[rows[fit]].tolist())])[:k]
                 if len(found) == k:
                     reach = min(reach, float(np.sqrt(max(base + 2 * found[-1][0], 0))))
                 continue
