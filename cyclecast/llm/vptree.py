@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cyclecast.llm import vectors
 
-LEAF = 48
+LEAF = 256
 #: Recall against brute force is measured in the README.
 RELAX = 1.1
 
@@ -51,6 +51,8 @@ class VPTree:
             self.distances += len(rows)
             far = np.sqrt(((self.x[rows] - q) ** 2).sum(1))
             fit = np.flatnonzero((far <= reach) & (self.ids[rows] != own))
+            if len(fit) > k:  # those at least as near as the page's k-th
+                fit = fit[far[fit] <= np.partition(far[fit], k - 1)[k - 1]]
             if len(fit):
                 found = sorted([*found, *zip(far[fit].tolist(), self.ids[rows[fit]].tolist())])[:k]
                 if len(found) == k:
