@@ -11,6 +11,7 @@ the bytes that can still be part of one token, and states are built when first m
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cyclecast.llm.common import map_batches
 
 #: States and remembered pieces of one task; beyond that they are forgotten and built again.
-MAX_STATES, MAX_PIECES, LONGEST_PIECE = 300_000, 400_000, 64
+MAX_STATES, MAX_PIECES, LONGEST_PIECE = 400_000, 350_000, 64
 #: Ids that the decoder takes at once.
 CHUNK = 8192
 
@@ -51,10 +52,14 @@ class Transducer:
         self.edges: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # pieces of the generation before
+        self.states: dict[tuple[int, bytes], _State] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.states: dict[tuple[int, bytes], _State] = {}
+        for state in self.states.values():
+            state.next.clear()  # states refer to one another: without this only a full collection frees them
+        self.states = {}
         self.pairs.clear()
         self.start = self.states[-1, b""] = _State(b"", [-1], [])
 
@@ -151,14 +156,16 @@ class Transducer:
         return (*out, *state.final)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        found = (whole,) if whole is not None else self.encode_bytes(data)
-        if len(self.states) > MAX_STATES:
-            self.forget()
+        found = self.older.get(piece)
+        if found is None:
+            data = piece.encode()
+            whole = self.ranks.get(data)
+            found = (whole,) if whole is not None else self.encode_bytes(data)
+            if len(self.states) > MAX_STATES:
+                self.forget()
         if len(piece) <= LONGEST_PIECE:
-            if len(self.pieces) >= MAX_PIECES:
-                self.pieces.clear()
+            if len(self.pieces) >= MAX_PIECES:  # what is used again moves on, the rest goes with the next turn
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = found
         return found
 
@@ -169,6 +176,7 @@ class Transducer:
             ids = known(piece)
             if ids is None:
                 ids = self._piece(piece)
+                known = self.pieces.get
             extend(ids)
         return out
 
@@ -229,7 +237,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def transducer(path: str, pattern: str) -> Transducer:
-    """One per Python worker."""
+    """One per Python worker. Its many long-lived objects make full collections rare but costly."""
+    gc.set_threshold(50_000, 50, 1000)
     return Transducer(read_ranks(path), pattern)
 
 
