@@ -181,12 +181,13 @@ tree AS (SELECT n.*, coalesce(n_children, 0) AS n_children, coalesce(active_chil
 
 
 def _tree(base: DataFrame) -> DataFrame:
-    return hierarchy.with_parent(hierarchy.with_children(hierarchy.node_totals(panel.item_panel(base))))
+    nodes = hierarchy.node_totals(panel.item_panel(base).checkpoint()).checkpoint()  # read for children and parents too
+    return hierarchy.with_parent(hierarchy.with_children(nodes))
 
 
 @query("node_totals", sql("SELECT node, parent, cycle, items, opening_date, closing_date, window_start, round(cycle_days, 6) AS cycle_days, CAST(days_min AS BIGINT) AS days_min, CAST(days_max AS BIGINT) AS days_max, round(opening_weekday_mean, 6) AS opening_weekday_mean, round(opening_day_mean, 6) AS opening_day_mean, level FROM nodes", "panel", NODES))
 def node_totals(base):
-    return hierarchy.node_totals(panel.item_panel(base))
+    return hierarchy.node_totals(panel.item_panel(base).checkpoint())
 
 
 @query("node_children", sql("SELECT node, cycle, n_children, CAST(active_children AS BIGINT) AS active_children, round(largest_share, 6) AS largest_share, parent_actual FROM tree", "panel", NODES))
@@ -268,7 +269,7 @@ def hierarchy_metrics(base):
 
 @query("summing_edges", sql("SELECT DISTINCT node AS leaf, a AS ancestor FROM (SELECT DISTINCT " + PATHS["city"] + " AS node, unnest([" + ", ".join(PATHS.values()) + "]) AS a FROM panel)", "panel"))
 def summing(base):
-    return hierarchy.edges(hierarchy.node_totals(panel.item_panel(base)))
+    return hierarchy.edges(hierarchy.node_totals(panel.item_panel(base).checkpoint()).checkpoint())
 
 
 @query("nnls_reconcile")
