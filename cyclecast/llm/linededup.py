@@ -25,6 +25,11 @@ from cyclecast.llm.common import bitmap, fresh, map_batches
 MIN_CHARS = 20
 #: Bits of the bitmap, a fixed size: with more keys it lets more lines through and no partner is lost.
 BITMAP_BITS = 1 << 23
+#: Variants that go to Spark at once.
+VARIANTS = 1 << 15
+_PRIME = (1 << 31) - 1
+_BASES = np.random.default_rng(42).integers(1 << 20, _PRIME, (4, 1))
+_INVERSES = np.array([[pow(int(b), -1, _PRIME)] for b in _BASES.ravel()])
 _LINE = "h1 long, h2 long, doc_id long, line int"
 
 
@@ -46,7 +51,7 @@ def part_keys(line: str) -> list[tuple[int, int, int]]:
     for q in {size // 2, (size + 1) // 2}:
         third = (2 * q - 1) // 3
         parts = ((line[: 2 * third], 2 * third, size), (line[-2 * third :], 0, size - 2 * third), (line[:third] + line[-third:], third, size - third))
-        found += [(xxhash.xxh64_intdigest(f"{kind}{q} {part}".encode()) >> 1, begin, end) for kind, (part, begin, end) in enumerate(parts)]
+        found += [(xxhash.xxh64_intdigest(part, 3 * q + kind) >> 1, begin, end) for kind, (part, begin, end) in enumerate(parts)]
     return found
 
 
@@ -76,8 +81,8 @@ def _shared_keys(occurrences: DataFrame) -> DataFrame:
 
 
 def _variants(docs: DataFrame, shared) -> DataFrame:
-    """Of each line that meets the bitmap: its text, and (v1, v2, at) of itself (at -1) and of its
-    deletions in the parts that its shared keys leave out."""
+    """Of each line that meets the bitmap: its text, earliest place, and ``spans``, the begins and ends
+    of the parts that its shared keys leave out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits, mask = shared.value, BITMAP_BITS - 1
@@ -90,52 +95,80 @@ def _variants(docs: DataFrame, shared) -> DataFrame:
                 spans = {(b, e) for k, b, e in part_keys(line) if bits[k & mask]}
                 if spans:
                     h1, h2 = _signed(xxhash.xxh3_128_digest(line.encode()))
-                    deleted = sorted({i for b, e in spans for i in range(b, e)})
-                    for column, value in zip(out, (h1, h2, doc_id, at, line, deleted)):
+                    for column, value in zip(out, (h1, h2, doc_id, at, line, [x for span in sorted(spans) for x in span])):
                         column.append(value)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line", "text", "deleted"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line", "text", "spans"])
 
-    met = map_batches(docs, run, _LINE + ", text string, deleted array<int>")
-    return met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.any_value("text").alias("text"), F.any_value("deleted").alias("deleted"))
+    met = map_batches(docs, run, _LINE + ", text string, spans array<int>")
+    return met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.any_value("text").alias("text"), F.any_value("spans").alias("spans"))
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the bases, a row each."""
+    out, step = np.ones((4, 1), np.int64), _BASES
+    while out.shape[1] < n:
+        out = np.concatenate([out, out * step % _PRIME], 1)
+        step = step * step % _PRIME
+    return out[:, :n]
+
+
+def variant_keys(line: str, deleted: np.ndarray) -> np.ndarray:
+    """Two numbers for the line, then for it without the character at each place of ``deleted``.
+
+    Polynomial hashes, four residues of 31 bits: from sums over the characters before and behind a
+    place, all variants of a line cost time and memory in proportion to its length.
+    """
+    codes = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.int64) + 1
+    before = np.zeros((4, len(codes) + 1), np.int64)
+    np.cumsum(codes * _powers(len(codes)) % _PRIME, axis=1, out=before[:, 1:])
+    before %= _PRIME
+    whole = before[:, -1:]
+    rest = (before[:, deleted] + (whole - before[:, deleted + 1]) % _PRIME * _INVERSES) % _PRIME
+    residues = np.concatenate([whole, rest], 1)
+    return np.stack([residues[0] << 31 | residues[1], residues[2] << 31 | residues[3]], 1)
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
+    """(v1, v2, at) of each line itself (at -1) and of its deletions within its spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["v1", "v2", "at", "h1", "place"]
+        def out(rows: list[int], keys: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
+            v, take = np.concatenate(keys), pa.array(np.repeat(rows, [len(x) for x in at]))
+            columns = [pa.array(np.ascontiguousarray(v[:, 0])), pa.array(np.ascontiguousarray(v[:, 1])), pa.array(np.concatenate(at).astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*columns, batch.column("h1").take(take), batch.column("place").take(take)], ["v1", "v2", "at", "h1", "place"])
+
         for batch in batches:
-            for begin in range(0, batch.num_rows, 64):
-                piece = batch.slice(begin, 64)
-                rows, digests, at = [], [], []
-                for i, (text, deleted) in enumerate(zip(piece.column("text").to_pylist(), piece.column("deleted").to_pylist())):
-                    rows += [i] * (len(deleted) + 1)
-                    at += [-1, *deleted]
-                    digests.append(xxhash.xxh3_128_digest(text.encode()))
-                    digests += [xxhash.xxh3_128_digest((text[:k] + text[k + 1 :]).encode()) for k in deleted]
-                if rows:
-                    v = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    take = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v[:, 0])), pa.array(np.ascontiguousarray(v[:, 1])), pa.array(at, pa.int32()), piece.column("h1").take(take), piece.column("place").take(take)], names)
-
-    return lines.select("h1", "place", "text", "deleted").mapInArrow(run, "v1 long, v2 long, at int, h1 long, place struct<doc_id: long, line: int>")
-
-
-def earliest(docs: DataFrame, max_edits: int = 1) -> DataFrame:
+            rows, keys, at, n = [], [], [], 0
+            for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans").to_pylist())):
+                deleted = np.unique(np.concatenate([np.arange(b, e) for b, e in zip(spans[::2], spans[1::2])]))
+                rows.append(i), keys.append(variant_keys(text.as_py(), deleted)), at.append(np.concatenate([[-1], deleted]))
+                n += len(at[-1])
+                if n >= VARIANTS:
+                    yield out(rows, keys, at)
+                    rows, keys, at, n = [], [], [], 0
+            if rows:
+                yield out(rows, keys, at)
+
+    return lines.select("h1", "place", "text", "spans").mapInArrow(run, "v1 long, v2 long, at int, h1 long, place struct<doc_id: long, line: int>")
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def earliest(docs: DataFrame, occurrences: DataFrame, max_edits: int = 1) -> DataFrame:
     """``(h1, h2, first)`` of the lines that another line repeats: the place of the earliest one.
 
     Lines that share a variant are never paired: in sorted runs of a variant, the line that is the
     variant takes the earliest of those that reach it by a deletion and they take its place, and of
     those with the same place deleted each takes the earliest.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    occurrences = _occurrences(narrow, max_edits)
     exact = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     if not max_edits:
         return exact
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(_shared_keys(occurrences), BITMAP_BITS))
-    lines = _variants(narrow, shared).checkpoint()
+    lines = _variants(_narrow(docs), shared).checkpoint()
     run, same = Window.partitionBy("v1", "v2"), Window.partitionBy("v1", "v2", "at")
     found, whole = F.struct("place", "h1"), F.col("at") == -1
     met = _neighbourhood(lines).select(
@@ -160,9 +193,11 @@ def dropped_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
     of under ``MIN_CHARS`` code points stay. Rows with one doc_id are one place: none is before the
     other. Null ids come first and lose no line.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    placed = _occurrences(narrow, 0).select("h1", "h2", "doc_id", "line")
-    late = placed.join(earliest(docs, max_edits), ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("first"))
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits must be 0 or 1")
+    occurrences = _occurrences(_narrow(docs), max_edits).checkpoint()
+    placed = occurrences.select("h1", "h2", "doc_id", "line")
+    late = placed.join(earliest(docs, occurrences, max_edits), ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("first"))
     late = late.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))).alias("dropped"))
     return late.select("doc_id", F.sort_array("dropped").alias("dropped"))
 
