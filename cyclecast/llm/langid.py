@@ -35,7 +35,7 @@ HELD = 5
 #: of at least ``LETTERS`` letters.
 QUANTILE, SLACK, LETTERS = 0.999, 1.6, 20
 #: Words that a worker remembers the scores of.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 EDGE = "\x02"
 
 
