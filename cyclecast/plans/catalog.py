@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cyclecast.plans import backtests, panels, planning, shapes
+from cyclecast.plans import backtests, levels, panels, planning, shapes
 
 FLAGSHIP = "item_panel"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (panels, backtests, shapes, planning):
+for module in (panels, backtests, shapes, planning, levels):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
