@@ -16,6 +16,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import batched
 from pathlib import Path
 
 import pyarrow as pa
@@ -90,11 +91,12 @@ class Transducer:
     def _fits(self, before: int, token: int) -> bool:
         """Whether the merges leave the two as they are (before < 0: the token alone): no merge across
         the boundary comes before the one that takes its left part, or before or with its right part's."""
-        right = self._edge(token)
-        if right is None or before < 0:
-            return right is not None
         found = self.pairs.get(before << 32 | token)
         if found is None:
+            right = self._edge(token)
+            if right is None or before < 0:
+                found = self.pairs[before << 32 | token] = right is not None
+                return found
             left, right, rank = self._edge(before)[1], right[0], self.ranks.get
             i = j = 0
             while True:
@@ -115,15 +117,21 @@ class Transducer:
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         pending, ends, size = state.pending + bytes((byte,)), state.ends, self.size
-        n = len(pending)
+        n, rank, begins, known = len(pending), self.ranks.get, self.begins, self.pairs.get
+        chosen, still = None, []
         for begin in (*state.open, n - 1):
-            token = self.ranks.get(pending[begin:])
-            if token is not None and self._fits(ends[begin], token):
-                break
-        else:
+            tail = pending[begin:]
+            if chosen is None:
+                token = rank(tail)
+                if token is not None:
+                    fits = known(ends[begin] << 32 | token)
+                    if self._fits(ends[begin], token) if fits is None else fits:
+                        chosen = token
+            if tail in begins:
+                still.append(begin)
+        if chosen is None:
             raise ValueError(f"no token for the byte {byte:#x}")
-        ends = [*ends, token]
-        still = [at for at in (*state.open, n - 1) if pending[at:] in self.begins]
+        ends = [*ends, chosen]
         cut = n
         for at in still:  # the last boundary that all open places come from
             while at != cut:
@@ -208,13 +216,9 @@ class Utf8Stream:
 
 def decode_stream(token: dict[int, bytes], ids: Iterable[int]) -> Iterator[str]:
     """Text of the ids, as soon as its code points are complete."""
-    stream, chunk = Utf8Stream(), []
-    for i in ids:
-        chunk.append(token[i])
-        if len(chunk) == CHUNK:
-            yield stream.feed(b"".join(chunk))
-            chunk = []
-    yield stream.feed(b"".join(chunk))
+    stream = Utf8Stream()
+    for chunk in batched(ids, CHUNK):
+        yield stream.feed(b"".join(map(token.__getitem__, chunk)))
     yield stream.finish()
 
 
@@ -283,7 +287,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for value in batch.column(1).to_pylist():
             ids = machine.encode(text_of(value))
             counts.append(len(ids))
-            of_ids.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
             decoded = hashlib.sha256()
             for part in decode_stream(token, ids):
                 decoded.update(part.encode())
