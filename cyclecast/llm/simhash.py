@@ -187,16 +187,32 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return labels
 
 
+def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Which pairs of places join the components ``comp`` (a place each), and the components then.
+
+    Each component takes its last pair at a time, so a group is a chain and has no hub.
+    """
+    taken, left = [], np.arange(len(i))
+    while True:
+        left = left[comp[i[left]] != comp[j[left]]]
+        if not len(left):
+            return taken, comp
+        _, at = np.unique(comp[i[left]][::-1], return_index=True)
+        at = left[len(left) - 1 - at]
+        taken.append(at)
+        comp = _labels(len(comp), comp[i[at]], comp[j[at]])[comp]
+
+
 def _bucket_links(radius: int):
     """Per sorted bucket: links that connect its rows, in proportion to its size.
 
-    Rows out of the leaders' reach lead, a block at a time, and are connected among themselves by one
-    link each. Any other row is linked to one leader of each component in its reach, which joins these.
-    Memory is a block and the leaders, however large the bucket.
+    Every row is compared with all earlier ones of its bucket, a block with a block at a time, also
+    across batches; a pair is a link if its ends aren't connected by then. Memory is a bucket's
+    fingerprints and the pairs of two blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_f, lead_n, lead_c, last = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), None
+        own_f, own_n, comp, last = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
             key, node, f0, f1 = (np.asarray(c) for c in batch.columns)
             f = np.stack([f0, f1], 1).view(np.uint64)  # bitwise_count takes a signed number's absolute value
@@ -204,25 +220,19 @@ def _bucket_links(radius: int):
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
             for begin, end in zip(cuts, cuts[1:]):
                 if key[begin] != last:
-                    lead_f, lead_n, lead_c, last = f[:0], node[:0], node[:0], key[begin]
+                    own_f, own_n, comp, last = f[:0], node[:0], node[:0], key[begin]
                 for at in range(begin, end, BLOCK):
-                    x, n = f[at : min(at + BLOCK, end)], node[at : min(at + BLOCK, end)]
-                    if len(lead_n):
-                        i, j = _near(x, lead_f, radius)
-                        _, first = np.unique(np.stack([i, lead_c[j]], 1), axis=0, return_index=True)
-                        i, j = i[first], j[first]
-                        a.append(n[i]), b.append(lead_n[j])
-                        for u, v in zip(*(np.flatnonzero(i[1:] == i[:-1]) + k for k in (0, 1))):  # a row joins two components
-                            lead_c = np.where(lead_c == lead_c[j[v]], lead_c[j[u]], lead_c)
-                        free = np.ones(len(n), bool)
-                        free[i] = False
-                        x, n = x[free], n[free]
-                    if not len(n):
-                        continue
-                    labels = _labels(len(n), *_near(x, x, radius))
-                    linked = np.flatnonzero(labels != np.arange(len(n)))
-                    a.append(n[linked]), b.append(n[labels[linked]])
-                    lead_f, lead_n, lead_c = np.concatenate([lead_f, x]), np.concatenate([lead_n, n]), np.concatenate([lead_c, n[labels]])
+                    x, base = f[at : min(at + BLOCK, end)], len(own_n)
+                    own_f, own_n = np.concatenate([own_f, x]), np.concatenate([own_n, node[at : at + len(x)]])
+                    comp = np.concatenate([comp, np.arange(base, len(own_n))])
+                    for low in [base, *range(0, base, BLOCK)]:
+                        i, j = _near(x, own_f[low : len(own_n) if low == base else min(low + BLOCK, base)], radius)
+                        i, j = i + base, j + low
+                        i, j = i[i > j], j[i > j]
+                        if len(i):
+                            taken, comp = _spanning(comp, i, j)
+                            a += [own_n[i[t]] for t in taken]
+                            b += [own_n[j[t]] for t in taken]
             if a:
                 pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -116,3 +117,11 @@ def test_wide_links_in_a_long_bucket(spark, monkeypatch):
             rows.append((c * 100 + k, *(v - 2**64 if v >> 63 else v for v in (x >> 64, x & (2**64 - 1)))))
     nodes = common.components(simhash.link_wide(spark.createDataFrame(rows, "node long, f0 long, f1 long")))
     assert {r.node: r.component for r in nodes.collect()} == {n: n // 100 * 100 for n, _, _ in rows}
+
+
+def test_bucket_links_compare_covered_rows():
+    leader, x, y = 0, (1 << 20) - 1, (1 << 40) - 1  # x is within 24 of both, y only of x
+    rows = [(7, n, f, 0) for n, f in enumerate([leader, x, y])]
+    batches = [pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in r], ["key", "node", "f0", "f1"]) for r in rows]
+    found = [tuple(r.values()) for out in simhash._bucket_links(24)(iter(batches)) for r in out.to_pylist()]
+    assert found == [(1, 0), (2, 1)]
