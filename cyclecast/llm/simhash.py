@@ -3,7 +3,8 @@
 A fingerprint holds, for each bit, whether over half of a text's word shingles have it in their
 hash. ``link_exactly`` cuts 64-bit fingerprints into two segments, enumerates the small Hamming
 balls in them, fetches what the tables hold under those keys and verifies whole distances.
-``link_wide`` does the same with 128-bit fingerprints at a larger radius, inside sorted buckets.
+``link_wide`` finds candidates by wider fingerprints at a larger radius, inside sorted buckets;
+``link_alike`` verifies them by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -147,26 +148,37 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
 
 # -- wide fingerprints ------------------------------------------------------------------------------
 
-#: 8 segments of 16 bits. Of texts whose five-word shingles have similarity 0.8, one bit in 6.6
-#: differs (0.9: one in 9.6): 19 of 128 bits on average, deviation 4. Balls of radius 1 find 93 of
-#: 100 such pairs (0.85: 97, 0.9: 99.6) by some segment, and groups of copies by more than one pair.
-WIDE_SEGMENTS, WIDE_BITS, WIDE_RADIUS = 8, 16, 24
+#: Segments of 16 bits, four a lane; balls of radius 1 in each. Of texts whose five-word shingles have
+#: similarity 0.8, one bit in 6.6 differs, so 16 segments of four lanes find 994 of 1000 such pairs by
+#: some segment. The distance is that of the first two lanes: 19 of 128 bits on average, deviation 4,
+#: so ``WIDE_RADIUS`` allows for over three deviations; what it lets through is verified.
+WIDE_BITS, WIDE_LANES, WIDE_RADIUS = 16, 4, 34
+#: Least Jaccard similarity of the sets of shingles: NUMERATOR / DENOMINATOR.
+NUMERATOR, DENOMINATOR = 4, 5
 #: Rows of a bucket that are compared at once.
 BLOCK = 1024
+#: Pairs that a row tries with one other component, after those of ``link_wide``; at last all of them.
+TRIES = (16, BLOCK)
 
 
-def _wide_keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    node, f0, f1 = (np.asarray(c) for c in batch.columns)
-    lanes = np.stack([f0, f1], 1).astype(">i8").view(">u2").astype(np.int64).reshape(-1, WIDE_SEGMENTS)
-    bits = 1 << np.arange(WIDE_BITS)
-    at, key = [], []
-    for s in range(WIDE_SEGMENTS):
-        own = lanes[:, s]
-        row, bit = np.nonzero(own[:, None] & bits)
-        at += [np.arange(len(own)), row]
-        key += [own | s << WIDE_BITS, (own[row] ^ bits[bit]) | s << WIDE_BITS]
-    at = np.concatenate(at)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(key), node[at], f0[at], f1[at])], ["key", "node", "f0", "f1"])
+def _wide_keys(lanes: int):
+    """Per row (node, lanes, others): a row (key, node, f0, f1, others) for each key of its segments' balls."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [np.asarray(c) for c in batch.columns]
+        halves = np.stack(columns[1 : 1 + lanes], 1).astype(">i8").view(">u2").astype(np.int64).reshape(-1, 4 * lanes)
+        bits = 1 << np.arange(WIDE_BITS)
+        at, key = [], []
+        for s in range(halves.shape[1]):
+            own = halves[:, s]
+            row, bit = np.nonzero(own[:, None] & bits)
+            at += [np.arange(len(own)), row]
+            key += [own | s << WIDE_BITS, (own[row] ^ bits[bit]) | s << WIDE_BITS]
+        at, carried = np.concatenate(at), [0, 1, 2, *range(1 + lanes, len(columns))]
+        names = ["key", *(batch.schema.names[c] for c in carried)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *(pa.array(columns[c][at]) for c in carried)], names)
+
+    return run
 
 
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,26 +252,154 @@ def _bucket_links(radius: int):
     return run
 
 
+def _least(i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs are among the first ``limit`` of their (i, j)."""
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+    kept = np.empty(len(i), bool)
+    kept[order] = rank < limit
+    return kept
+
+
+def _bucket_pairs(radius: int, limit: int):
+    """Per sorted bucket: pairs of rows with different labels, of a row and a label ``limit`` in two blocks.
+
+    From ``limit`` BLOCK on, these are all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = [np.empty(0, np.int64)] * 4, None
+        for batch in batches:
+            key, *columns = (np.asarray(c) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if key[begin] != last:
+                    own, last = [c[:0] for c in columns], key[begin]
+                for at in range(begin, end, BLOCK):
+                    base = len(own[0])
+                    own = [np.concatenate([o, c[at : min(at + BLOCK, end)]]) for o, c in zip(own, columns)]
+                    node, label = own[0], own[3]
+                    f = np.stack(own[1:3], 1).view(np.uint64)
+                    for low in [base, *range(0, base, BLOCK)]:
+                        i, j = _near(f[base:], f[low : len(node) if low == base else min(low + BLOCK, base)], radius)
+                        i, j = i + base, j + low
+                        open_ = (i > j) & (label[i] != label[j])
+                        i, j = i[open_], j[open_]
+                        if len(i):
+                            few = _least(i, label[j], limit) & _least(j, label[i], limit)
+                            yield pa.RecordBatch.from_arrays([pa.array(node[i[few]]), pa.array(node[j[few]])], ["a", "b"])
+
+    return run
+
+
+def _meet(rows: DataFrame, function, *others: str) -> DataFrame:
+    """``function`` on the sorted buckets of ``rows(node, f0, f1, ...)``: its pairs, the greater node first."""
+    lanes = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
+    schema = ", ".join(f"{c} long" for c in ("key", "node", "f0", "f1", *others))
+    keys = map_batches(rows.select("node", *lanes, *others), _wide_keys(len(lanes)), schema)
+    pairs = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(function, "a long, b long")
+    return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def link_wide(unique: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Links ``(a, b)`` of ``unique(node, f0, f1)`` by balls of radius 1 in 8 segments of 16 bits."""
-    keys = map_batches(unique.select("node", "f0", "f1"), _wide_keys, "key long, node long, f0 long, f1 long")
-    keys = keys.repartition("key").sortWithinPartitions("key", "node")
-    links = keys.mapInArrow(_bucket_links(radius), "a long, b long")
-    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Links ``(a, b)`` of ``unique(node, f0, f1, ...)`` that connect what meets in a segment and is near in f0, f1."""
+    return _meet(unique, _bucket_links(radius))
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    return np.unique(shingle_hashes(text, words).astype(np.uint64))
+
+
+def wide_fingerprints(docs: DataFrame, words: int, lanes: int = WIDE_LANES) -> DataFrame:
+    """``(doc_id, s0, s1, f0, f1, ...)``: 128 bits that tell the set of shingles, and its fingerprint."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[int]] = [[] for _ in range(lanes + 2)]
+        for text in batch.column(1).to_pylist():
+            found = shingle_set(text, words)
+            digest = xxhash.xxh3_128_digest(found.tobytes())
+            out[0].append(int.from_bytes(digest[:8], "little", signed=True))
+            out[1].append(int.from_bytes(digest[8:], "little", signed=True))
+            found = found.astype(">u8")
+            for lane in range(lanes):
+                out[2 + lane].append(majority(_mixed(found, lane)))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in out)], names)
+
+    names = ["doc_id", "s0", "s1", *(f"f{i}" for i in range(lanes))]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return map_batches(narrow, run, ", ".join(f"{n} long" for n in names))
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    if DENOMINATOR * min(len(x), len(y)) < NUMERATOR * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The ``pairs(a, b)`` of doc_ids whose texts' sets of shingles have the least similarity."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = ([[np.frombuffer(s, np.uint64) for s in row] for row in batch.column(c).to_pylist()] for c in (2, 3))
+        return batch.select(["a", "b"]).filter(pa.array([any(_alike(p, q) for p in u for q in v) for u, v in zip(x, y)]))
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    held = map_batches(asked, sets, "node long, set binary").groupBy("node").agg(F.collect_set("set").alias("sets"))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("sets").alias("x")), "a")
+    both = both.join(held.select(F.col("node").alias("b"), F.col("sets").alias("y")), "b")
+    return map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long")
+
+
+def link_alike(docs: DataFrame, unique: DataFrame, words: int, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Verified links that connect all near pairs of ``unique`` whose shingles are alike.
+
+    The first candidates connect what is near. Where one fails, so that its ends stay apart, further
+    pairs of the parts are tried, at last all that meet; so no failed candidate hides a true one, and
+    groups of true copies, which the first links connect, are never paired.
+    """
+    pairs = link_wide(unique, radius).checkpoint()
+    links = verified(docs, pairs, words).checkpoint()
+    if pairs.count() == links.count():
+        return links
+    groups = components(pairs).checkpoint()
+    for limit in TRIES:
+        labels = components(links).checkpoint()
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+        ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        failed = ends.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        parted = failed.select(F.col("a").alias("node")).join(groups, "node").select("component").distinct()
+        rest = groups.join(parted, "component", "left_semi").select("node")
+        rest = unique.join(rest, "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        more = _meet(rest, _bucket_pairs(radius, limit), "label").join(pairs, ["a", "b"], "left_anti").checkpoint()
+        if more.isEmpty():
+            break
+        links, pairs = links.union(verified(docs, more, words)).checkpoint(), pairs.union(more)
+    return links
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """The documents of ``docs`` without near-duplicates: of each group the smallest doc_id stays.
 
-    Groups: texts whose five-word shingles are alike by 0.8 or more, as 128-bit fingerprints tell
-    (``WIDE_RADIUS`` allows for one deviation), and all that such links connect. Texts without a word
-    are no group and stay. Rows with one doc_id are one document: they stay or go together. Rows
-    with a null doc_id stay. All columns of ``docs`` are kept.
+    Groups: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, and all that
+    such links connect. Candidates come from wide fingerprints and each is verified; copies of one set
+    meet without. Texts without a word are no group and stay. Rows with one doc_id are one document:
+    they stay or go together. Rows with a null doc_id stay. All columns of ``docs`` are kept.
     """
     blank = ~F.col("text").rlike("[^ \\t-\\r]")
-    rows = fingerprints(docs.where(F.col("doc_id").isNotNull() & ~blank), words, 2).checkpoint()
-    unique = rows.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"))
-    same = rows.join(unique, ["f0", "f1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = components(same.union(link_wide(unique, radius)))
+    rows = docs.where(F.col("doc_id").isNotNull() & ~blank).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = wide_fingerprints(rows, words).checkpoint()
+    lanes = [f"f{i}" for i in range(WIDE_LANES)]
+    unique = prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), *(F.first(f).alias(f) for f in lanes)).checkpoint()
+    same = prints.join(unique, ["s0", "s1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = components(same.union(link_alike(rows, unique.select("node", *lanes), words, radius)))
     gone = nodes.where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
