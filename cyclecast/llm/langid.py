@@ -18,7 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclecast.llm.common import fresh, map_batches
@@ -29,7 +29,8 @@ ORDER = 5
 #: doc_id, with about so many characters in all; of the languages the most frequent ones. The model's
 #: size and everything sent to the driver or broadcast are bounded by these, not by the corpus.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGS = 400, 1_000_000, 1000
-#: One sampled text in so many only calibrates the rejection.
+#: Of a language's sampled texts each so many-th only calibrates the rejection; fewer texts are all
+#: learnt from.
 HELD = 5
 #: Rejected: cross-entropy over ``SLACK`` times the calibration texts' quantile ``QUANTILE``, in texts
 #: of at least ``LETTERS`` letters.
@@ -207,14 +208,17 @@ def sample(docs: DataFrame) -> DataFrame:
     """Labelled texts by language: about ``SAMPLE_DOCS`` of each, by the hash of doc_id."""
     sizes = docs.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS)
     at = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1).cast("long"))) / F.lit(float(1 << 40))
-    return docs.join(F.broadcast(sizes), "lang").where(at * F.col("_n") < SAMPLE_DOCS).select("lang", "text", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(HELD)).alias("part"))
+    return docs.join(F.broadcast(sizes), "lang").where(at * F.col("_n") < SAMPLE_DOCS).select("lang", "text", (F.row_number().over(Window.partitionBy("lang").orderBy(at, F.xxhash64("text"))) % HELD).alias("part"))
 
 
 def learn(labelled: DataFrame) -> Model:
     """A model of each language in ``labelled(doc_id, text, lang)``.
 
     The n-grams of the sample are counted in Spark, per language, and the bounded counts meet on the
-    driver. Null texts and languages are not learnt from; with none left the model has no language.
+    driver. Of a language with over ``SAMPLE_CHARS`` characters each text's first part is learnt from,
+    in proportion to its length. Null texts and languages are not learnt from; with none left the model
+    has no language. Texts that get their own language calibrate its limit; where there are none, the
+    limit is that of all languages' calibration texts together.
     """
     known = labelled.where("text is not null and lang is not null")
     picked = sample(known).checkpoint()
@@ -232,11 +236,12 @@ def learn(labelled: DataFrame) -> Model:
             names = list(grams)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), pa.array([grams[g] for g in names], pa.int64())], ["lang", "gram", "n"])
 
-    sizes = {r.lang: r.n for r in picked.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in picked.where(F.col("part") != 0).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     shares = {lang: min(1.0, SAMPLE_CHARS / max(1, n)) for lang, n in sizes.items()}
     share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang")), F.lit(1.0)) if shares else F.lit(1.0)
-    fit = picked.where(F.col("part") != 0).where(F.abs(F.xxhash64("text") % 1_000_000) < share * 1_000_000)
-    counted = fit.select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    part = F.substring("text", F.lit(1), F.ceil(share * F.length("text")).cast("int"))
+    fit = picked.where(F.col("part") != 0).select("lang", part.alias("text"))
+    counted = fit.mapInArrow(count, "lang string, gram string, n long")
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
         counts[r.lang][r.gram] = r.n
@@ -244,8 +249,10 @@ def learn(labelled: DataFrame) -> Model:
     model.limits = [float("inf")] * len(model.langs)
     if model.langs:
         scored = predict(picked.where(F.col("part") == 0).select("lang", "text"), model, columns=("lang_pred", "entropy"))
-        limits = scored.where("entropy is not null").groupBy("lang_pred").agg(F.percentile("entropy", F.lit(QUANTILE)).alias("q"))
-        model.limits = [SLACK * q if (q := found.get(lang)) else float("inf") for found in [dict(limits.collect())] for lang in model.langs]
+        quantile = F.percentile("entropy", F.lit(QUANTILE)).alias("q")
+        found = dict(scored.where("entropy is not null and lang_pred = lang").rollup("lang_pred").agg(quantile).collect())
+        pooled = found.get(None)
+        model.limits = [float("inf") if pooled is None else SLACK * found.get(lang, pooled) for lang in model.langs]
     return model
 
 

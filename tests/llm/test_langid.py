@@ -83,3 +83,16 @@ def test_rejects_what_no_model_explains():
     model.limits = [2.0] * 3
     scorer = langid.Scorer(model)
     assert scorer.judge("qxzj kvqw " * 20)[3] and not scorer.judge("the water over that shore and the thing")[3]
+
+
+def test_rare_languages_reject_and_are_learnt(spark, monkeypatch):
+    common.prepare(spark)
+    few = [(2000, "zq", "xx"), *((3000 + i, "kot pies dom woda las " * 4, f"r{i}") for i in range(12))]
+    docs = spark.createDataFrame([*((i, t, lang) for i, t, lang, _ in rows()), *few], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert {*WORDS, "xx", *(f"r{i}" for i in range(12))} == set(model.langs)  # a single text is learnt from
+    assert np.isfinite(model.limits).all()
+    noise = spark.createDataFrame([("".join(random.Random(5).choices("bcdfghjkmnpqvxz", k=300)),)], "text string")
+    assert langid.predict(noise, model).first().rejected
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 100)  # few long texts are learnt from in part, never left out
+    assert set(langid.learn(docs).langs) == set(model.langs)
