@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -43,7 +44,11 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """The folder of checkpoint(): spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder of checkpoint(): spark.checkpoint.dir, or a temporary one where it is unset and Spark
+    runs on this machine alone, as in tests. A cluster has to name a shared one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
