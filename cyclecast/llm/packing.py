@@ -10,10 +10,12 @@ and the minimum of a sliding window comes from a monotone queue, in time linear
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +64,26 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[
     return cuts[::-1]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a file of tokenizers takes out of a text before it splits the rest.
+
+    Those that also take white space around them, or stand only between words, aren't supported.
+    """
+    found = json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens") or []
+    for token in found:
+        if token["lstrip"] or token["rstrip"] or token["single_word"]:
+            raise ValueError(f"{path}: added token {token['content']!r} needs more than its own place")
+    return {token["content"]: token["id"] for token in found}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoder of a worker, and whether each id ends a sentence."""
-    ranks = read_ranks(path)
-    ends = np.zeros(max(ranks.values()) + 2, bool)
+    ranks, added = read_ranks(path), added_tokens(path)
+    ends = np.zeros(max([*ranks.values(), *added.values()]) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token[-1:] in (b".", b"!", b"?", b"\n")
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added), ends
 
 
 class _Packer:
@@ -126,7 +140,8 @@ class _Packer:
 def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is the ids of its text by the vocabulary in ``path`` (null: none), then ``END``. Within
+    A document is the ids of its text by the vocabulary in ``path`` (null: none), then ``END``. Added
+    tokens whose strings the text holds get their own ids, as tokenizers' encode does. Within
     each partition of ``docs`` the documents keep the order of doc_id (nulls first, then by text), so
     no text is shuffled and a task that runs again packs alike. Each id lies in one piece, pieces in
     one sequence, and only the last sequence of a task may be far from full. Rows are packed as often
@@ -145,7 +160,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, id_col:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encoder.encode_ordinary(text_of(text)), END], "<u4")
+                ids = np.array([*encoder.encode(text_of(text), allowed_special="all"), END], "<u4")
                 if pieces := list(packer.add(doc_id, ids)):
                     yield out(pieces)
         if pieces := list(packer.plan(last=True)):

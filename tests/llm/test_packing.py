@@ -35,7 +35,6 @@ def test_cuts_cost_least():
 
 def check(rows, texts, window):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
