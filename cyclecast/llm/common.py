@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,22 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cyclecast.session import checkpoints
+
 #: Rows in a batch that goes to Python; texts may be very long, so also few bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the batches sent to Python and makes sure that checkpoint() has a folder.
-
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary one of this machine is used.
-    """
+    """Bounds the batches sent to Python and makes sure that checkpoint() has a folder (see ``session``)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    checkpoints(spark)
     return spark
 
 
@@ -41,17 +35,44 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit per value of ``keys(key)`` modulo ``bits`` (a power of two): a filter of a fixed size.
+#: Least and greatest size of a bitmap, in powers of two.
+BITMAP_LEAST, BITMAP_MOST = 16, 26
+
 
-    The words are put together in Spark; the driver gets ``bits / 64`` of them at most.
+def bitmap(keys: DataFrame) -> tuple[bytes, int]:
+    """A filter of ``keys(key)``, to be asked by ``in_bitmap``: a bit per value modulo the size.
+
+    It has 16 bits a key, as far as ``BITMAP_MOST`` (8 MB) allows; beyond that it lets more through, so
+    whoever asks it joins with the keys afterwards. The words are put together in Spark.
     """
+    keys = keys.checkpoint()
+    bits = 1 << min(max((16 * keys.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
     at = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     rows = keys.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    found = np.zeros(max(1, bits // 64), np.int64)
+    found = np.zeros(bits // 64, "<i8")
     found[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(found.view(np.uint8), bitorder="little").astype(bool)
+    return found.tobytes(), bits - 1
+
+
+def in_bitmap(filter_: tuple[bytes, int], key: int) -> bool:
+    octets, mask = filter_
+    return octets[(key & mask) >> 3] >> (key & 7) & 1 == 1
+
+
+#: A key with over this part of the rows is hot, so there are at most so many hot keys.
+HOT_KEYS = 1024
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` on ``keys``, of which ``keyed`` has each once, ``n`` of them in ``rows``.
+
+    Keys with over ``total / HOT_KEYS`` rows are at most ``HOT_KEYS``: they alone are broadcast, so their
+    rows stay where they are. All others are shuffled, and none of them is more than that part.
+    """
+    hot = F.broadcast(keyed.where(F.col(n) > total // HOT_KEYS))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(keyed.where(F.col(n) <= total // HOT_KEYS), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def fresh(df: DataFrame, name: str) -> str:

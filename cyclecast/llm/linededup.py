@@ -5,8 +5,8 @@ or both with the same character's place deleted. All variants are emitted as has
 meet, the edit distance is verified and the earliest line stays.
 
 Most lines have no partner. So first each line emits three keys, of which partners share one: its
-first two thirds, its last two thirds, its outer thirds. The keys that different lines share go into
-a bitmap, and only lines that meet it emit variants, of deletions in the third left out.
+first two thirds, its last two thirds, its outer thirds. Only lines with a key that another line has
+emit variants, of deletions in the third left out.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import bitmap, fresh, map_batches
+from cyclecast.llm.common import bitmap, fresh, in_bitmap, join_counted, map_batches
 
-#: Shorter lines (in code points, without outer white space) are left alone.
-MIN_CHARS = 20
-#: Bits of the bitmap, a fixed size: with more keys it lets more lines through and no partner is lost.
-BITMAP_BITS = 1 << 23
+#: Shorter lines (in code points, without outer white space) have to be equal to repeat another.
+MIN_EDIT_CHARS = 10
 #: Variants that go to Spark at once.
 VARIANTS = 1 << 15
 _PRIME = (1 << 31) - 1
@@ -55,53 +53,71 @@ def part_keys(line: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _occurrences(docs: DataFrame, max_edits: int) -> DataFrame:
-    """Each line that takes part: its hash, place and part keys."""
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """Each line that isn't blank: its hash and place."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for at, line in enumerate(lines_of(text)):
                 line = line.strip()
-                if len(line) >= MIN_CHARS:
+                if line:
                     h1, h2 = _signed(xxhash.xxh3_128_digest(line.encode()))
-                    keys = [k for k, _, _ in part_keys(line)] if max_edits else []
-                    for column, value in zip(out, (h1, h2, doc_id, at, keys)):
+                    for column, value in zip(out, (h1, h2, doc_id, at)):
                         column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line", "keys"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line"])
 
-    return map_batches(docs, run, _LINE + ", keys array<long>")
+    return map_batches(docs, run, _LINE)
 
 
-def _shared_keys(occurrences: DataFrame) -> DataFrame:
+def _shared_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """The part keys that different lines share."""
-    keys = occurrences.select("h1", "h2", F.explode("keys").alias("key"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h1, keys, seen = [], [], set()
+        for text in batch.column(1).to_pylist():
+            for line in lines_of(text):
+                line = line.strip()
+                if len(line) >= min_chars and line not in seen:
+                    seen.add(line)
+                    own = _signed(xxhash.xxh3_128_digest(line.encode()))[0]
+                    for key, _, _ in part_keys(line):
+                        h1.append(own), keys.append(key)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(h1, pa.int64())], ["key", "h1"])
+
+    keys = map_batches(docs, run, "key long, h1 long")
     return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
 
 
-def _variants(docs: DataFrame, shared) -> DataFrame:
-    """Of each line that meets the bitmap: its text, earliest place, and ``spans``, the begins and ends
-    of the parts that its shared keys leave out."""
+def _candidates(docs: DataFrame, shared: DataFrame, min_chars: int) -> DataFrame:
+    """Of each line with shared keys: its hash, text, earliest place and these ``keys`` (at most six).
+
+    A bitmap keeps most other lines off the shuffle; the join leaves none of them.
+    """
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(shared))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, mask = shared.value, BITMAP_BITS - 1
+        met = filter_.value
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for at, line in enumerate(lines_of(text)):
                 line = line.strip()
-                if len(line) < MIN_CHARS:
+                if len(line) < min_chars:
                     continue
-                spans = {(b, e) for k, b, e in part_keys(line) if bits[k & mask]}
-                if spans:
+                keys = [k for k, _, _ in part_keys(line) if in_bitmap(met, k)]
+                if keys:
                     h1, h2 = _signed(xxhash.xxh3_128_digest(line.encode()))
-                    for column, value in zip(out, (h1, h2, doc_id, at, line, [x for span in sorted(spans) for x in span])):
+                    for column, value in zip(out, (h1, h2, doc_id, at, line, keys)):
                         column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line", "text", "spans"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h1", "h2", "doc_id", "line", "text", "keys"])
 
-    met = map_batches(docs, run, _LINE + ", text string, spans array<int>")
-    return met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.any_value("text").alias("text"), F.any_value("spans").alias("spans"))
+    met = map_batches(docs, run, _LINE + ", text string, keys array<long>")
+    met = met.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("place"), F.any_value("text").alias("text"), F.any_value("keys").alias("keys")).checkpoint()
+    held = met.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi")
+    held = held.groupBy("h1", "h2").agg(F.collect_set("key").alias("keys"))
+    return met.drop("keys").join(held, ["h1", "h2"])
 
 
 def _powers(n: int) -> np.ndarray:
@@ -130,7 +146,7 @@ def variant_keys(line: str, deleted: np.ndarray) -> np.ndarray:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(v1, v2, at) of each line itself (at -1) and of its deletions within its spans."""
+    """(v1, v2, at) of each line itself (at -1) and of its deletions in the parts that its keys leave out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[int], keys: list[np.ndarray], at: list[np.ndarray]) -> pa.RecordBatch:
@@ -140,9 +156,10 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows, keys, at, n = [], [], [], 0
-            for i, (text, spans) in enumerate(zip(batch.column("text"), batch.column("spans").to_pylist())):
-                deleted = np.unique(np.concatenate([np.arange(b, e) for b, e in zip(spans[::2], spans[1::2])]))
-                rows.append(i), keys.append(variant_keys(text.as_py(), deleted)), at.append(np.concatenate([[-1], deleted]))
+            for i, (text, shared) in enumerate(zip(batch.column("text"), batch.column("keys").to_pylist())):
+                text = text.as_py()
+                deleted = np.unique(np.concatenate([np.arange(b, e) for k, b, e in part_keys(text) if k in shared]))
+                rows.append(i), keys.append(variant_keys(text, deleted)), at.append(np.concatenate([[-1], deleted]))
                 n += len(at[-1])
                 if n >= VARIANTS:
                     yield out(rows, keys, at)
@@ -150,25 +167,26 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
             if rows:
                 yield out(rows, keys, at)
 
-    return lines.select("h1", "place", "text", "spans").mapInArrow(run, "v1 long, v2 long, at int, h1 long, place struct<doc_id: long, line: int>")
+    return lines.select("h1", "place", "text", "keys").mapInArrow(run, "v1 long, v2 long, at int, h1 long, place struct<doc_id: long, line: int>")
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
 
-def earliest(docs: DataFrame, occurrences: DataFrame, max_edits: int = 1) -> DataFrame:
-    """``(h1, h2, first)`` of the lines that another line repeats: the place of the earliest one.
+def earliest(docs: DataFrame, occurrences: DataFrame, max_edits: int = 1, min_edit_chars: int = MIN_EDIT_CHARS) -> DataFrame:
+    """``(h1, h2, first, n)`` of the lines that another line repeats: the place of the earliest one, and
+    how often the line occurs.
 
     Lines that share a variant are never paired: in sorted runs of a variant, the line that is the
     variant takes the earliest of those that reach it by a deletion and they take its place, and of
     those with the same place deleted each takes the earliest.
     """
-    exact = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    counted = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"))
     if not max_edits:
-        return exact
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(_shared_keys(occurrences), BITMAP_BITS))
-    lines = _variants(_narrow(docs), shared).checkpoint()
+        return counted.where("n > 1")
+    docs = _narrow(docs)
+    lines = _candidates(docs, _shared_keys(docs, min_edit_chars).checkpoint(), min_edit_chars).checkpoint()
     run, same = Window.partitionBy("v1", "v2"), Window.partitionBy("v1", "v2", "at")
     found, whole = F.struct("place", "h1"), F.col("at") == -1
     met = _neighbourhood(lines).select(
@@ -182,38 +200,42 @@ def earliest(docs: DataFrame, occurrences: DataFrame, max_edits: int = 1) -> Dat
     other = lines.select(F.col("h1").alias("o1"), F.col("place").alias("first"), F.col("text").alias("other_text"))
     best = best.select("h1", "place", F.col("other.h1").alias("o1"), F.col("other.place").alias("first"))
     near = best.join(mine, ["h1", "place"]).join(other, ["o1", "first"]).where(F.levenshtein("text", "other_text", 1) >= 0)
-    return exact.unionByName(near.select("h1", "h2", "first")).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    found = counted.withColumn("near", F.lit(False)).unionByName(near.select("h1", "h2", "first", F.lit(0).cast("long").alias("n"), F.lit(True).alias("near")))
+    found = found.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.max("near").alias("near"))
+    return found.where("n > 1 or near").drop("near")
 
 
-def dropped_lines(docs: DataFrame, max_edits: int = 1) -> DataFrame:
+def dropped_lines(docs: DataFrame, max_edits: int = 1, min_edit_chars: int = MIN_EDIT_CHARS) -> DataFrame:
     """``(doc_id, dropped)``: of each document that loses lines, their numbers (from 0) and first places.
 
     A line goes if a line before it, by doc_id and then by number, is equal or within ``max_edits``
     (0 or 1) insertions, deletions or substitutions of a code point, outer white space aside. Lines
-    of under ``MIN_CHARS`` code points stay. Rows with one doc_id are one place: none is before the
-    other. Null ids come first and lose no line.
+    of under ``min_edit_chars`` code points have to be equal. Blank lines stay. Rows with one doc_id are
+    one place: none is before the other. Null ids come first and lose no line. Null and empty texts
+    have no line, an empty table gives no row. The places of a very common line stay where they are.
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits must be 0 or 1")
-    occurrences = _occurrences(_narrow(docs), max_edits).checkpoint()
-    placed = occurrences.select("h1", "h2", "doc_id", "line")
-    late = placed.join(earliest(docs, occurrences, max_edits), ["h1", "h2"]).where(F.struct("doc_id", "line") > F.col("first"))
+    if max_edits not in (0, 1) or min_edit_chars < 3:
+        raise ValueError("max_edits must be 0 or 1, min_edit_chars at least 3")
+    occurrences = _occurrences(_narrow(docs)).checkpoint()
+    firsts = earliest(docs, occurrences, max_edits, min_edit_chars).checkpoint()
+    late = join_counted(occurrences, firsts, ["h1", "h2"], "n", occurrences.count()).where(F.struct("doc_id", "line") > F.col("first"))
     late = late.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))).alias("dropped"))
     return late.select("doc_id", F.sort_array("dropped").alias("dropped"))
 
 
-def dedup(docs: DataFrame, max_edits: int = 1) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 1, min_edit_chars: int = MIN_EDIT_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out of text, and ``dropped``, what ``dropped_lines`` tells.
 
     ``dropped`` (with underscores before it if ``docs`` has such a column) is null where no line went.
-    Every row stays, with all its columns.
+    Every row stays, with all its columns; rows with null ids or texts stay as they are. An empty table
+    gives no row.
     """
-    gone = dropped_lines(docs, max_edits).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    numbers = F.transform("_gone", lambda x: x["line"])
+    key, dropped = fresh(docs, "_id"), fresh(docs, "dropped")
+    gone = dropped_lines(docs, max_edits, min_edit_chars).select(F.col("doc_id").alias(key), F.col("dropped").alias(dropped))
+    numbers = F.transform(dropped, lambda x: x["line"])
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), F.col("_gone").alias(fresh(docs, "dropped")))
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left").withColumn("text", text).drop(key)
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:

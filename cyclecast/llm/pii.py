@@ -1,31 +1,34 @@
 """Personal data: patterns, and terms that disclose it by how they occur with it in the corpus.
 
-An entity's kind K has the information content IC(K) = -log2 P(K), where P(K) is the share of the
-corpus' words that stand next to one. A term t tells PMI(K; t) = log2 P(K | t) / P(K) of it, where
-P(K | t) is the share of the term's occurrences next to one. What it tells in proportion to IC(K) is
-its disclosure, 1 if it never occurs elsewhere. Terms beyond the thresholds are generalised or
-removed where they stand next to an entity, so that a masked text doesn't give away what it held.
+A protected entity e (one address, one number) has the information content IC(e) = -log2 P(e), where
+P(e) is the share of the documents that hold it. A term t that stands near e tells
+PMI(e; t) = log2 P(e | t) / P(e) of it, where P(e | t) is the share of the documents with t that have it
+near e. What it tells in proportion to IC(e) is its disclosure, 1 if t never occurs without e. Terms
+beyond the thresholds are generalised or removed in the documents that hold e, so that a masked text
+doesn't give away whose it was. Two documents at least must show it: of an entity that stands in one
+alone nothing can be told.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import bitmap, fresh, map_batches
+from cyclecast.llm.common import bitmap, fresh, in_bitmap, join_counted, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words (three letters or more) on each side that count as next to an entity, within so many characters.
-NEAR, REACH = 4, 80
-#: Disclosure from which a term is generalised, and removed; its entities of the kind must be so many.
-GENERALISE, REMOVE, ENTITIES = 0.9, 0.98, 5
-#: Bits of the filter of terms to be counted, a fixed size; with more terms it only filters less.
-BITMAP_BITS = 1 << 22
+#: Words (three letters or more) on each side that count as near an entity.
+NEAR = 50
+#: Disclosure from which a term is generalised, and removed.
+GENERALISE, REMOVE = 0.9, 0.98
+#: Runs of non-space whose words a batch remembers.
+MAX_RUNS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -74,101 +77,171 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, str, int, int]]:
-    """(kind, hash of the entity, term, start, end) of the words next to each span, outside all spans."""
-    found = []
-    for kind, start, end in spans:
-        entity = xxhash.xxh64_intdigest(text[start:end].encode()) >> 1
-        left, right = max(0, start - REACH), min(len(text), end + REACH)
-        before = [m.span() for m in _WORD.finditer(text, left, start) if m.start() > left or left == 0][-NEAR:]
-        after = [m.span() for m in _WORD.finditer(text, end, right) if m.end() < right or right == len(text)][:NEAR]
-        for a, b in before + after:
-            if not any(s < b and a < e for _, s, e in spans):
-                found.append((kind, entity, text[a:b].lower(), a, b))
-    return found
+def entity_of(kind: str, text: str) -> int:
+    """A number for the entity, whatever its case."""
+    return xxhash.xxh64_intdigest(text.lower().encode(), KINDS.index(kind)) >> 1
+
 
+def term_key(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode(), 42) >> 1
 
-def words_of(texts: list[str | None]) -> Counter:
-    """Occurrences of each word; the words of each distinct run of non-space are sought once."""
-    runs: Counter = Counter()
-    for text in texts:
-        if text:
-            runs.update(text.split())
-    words: Counter = Counter()
-    for run, n in runs.items():
-        for word in _WORD.findall(run.lower()):
-            words[word] += n
-    return words
 
+def near_terms(text: str, spans: list[tuple[str, int, int]], wanted) -> tuple[set[tuple[int, int]], dict[int, list[tuple[int, int]]]]:
+    """(entity, term) of the words near each span whose entity is ``wanted``, and all places of each
+    term; words that overlap a span are none."""
+    wanted_spans = [(e, a, b) for kind, a, b in spans if wanted(e := entity_of(kind, text[a:b]))]
+    if not wanted_spans:
+        return set(), {}
+    covered = sorted((a, b) for _, a, b in spans)
+    words, places, at, end = [], defaultdict(list), 0, 0  # end: the last end of the spans that begin before
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(covered) and covered[at][0] < b:
+            end = max(end, covered[at][1])
+            at += 1
+        if end <= a:
+            term = term_key(m[0].lower())
+            words.append((a, term))
+            places[term].append((a, b))
+    starts, found = [a for a, _ in words], set()
+    for entity, a, _ in wanted_spans:
+        i = bisect_left(starts, a)
+        found.update((entity, term) for _, term in words[max(0, i - NEAR) : i + NEAR])
+    return found, places
 
-def _key(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode(), 42)
+
+def _row_keys():
+    key = (F.col("doc_id").cast("long"), "text")
+    return F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *key).alias("k2")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), "text")
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, k1, k2 (of its id and text), base spans, terms next to them."""
+    """Per row: doc_id, k1, k2 (of its id and text), base spans, distinct entities."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    term = pa.struct([("kind", pa.string()), ("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    names = ["doc_id", "k1", "k2", "spans", "terms"]
+    names = ["doc_id", "k1", "k2", "spans", "entities"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, terms = [], []
+        spans, entities = [], []
         for text in batch.column(3).to_pylist():
             own = base_spans(text or "")
             spans.append([dict(zip(("kind", "start", "end"), x)) for x in own])
-            terms.append([dict(zip(("kind", "entity", "term", "start", "end"), x)) for x in terms_near(text or "", own)])
-        columns = [*(batch.column(i) for i in range(3)), pa.array(spans, pa.list_(span)), pa.array(terms, pa.list_(term))]
+            entities.append(list({entity_of(kind, text[a:b]) for kind, a, b in own}))
+        columns = [*(batch.column(i) for i in range(3)), pa.array(spans, pa.list_(span)), pa.array(entities, pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), "text")
-    schema = "doc_id long, k1 long, k2 long, spans array<struct<kind: string, start: int, end: int>>, terms array<struct<kind: string, entity: long, term: string, start: int, end: int>>"
-    return map_batches(keyed, run, schema)
+    return map_batches(_keyed(docs), run, "doc_id long, k1 long, k2 long, spans array<struct<kind: string, start: int, end: int>>, entities array<long>")
 
 
-def _row_keys():
-    key = (F.col("doc_id").cast("long"), "text")
-    return F.xxhash64(*key).alias("k1"), F.xxhash64(F.lit(1), *key).alias("k2")
+def _pairs(docs: DataFrame, recurring: tuple[bytes, int]) -> DataFrame:
+    """``(entity, term, k1)``: once per row of ``docs`` for each term near one of the entities."""
+    shared = docs.sparkSession.sparkContext.broadcast(recurring)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[list[int]] = [[], [], []]
+        for key, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            spans = base_spans(text or "")
+            for entity, term in near_terms(text, spans, lambda e: in_bitmap(shared.value, e))[0] if spans else ():
+                for column, value in zip(out, (entity, term, key)):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["entity", "term", "k1"])
 
+    return map_batches(_keyed(docs), run, "entity long, term long, k1 long")
 
-def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(kind, term, disclosure)`` of the terms to generalise or remove, from counts over all ``docs``."""
-    near = found.select(F.explode("terms").alias("t")).select("t.kind", "t.term", "t.entity")
-    each = near.groupBy("kind", "term", "entity").agg(F.count("*").alias("n"))
-    terms = each.groupBy("kind", "term").agg(F.sum("n").alias("near"), F.count("*").alias("entities"))
-    kinds = terms.groupBy("kind").agg(F.sum("near").alias("kind_words"))
-    asked = terms.where(F.col("entities") >= ENTITIES)
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("term").alias("key")), BITMAP_BITS))
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, words = wanted.value, words_of(batch.column(0).to_pylist())
-        kept = {w: n for w, n in words.items() if bits[_key(w) & (BITMAP_BITS - 1)]}
-        rows = {"": sum(words.values())} | kept  # under the empty word: all
-        return pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array(list(rows.values()), pa.int64())], ["term", "n"])
+def _documents_with(docs: DataFrame, asked: tuple[bytes, int]) -> DataFrame:
+    """``(term, n)``: in how many rows each of the asked terms occurs, and others that the filter lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
 
-    counted = map_batches(docs.select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).checkpoint()
-    everything = counted.where("term = ''").select(F.col("n").alias("all_words"))
-    joined = asked.join(counted, "term").join(kinds, "kind").crossJoin(F.broadcast(everything))  # one row
-    content = F.log2(F.col("all_words") / F.col("kind_words"))
-    told = F.log2((F.col("near") / F.greatest("n", "near")) / (F.col("kind_words") / F.col("all_words")))
-    joined = joined.select("kind", "term", F.when(content > 0, told / content).otherwise(F.lit(0.0)).alias("disclosure"))
-    return joined.where(F.col("disclosure") >= GENERALISE)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        met, known, counts = shared.value, {}, defaultdict(int)
+        for text in batch.column(0).to_pylist():
+            terms = set()
+            for piece in set((text or "").split()):
+                own = known.get(piece)
+                if own is None:
+                    if len(known) >= MAX_RUNS:
+                        known.clear()
+                    own = known[piece] = tuple(k for w in _WORD.findall(piece) if in_bitmap(met, k := term_key(w.lower())))
+                if own:
+                    terms.update(own)
+            for term in terms:
+                counts[term] += 1
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    return map_batches(docs.select("text"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, tuple[bytes, int] | None]:
+    """``(entity, term, both, disclosure)`` of the terms to generalise or remove, from counts over all ``docs``,
+    and the filter of the entities that recur (None: none does)."""
+    several = F.min("k1") != F.max("k1")
+    entities = found.select(F.explode("entities").alias("entity"), "k1").groupBy("entity")
+    entities = entities.agg(F.count("*").alias("entity_rows"), several.alias("several")).where("several").drop("several").checkpoint()
+    none = found.sparkSession.createDataFrame([], "entity long, term long, both long, disclosure double")
+    if entities.isEmpty():
+        return none, None
+    recurring = bitmap(entities.select(F.col("entity").alias("key")))
+    pairs = _pairs(docs, recurring).groupBy("entity", "term").agg(F.count("*").alias("both"), several.alias("several"))
+    pairs = pairs.where("several").join(entities, "entity").checkpoint()
+    asked = bitmap(pairs.select(F.col("term").alias("key")).distinct())
+    rows = found.count()
+    told = pairs.join(_documents_with(docs, asked), "term")
+    content = F.log2(F.lit(rows) / F.col("entity_rows"))
+    tells = F.log2(F.col("both") / F.col("n") / (F.col("entity_rows") / F.lit(rows)))
+    told = told.select("entity", "term", "both", F.when(content > 0, tells / content).otherwise(F.lit(0.0)).alias("disclosure"))
+    return told.where(F.col("disclosure") >= GENERALISE), recurring
+
+
+def _places(docs: DataFrame, told: DataFrame, recurring: tuple[bytes, int]) -> DataFrame:
+    """``(k1, k2, told)``: of each row that holds disclosing terms and what they disclose, their places.
+
+    ``told`` lists start, end and disclosure of all the terms' places, by start. Repeated rows are one.
+    """
+    filters = docs.sparkSession.sparkContext.broadcast((recurring, bitmap(told.select(F.col("entity").bitwiseXOR(F.col("term")).alias("key")))))
+    schema = "k1 long, k2 long, entity long, term long, places array<struct<start: int, end: int>>"
+    place = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held, met = filters.value
+        out: list[list] = [[], [], [], [], []]
+        for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            spans = base_spans(text or "")
+            pairs, places = near_terms(text, spans, lambda e: in_bitmap(held, e)) if spans else ((), {})
+            for entity, term in pairs:
+                if in_bitmap(met, entity ^ term):
+                    for column, value in zip(out, (k1, k2, entity, term, [{"start": a, "end": b} for a, b in places[term]])):
+                        column.append(value)
+        columns = [*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.list_(place))]
+        return pa.RecordBatch.from_arrays(columns, ["k1", "k2", "entity", "term", "places"])
+
+    total = told.agg(F.sum("both")).first()[0] or 0
+    found = join_counted(map_batches(_keyed(docs), run, schema).checkpoint(), told, ["entity", "term"], "both", total)
+    terms = found.groupBy("k1", "k2", "term").agg(F.max("disclosure").alias("disclosure"), F.any_value("places").alias("places"))
+    each = terms.select("k1", "k2", F.explode("places").alias("at"), "disclosure").select("k1", "k2", F.struct("at.start", "at.end", "disclosure").alias("at"))
+    return each.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("at")).alias("told"))
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, k1, k2, spans (base ones), terms (start, end, disclosure) that disclose."""
+    """Per row: doc_id, k1, k2, spans (base ones), told (start, end, disclosure of the disclosing terms)."""
     found = found_in(docs).checkpoint()
-    near = found.select("k1", "k2", F.explode("terms").alias("t")).select("k1", "k2", "t.kind", "t.term", "t.start", "t.end").distinct()
-    told = near.join(disclosing(docs, found), ["kind", "term"])
-    told = told.groupBy("k1", "k2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    told = told.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("told"))
-    return found.drop("terms").join(told, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "spans", F.coalesce("told", F.array().cast("array<struct<start: int, end: int, disclosure: double>>")).alias("told"))
+    told, recurring = disclosing(docs, found)
+    none = F.array().cast("array<struct<start: int, end: int, disclosure: double>>")
+    if recurring is None:
+        return found.select("doc_id", "k1", "k2", "spans", none.alias("told"))
+    places = _places(docs, told.checkpoint(), recurring)
+    return found.join(places, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "spans", F.coalesce("told", none).alias("told"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` lists kind:start:end of the base kinds as listed, then of ``term``, each by start, in
-    code points, end exclusive. Null and empty texts have none. Repeated rows count as often in the
+    code points, end exclusive. A term is near an entity within ``NEAR`` words and is told wherever it
+    stands in that document. Null and empty texts have none. Repeated rows count as often in the
     corpus and get the same spans; ids may be null. An empty table gives no row.
     """
     found = spans_of(docs)

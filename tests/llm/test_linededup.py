@@ -13,11 +13,11 @@ def distance_at_most_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
-def slow(rows):
-    places = sorted((d, i, line.strip()) for d, t in rows if d is not None and t for i, line in enumerate(t.split("\n")) if len(line.strip()) >= 20)
+def slow(rows, chars=linededup.MIN_EDIT_CHARS):
+    places = sorted((d, i, line.strip()) for d, t in rows if d is not None and t for i, line in enumerate(t.split("\n")) if line.strip())
     gone = {}
     for d, i, line in places:
-        first = next(((e, j) for e, j, other in places if (e, j) < (d, i) and distance_at_most_one(line, other)), None)
+        first = next(((e, j) for e, j, other in places if (e, j) < (d, i) and (line == other or min(len(line), len(other)) >= chars and distance_at_most_one(line, other))), None)
         if first:
             gone[d, i] = first
     return gone
@@ -47,13 +47,13 @@ def test_matches_brute_force(spark):
     common.prepare(spark)
     for seed in (1, 2):
         rows = [*corpus(seed), (500, None), (501, ""), (502, "\n\n"), (503, "z" * 30000 + "\nshort")]
-        docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, dropped string").repartition(4)
+        docs = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], "doc_id long, text string, dropped string, _gone int, _id int, h1 int").repartition(4)
         gone = slow(rows)
         assert len(gone) > 40
         got = {(r.doc_id, x.line): (x.first_doc_id, x.first_line) for r in linededup.dropped_lines(docs).collect() for x in r.dropped}
         assert got == gone
         out = linededup.dedup(docs)
-        assert out.columns == ["doc_id", "text", "dropped", "_dropped"]
+        assert out.columns == [*docs.columns, "_dropped"]
         for r in out.collect():
             text = dict(rows)[r.doc_id]
             want = text if text is None or r._dropped is None else "\n".join(x for i, x in enumerate(text.split("\n")) if (r.doc_id, i) not in gone)
@@ -66,16 +66,18 @@ def test_exact_only_and_full_bitmap(spark, monkeypatch):
     seen, gone = set(), set()
     for d, t in corpus(3):
         for i, line in enumerate(t.split("\n")):
-            if len(line.strip()) >= 20:
+            if line.strip():
                 (gone if line.strip() in seen else seen).add((d, i) if line.strip() in seen else line.strip())
     assert {(r.doc_id, x.line) for r in linededup.dropped_lines(docs, 0).collect() for x in r.dropped} == gone
-    monkeypatch.setattr(linededup, "BITMAP_BITS", 64)
+    monkeypatch.setattr(common, "BITMAP_LEAST", 6)
+    monkeypatch.setattr(common, "BITMAP_MOST", 6)
     assert {(r.doc_id, x.line) for r in linededup.dropped_lines(docs, 1).collect() for x in r.dropped} == set(slow(corpus(3)))
 
 
 def test_repeated_rows_empty_table_and_stage(spark):
     common.prepare(spark)
     line = "this line is long enough to count"
+    assert linededup.dropped_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(None, line, 33), (1, line, 33), (1, line, 33), (2, f"{line}\nnew words of another long line", 64), (3, "short", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = sorted((str(r.doc_id), r.text, r.n_chars) for r in linededup.keep_new_lines(docs).collect())
@@ -83,3 +85,13 @@ def test_repeated_rows_empty_table_and_stage(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
     rep = {r.doc_id: r for r in linededup.report(docs.where("doc_id > 1")).collect()}
     assert rep[2].n_dropped == 0 and rep[3].kept_sha256 == hashlib.sha256(b"short").hexdigest()
+
+
+def test_very_common_line_and_other_bounds(spark, monkeypatch):
+    common.prepare(spark)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = [*corpus(5), *((1000 + i, f"a very common line of its own\nline number {i * 7919}\nYes.") for i in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for chars in (5, 40):
+        got = {(r.doc_id, x.line): (x.first_doc_id, x.first_line) for r in linededup.dropped_lines(docs, 1, chars).collect() for x in r.dropped}
+        assert got == slow(rows, chars)

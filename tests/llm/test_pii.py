@@ -55,53 +55,79 @@ def corpus(n=300):
     vocab = ["w" + "".join(rnd.choices("abcdefgh", k=5)) for _ in range(200)]
     rows = []
     for i in range(n):
-        words = rnd.choices(vocab, k=60)
-        if i % 4 == 0:
-            words[30:31] = ["Mailto", f"user{i}@mail{i % 9}.example.com"]
+        words = rnd.choices(vocab, k=rnd.choice([60, 200]))
+        if i % 4 == 0:  # a person, whose name stands with the address, in other case, and far from it
+            person = i // 4 % 15
+            words[30:31] = [f"NÄME{chr(97 + person)}x", "said", "write", f"user{person}@{'Mail' if i % 8 else 'mail'}.example.com"]
+            words += [f"Näme{chr(97 + person)}x"]
         if i % 7 == 0:
-            words[10:11] = ["reach", f"10.0.{i % 256}.7"]
+            words[10:11] = ["reach", f"10.0.{i % 5}.7"]
         if i % 5 == 0:
             words[50] = "reach"
+        if i % 50 == 3:
+            words[5:6] = [f"once{chr(97 + i // 50)}", f"only{i}@a.example.org"]
         rows.append((i, " ".join(words)))
-    return [*rows, (900, None), (901, ""), (902, "é mail a@b.cd"), (None, rows[0][1]), (0, rows[0][1])]
-
-
-def slow_told(rows):
-    near, entities, total, words = Counter(), defaultdict(set), 0, Counter()
-    for _, text in rows:
-        found = re.findall(r"[^\W\d_]{3,}", (text or "").lower())
-        total += len(found)
-        words.update(found)
-        for kind, entity, term, _, _ in pii.terms_near(text or "", slow_spans(text or "")):
-            near[kind, term] += 1
-            entities[kind, term].add(entity)
-    kinds = Counter()
-    for (kind, _), n in near.items():
-        kinds[kind] += n
-    out = {}
-    for (kind, term), n in near.items():
-        if len(entities[kind, term]) >= 5:
-            d = math.log2(n / words[term] / (kinds[kind] / total)) / math.log2(total / kinds[kind])
-            if d >= 0.9:
-                out[kind, term] = d
-    return out
+    return [*rows, (900, None), (901, ""), (902, "é mail a@b.cd"), (None, rows[0][1]), (0, rows[0][1]), (903, "copied text of z@y.example.com"), (904, "copied text of z@y.example.com")]
 
 
-def test_report_matches_brute_force(spark):
+def slow_terms(rows):
+    """By row: the places of terms, from sets of documents."""
+    entity_rows, near_rows, near_docs, term_rows, places = (defaultdict(set) for _ in range(5))
+    for row, (doc_id, text) in enumerate(rows):
+        text = text or ""
+        spans = slow_spans(text)
+        all_words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", text)]
+        for _, _, w in all_words:
+            term_rows[w].add(row)
+        words = [(a, b, w) for a, b, w in all_words if all(b <= s or e <= a for _, s, e in spans)]
+        for a, b, w in words:
+            places[row, w].add((a, b))
+        for kind, start, end in spans:
+            e = (kind, text[start:end].lower())
+            entity_rows[e].add(row)
+            before = [w for a, _, w in words if a < start][-50:]
+            for w in before + [w for a, _, w in words if a > start][:50]:
+                near_rows[e, w].add(row)
+                near_docs[e, w].add((doc_id, text))
+    found = defaultdict(set)
+    for (e, w), with_both in near_rows.items():
+        if len(near_docs[e, w]) > 1 and len(entity_rows[e]) < len(rows):
+            base = len(entity_rows[e]) / len(rows)
+            if math.log2(len(with_both) / len(term_rows[w]) / base) / -math.log2(base) >= 0.9:
+                for row in with_both:
+                    found[row] |= places[row, w]
+    return found
+
+
+def test_report_matches_brute_force(spark, monkeypatch):
     common.prepare(spark)
     rows = corpus()
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, spans int").repartition(3)
-    told = slow_told(rows)
-    assert ("email", "mailto") in told and all(t == "mailto" for _, t in told)
+    terms = slow_terms(rows)
+    words = {rows[row][1][a:b].lower() for row, places in terms.items() for a, b in places}
+    assert {f"näme{chr(97 + p)}x" for p in range(15)} <= words and not words & {"said", "write", "reach", "oncea"} and "copied" in words
     want = []
-    for i, text in rows:
-        text = text or ""
-        base = slow_spans(text)
-        terms = sorted({("term", a, b) for k, _, t, a, b in pii.terms_near(text, base) if (k, t) in told})
+    for row, (i, text) in enumerate(rows):
+        base = slow_spans(text or "")
         show = lambda x: ",".join(f"{k}:{a}:{b}" for k, a, b in x)
-        want.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.KINDS), hashlib.sha256(show(base).encode()).hexdigest(), show(base + terms)))
+        told = [("term", a, b) for a, b in sorted(terms[row])]
+        want.append((i, *(sum(k == kind for k, _, _ in base) for kind in pii.KINDS), hashlib.sha256(show(base).encode()).hexdigest(), show(base + told)))
+    assert Counter(map(tuple, pii.report(docs).collect())) == Counter(want)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    monkeypatch.setattr(common, "BITMAP_LEAST", 6)
+    monkeypatch.setattr(common, "BITMAP_MOST", 6)
     assert Counter(map(tuple, pii.report(docs).collect())) == Counter(want)
     assert pii.report(docs.limit(0)).count() == 0
+    assert pii.report(docs.where("doc_id = 902")).first().spans == "email:7:13"
+
+
+def test_terms_come_out_of_a_table_of_documents(spark):
+    common.prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = {(rows[row][0], ",".join(f"term:{a}:{b}" for a, b in sorted(places))) for row, places in slow_terms(rows).items() if places}
+    got = {(r.doc_id, r.spans[r.spans.index("term:") :]) for r in pii.report(docs).where("spans like '%term:%'").collect()}
+    assert got == want and len(want) > 2
 
 
 def test_sanitise_masks_and_keeps_rows(spark):
@@ -113,7 +139,7 @@ def test_sanitise_masks_and_keeps_rows(spark):
     got = out.collect()
     assert len(got) == len(rows)
     by_id = {r.doc_id: r for r in got}
-    assert "@" not in "".join(r.text or "" for r in got) and "Mailto" not in "".join(r.text or "" for r in got)
+    assert "@" not in "".join(r.text or "" for r in got) and "näme" not in "".join(r.text or "" for r in got).lower()
     assert "<EMAIL>" in by_id[0].text and "<IP>" in by_id[7].text and by_id[900].text is None
     assert all(r.n_chars == len(r.text) for r in got if r.text is not None)
     assert by_id[1].text == rows[1][1]
