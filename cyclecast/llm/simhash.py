@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate
+from math import acos, ceil, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import components, map_batches
+from cyclecast.llm.common import components, join_counted, map_batches
 
 SEED = 42
 #: Most fingerprints of a bucket that are compared in pairs; see ``link_exactly``.
@@ -136,23 +137,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     row; a null doc_id gets the component of its fingerprint and never names one unless all are null.
     """
     rows = fingerprints(docs, words, 1, id_col, text_col).checkpoint()
-    unique = rows.groupBy("f0").agg(F.min("doc_id").alias("first")).checkpoint()
+    unique = rows.groupBy("f0").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).checkpoint()
     nodes = components(link_exactly(unique, radius))
     linked = unique.join(nodes, F.col("f0") == F.col("node"))
     ids = linked.groupBy("component").agg(F.min("first").alias("linked_first"))
     linked = nodes.join(ids, "component").select(F.col("node").alias("f0"), "linked_first")
-    named = unique.join(linked, "f0", "left").select("f0", F.coalesce("linked_first", "first").alias("component_id"))
-    found = rows.join(named, "f0")
+    named = unique.join(linked, "f0", "left").select("f0", "n", F.coalesce("linked_first", "first").alias("component_id"))
+    found = join_counted(rows, named.checkpoint(), ["f0"], "n", rows.count())
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # -- wide fingerprints ------------------------------------------------------------------------------
 
-#: Segments of 16 bits, four a lane; balls of radius 1 in each. Of texts whose five-word shingles have
-#: similarity 0.8, one bit in 6.6 differs, so 16 segments of four lanes find 994 of 1000 such pairs by
-#: some segment. The distance is that of the first two lanes: 19 of 128 bits on average, deviation 4,
-#: so ``WIDE_RADIUS`` allows for over three deviations; what it lets through is verified.
-WIDE_BITS, WIDE_LANES, WIDE_RADIUS = 16, 4, 34
+#: The distance is that of the first two lanes: for texts whose five-word shingles have similarity 0.8,
+#: 19 of 128 bits on average, deviation 4; ``WIDE_RADIUS`` allows for over three deviations, and what it
+#: lets through is verified.
+WIDE_RADIUS = 34
+#: Share of the pairs at the least similarity that some segment brings together, by the binomial model.
+RECALL = 0.993
+#: Least bits of a segment, and rows that a bucket of unlike ones has on average at most.
+LEAST_BITS, BUCKET_ROWS = 16, 64
 #: Least Jaccard similarity of the sets of shingles: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Rows of a bucket that are compared at once.
@@ -161,29 +165,47 @@ BLOCK = 1024
 TRIES = (16, BLOCK)
 
 
-def _wide_keys(lanes: int):
+def wide_plan(n: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments, each with a ball of radius 1, for ``n`` rows.
+
+    Segments grow with the logarithm of ``n``, so that buckets don't grow, and so many are taken that
+    ``RECALL`` holds at every size: keys a row grow as a small power of ``n``, comparisons as the keys.
+    """
+    bits = LEAST_BITS
+    while n * (1 + bits / 2) > BUCKET_ROWS << bits:
+        bits += 1
+    least = NUMERATOR / DENOMINATOR
+    differ = acos(2 * least / (1 + least)) / pi  # of a bit, for two sets of one size
+    met = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return bits, ceil(log(1 - RECALL) / log(1 - met))
+
+
+def _wide_keys(lanes: int, bits: int, segments: int):
     """Per row (node, lanes, others): a row (key, node, f0, f1, others) for each key of its segments' balls."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [np.asarray(c) for c in batch.columns]
-        halves = np.stack(columns[1 : 1 + lanes], 1).astype(">i8").view(">u2").astype(np.int64).reshape(-1, 4 * lanes)
-        bits = 1 << np.arange(WIDE_BITS)
-        at, key = [], []
-        for s in range(halves.shape[1]):
-            own = halves[:, s]
-            row, bit = np.nonzero(own[:, None] & bits)
-            at += [np.arange(len(own)), row]
-            key += [own | s << WIDE_BITS, (own[row] ^ bits[bit]) | s << WIDE_BITS]
-        at, carried = np.concatenate(at), [0, 1, 2, *range(1 + lanes, len(columns))]
+        octets = np.stack(columns[1 : 1 + lanes], 1).astype(">i8").view(np.uint8).reshape(-1, 8 * lanes)
+        cut = np.unpackbits(octets, axis=1)[:, : bits * segments].reshape(-1, segments, bits)
+        powers = 1 << np.arange(bits)[::-1]
+        own = cut @ powers
+        row, segment, bit = np.nonzero(cut)  # from the side that has the bit set: a pair meets at the smaller key
+        at = np.concatenate([np.repeat(np.arange(len(own)), segments), row])
+        key = np.concatenate([(own | np.arange(segments) << bits).ravel(), own[row, segment] ^ powers[bit] | segment << bits])
+        carried = [0, 1, 2, *range(1 + lanes, len(columns))]
         names = ["key", *(batch.schema.names[c] for c in carried)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), *(pa.array(columns[c][at]) for c in carried)], names)
+        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(columns[c][at]) for c in carried)], names)
 
     return run
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.int16) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+
+
 def _near(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in x and y of the pairs within the radius."""
-    return np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]).astype(np.uint16) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1]) <= radius)
+    return np.nonzero(_distances(x, y) <= radius)
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -215,38 +237,84 @@ def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[np.n
         comp = _labels(len(comp), comp[i[at]], comp[j[at]])[comp]
 
 
-def _bucket_links(radius: int):
-    """Per sorted bucket: links that connect its rows, in proportion to its size.
+class _Bucket:
+    """Links that connect the rows of one bucket, block by block.
 
-    Every row is compared with all earlier ones of its bucket, a block with a block at a time, also
-    across batches; a pair is a link if its ends aren't connected by then. Memory is a bucket's
-    fingerprints and the pairs of two blocks.
+    Rows lie in clusters: each is a leader or within the radius of one and linked to it. A row is compared
+    with all leaders, and with the members of those clusters only that it isn't connected to and that the
+    triangle inequality doesn't rule out. So a large group of near copies costs no more than its rows,
+    and no pair of rows that are near stays unconnected.
     """
 
+    def __init__(self, radius: int):
+        self.radius, self.f, self.comp = radius, np.empty((0, 2), np.uint64), np.empty(0, np.int64)
+        self.leaders, self.members, self.reach = np.empty(0, np.int64), [], []
+
+    def _link(self, i: np.ndarray, j: np.ndarray) -> None:
+        apart = self.comp[i] != self.comp[j]
+        if apart.any():
+            i, j = i[apart], j[apart]
+            taken, self.comp = _spanning(self.comp, i, j)
+            self.links += [np.stack([i[t], j[t]], 1) for t in taken]
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """The links (later row, earlier row) that at most ``BLOCK`` further rows bring."""
+        self.links, base, radius = [], len(self.f), self.radius
+        self.f = np.concatenate([self.f, x])
+        self.comp = np.concatenate([self.comp, np.arange(base, len(self.f))])
+        i, j = _near(x, x, radius)
+        self._link(i[i > j] + base, j[i > j] + base)
+        far = _distances(x, self.f[self.leaders])
+        cluster = np.where((far <= radius).any(1), far.argmin(1), -1) if len(self.leaders) else np.full(len(x), -1)
+        for c in np.unique(cluster[cluster >= 0]):  # late members first: links make chains, a leader is no hub
+            rows, late = np.flatnonzero(cluster == c), self.members[c][-BLOCK:]
+            i, j = _near(x[rows], self.f[late], radius)
+            self._link(rows[i] + base, late[j])
+        i, j = np.nonzero(far <= radius)
+        self._link(i + base, self.leaders[j])
+        for c, (leader, reach) in enumerate(zip(self.leaders, self.reach)):
+            rows = np.flatnonzero((far[:, c] <= radius + reach) & (self.comp[base:] != self.comp[leader])) if reach else ()
+            for at in range(0, len(self.members[c]) if len(rows) else 0, BLOCK):
+                some = self.members[c][at : at + BLOCK]
+                i, j = _near(x[rows], self.f[some], radius)
+                self._link(rows[i] + base, some[j])
+        for c in np.unique(cluster[cluster >= 0]):
+            rows = np.flatnonzero(cluster == c)
+            self.members[c] = np.concatenate([self.members[c], rows + base])
+            self.reach[c] = max(self.reach[c], int(far[rows, c].max()))
+        left = np.flatnonzero(cluster < 0)
+        while len(left):
+            d = _distances(x[left[:1]], x[left])[0]
+            self.leaders = np.append(self.leaders, left[0] + base)
+            self.members.append(left[1:][d[1:] <= radius] + base)
+            self.reach.append(int(d[d <= radius].max()))
+            left = left[d > radius]
+        return np.concatenate(self.links) if self.links else np.empty((0, 2), np.int64)
+
+
+def _bucket_links(radius: int):
+    """Per sorted bucket, also across batches: links that connect its rows, in proportion to its size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_f, own_n, comp, last = np.empty((0, 2), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), None
+        bucket, nodes, last = _Bucket(radius), np.empty(0, np.int64), None
         for batch in batches:
             key, node, f0, f1 = (np.asarray(c) for c in batch.columns)
             f = np.stack([f0, f1], 1).view(np.uint64)  # bitwise_count takes a signed number's absolute value
-            a, b = [], []
+            found = []
             cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
             for begin, end in zip(cuts, cuts[1:]):
-                if key[begin] != last:
-                    own_f, own_n, comp, last = f[:0], node[:0], node[:0], key[begin]
+                fresh = key[begin] != last
+                if fresh and end - begin == 1 and end < len(key):  # alone: nothing to link
+                    last = key[begin]
+                    continue
+                if fresh:
+                    bucket, nodes, last = _Bucket(radius), node[:0], key[begin]
                 for at in range(begin, end, BLOCK):
-                    x, base = f[at : min(at + BLOCK, end)], len(own_n)
-                    own_f, own_n = np.concatenate([own_f, x]), np.concatenate([own_n, node[at : at + len(x)]])
-                    comp = np.concatenate([comp, np.arange(base, len(own_n))])
-                    for low in [base, *range(0, base, BLOCK)]:
-                        i, j = _near(x, own_f[low : len(own_n) if low == base else min(low + BLOCK, base)], radius)
-                        i, j = i + base, j + low
-                        i, j = i[i > j], j[i > j]
-                        if len(i):
-                            taken, comp = _spanning(comp, i, j)
-                            a += [own_n[i[t]] for t in taken]
-                            b += [own_n[j[t]] for t in taken]
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+                    to = min(at + BLOCK, end)
+                    nodes = np.concatenate([nodes, node[at:to]])
+                    found.append(nodes[bucket.add(f[at:to])])
+            pairs = np.unique(np.concatenate(found), axis=0) if found else ()
+            if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -264,9 +332,8 @@ def _least(i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
 
 
 def _bucket_pairs(radius: int, limit: int):
-    """Per sorted bucket: pairs of rows with different labels, of a row and a label ``limit`` in two blocks.
-
-    From ``limit`` BLOCK on, these are all.
+    """Per bucket sorted by label: pairs of rows with different labels, of a row and a label ``limit`` in
+    two blocks. From ``limit`` BLOCK on, these are all. Blocks of one label aren't compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +350,10 @@ def _bucket_pairs(radius: int, limit: int):
                     node, label = own[0], own[3]
                     f = np.stack(own[1:3], 1).view(np.uint64)
                     for low in [base, *range(0, base, BLOCK)]:
-                        i, j = _near(f[base:], f[low : len(node) if low == base else min(low + BLOCK, base)], radius)
+                        high = len(node) if low == base else min(low + BLOCK, base)
+                        if label[low] == label[-1]:  # in order: so are all between
+                            continue
+                        i, j = _near(f[base:], f[low:high], radius)
                         i, j = i + base, j + low
                         open_ = (i > j) & (label[i] != label[j])
                         i, j = i[open_], j[open_]
@@ -294,18 +364,18 @@ def _bucket_pairs(radius: int, limit: int):
     return run
 
 
-def _meet(rows: DataFrame, function, *others: str) -> DataFrame:
+def _meet(rows: DataFrame, function, plan: tuple[int, int], *others: str) -> DataFrame:
     """``function`` on the sorted buckets of ``rows(node, f0, f1, ...)``: its pairs, the greater node first."""
     lanes = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
     schema = ", ".join(f"{c} long" for c in ("key", "node", "f0", "f1", *others))
-    keys = map_batches(rows.select("node", *lanes, *others), _wide_keys(len(lanes)), schema)
-    pairs = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(function, "a long, b long")
+    keys = map_batches(rows.select("node", *lanes, *others), _wide_keys(len(lanes), *plan), schema)
+    pairs = keys.repartition("key").sortWithinPartitions("key", *others, "node").mapInArrow(function, "a long, b long")
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def link_wide(unique: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+def link_wide(unique: DataFrame, plan: tuple[int, int], radius: int = WIDE_RADIUS) -> DataFrame:
     """Links ``(a, b)`` of ``unique(node, f0, f1, ...)`` that connect what meets in a segment and is near in f0, f1."""
-    return _meet(unique, _bucket_links(radius))
+    return _meet(unique, _bucket_links(radius), plan)
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -313,7 +383,7 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).astype(np.uint64))
 
 
-def wide_fingerprints(docs: DataFrame, words: int, lanes: int = WIDE_LANES) -> DataFrame:
+def wide_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     """``(doc_id, s0, s1, f0, f1, ...)``: 128 bits that tell the set of shingles, and its fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -359,14 +429,14 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
-def link_alike(docs: DataFrame, unique: DataFrame, words: int, radius: int = WIDE_RADIUS) -> DataFrame:
+def link_alike(docs: DataFrame, unique: DataFrame, words: int, plan: tuple[int, int], radius: int = WIDE_RADIUS) -> DataFrame:
     """Verified links that connect all near pairs of ``unique`` whose shingles are alike.
 
     The first candidates connect what is near. Where one fails, so that its ends stay apart, further
     pairs of the parts are tried, at last all that meet; so no failed candidate hides a true one, and
     groups of true copies, which the first links connect, are never paired.
     """
-    pairs = link_wide(unique, radius).checkpoint()
+    pairs = link_wide(unique, plan, radius).checkpoint()
     links = verified(docs, pairs, words).checkpoint()
     if pairs.count() == links.count():
         return links
@@ -379,7 +449,7 @@ def link_alike(docs: DataFrame, unique: DataFrame, words: int, radius: int = WID
         parted = failed.select(F.col("a").alias("node")).join(groups, "node").select("component").distinct()
         rest = groups.join(parted, "component", "left_semi").select("node")
         rest = unique.join(rest, "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        more = _meet(rest, _bucket_pairs(radius, limit), "label").join(pairs, ["a", "b"], "left_anti").checkpoint()
+        more = _meet(rest, _bucket_pairs(radius, limit), plan, "label").join(pairs, ["a", "b"], "left_anti").checkpoint()
         if more.isEmpty():
             break
         links, pairs = links.union(verified(docs, more, words)).checkpoint(), pairs.union(more)
@@ -391,15 +461,17 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> Da
 
     Groups: texts whose sets of five-word shingles have Jaccard similarity 0.8 or more, and all that
     such links connect. Candidates come from wide fingerprints and each is verified; copies of one set
-    meet without. Texts without a word are no group and stay. Rows with one doc_id are one document:
-    they stay or go together. Rows with a null doc_id stay. All columns of ``docs`` are kept.
+    meet without. Texts without a word (null, empty, blank) are no group and stay. Rows with one doc_id are
+    one document: they stay or go together. Rows with a null doc_id stay. All columns of ``docs`` are
+    kept. An empty table gives no row. Very long texts are read whole, each in one task.
     """
     blank = ~F.col("text").rlike("[^ \\t-\\r]")
     rows = docs.where(F.col("doc_id").isNotNull() & ~blank).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = wide_fingerprints(rows, words).checkpoint()
-    lanes = [f"f{i}" for i in range(WIDE_LANES)]
+    plan = wide_plan(docs.count())
+    lanes = [f"f{i}" for i in range(max(2, -(-plan[0] * plan[1] // 64)))]
+    prints = wide_fingerprints(rows, words, len(lanes)).checkpoint()
     unique = prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), *(F.first(f).alias(f) for f in lanes)).checkpoint()
     same = prints.join(unique, ["s0", "s1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = components(same.union(link_alike(rows, unique.select("node", *lanes), words, radius)))
+    nodes = components(same.union(link_alike(rows, unique.select("node", *lanes), words, plan, radius)))
     gone = nodes.where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
@@ -43,6 +44,9 @@ def corpus(seed=1, n=60):
         words = texts[rnd.randrange(n)].split()
         words[rnd.randrange(len(words))] = "Changed"
         texts.append(" ".join(words))
+    for n in (254, 255, 256, 257, 258, 511, 512, 513, 100_000):  # shingles are counted in blocks of 255
+        words = rnd.choices(vocab, k=n)
+        texts += [" ".join(words), " ".join([*words[:-1], "Changed"])]
     return [*texts, *texts[:9], None, "", "  \n\t", "É", "a b", "A  B"]
 
 
@@ -75,8 +79,9 @@ def test_links_in_crowded_buckets_are_whole(spark, monkeypatch):
         assert [nodes.get(s, s) for s in signed] == want
 
 
-def test_empty_table_and_repeated_rows(spark):
+def test_empty_table_and_repeated_rows(spark, monkeypatch):
     common.prepare(spark)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, None)], "doc_id long, text string")
@@ -103,6 +108,30 @@ def test_keep_first_drops_near_copies_only(spark):
     assert left >= {*range(12), 900, 901} and 902 not in left and len(left) <= 16  # 93 of 100 at least
 
 
+def test_bucket_connects_all_near_rows(monkeypatch):
+    """Clusters that chain, overlap and stand alone, against all pairs; a group of copies costs its rows."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    for seed in range(12):
+        rnd = np.random.default_rng(seed)
+        centres = rnd.integers(0, 2**63, (6, 2)).astype(np.uint64)
+        x = centres[rnd.integers(0, 6, 150)]
+        for _ in range(rnd.integers(5, 40)):
+            x[np.arange(150), rnd.integers(0, 2, 150)] ^= np.uint64(1) << rnd.integers(0, 64, 150).astype(np.uint64)
+        bucket = simhash._Bucket(24)
+        links = np.concatenate([bucket.add(x[at : at + 7]) for at in range(0, 150, 7)])
+        near = simhash._distances(x, x) <= 24
+        assert near[links[:, 0], links[:, 1]].all() and len(links) < 150
+        root = simhash._labels(150, *np.nonzero(near))
+        assert (simhash._labels(150, links[:, 0], links[:, 1]) == root).all() if len(links) else (root == np.arange(150)).all()
+
+
+def test_plan_grows_with_the_rows():
+    assert simhash.wide_plan(1000) == simhash.wide_plan(300_000) == (16, 16)
+    for n in (10**6, 10**8, 10**10):
+        bits, segments = simhash.wide_plan(n)
+        assert n * (1 + bits / 2) / 2**bits <= simhash.BUCKET_ROWS and segments < 40 * (n / 10**6) ** 0.3
+
+
 def test_wide_links_in_a_long_bucket(spark, monkeypatch):
     common.prepare(spark)
     monkeypatch.setattr(simhash, "BLOCK", 4)
@@ -115,7 +144,7 @@ def test_wide_links_in_a_long_bucket(spark, monkeypatch):
             for b in rnd.sample(range(128), 6):
                 x ^= 1 << b
             rows.append((c * 100 + k, *(v - 2**64 if v >> 63 else v for v in (x >> 64, x & (2**64 - 1)))))
-    nodes = common.components(simhash.link_wide(spark.createDataFrame(rows, "node long, f0 long, f1 long")))
+    nodes = common.components(simhash.link_wide(spark.createDataFrame(rows, "node long, f0 long, f1 long"), (16, 8)))
     assert {r.node: r.component for r in nodes.collect()} == {n: n // 100 * 100 for n, _, _ in rows}
 
 
@@ -154,5 +183,5 @@ def test_failed_candidates_hide_no_alike_pair(spark, monkeypatch):
     texts = [words, words[:50] + [f"y{k}" for k in range(50)], words[:99] + ["z"], words[:50] + [f"y{k}" for k in range(49)] + ["z"]]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     near = spark.createDataFrame([(i, i, 0, 0, 0) for i in range(4)], "node long, f0 long, f1 long, f2 long, f3 long")
-    links = simhash.link_alike(docs, near, 5)
+    links = simhash.link_alike(docs, near, 5, (16, 16))
     assert {(r.node, r.component) for r in common.components(links).collect()} == {(0, 0), (2, 0), (1, 1), (3, 1)}
