@@ -77,7 +77,8 @@ def shuffle_shards(rows: DataFrame, shards: int = 8, seed: int = 42, bucket_byte
 def write_shards(rows: DataFrame, path: str, shards: int = 8, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Writes each shard to ``path/shard=N``: a file per bucket, in which the slots rise."""
     laid = shuffle_shards(rows, shards, seed, bucket_bytes)
-    laid.write.partitionBy(laid.columns[-2]).parquet(path)
+    shard, slot = laid.columns[-2:]
+    laid.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFrame:
