@@ -1,10 +1,11 @@
 """Language identification by character language models.
 
 Each language has an interpolated Kneser-Ney model of the characters of a word, given those before
-them in the word. The models are stored together in arrays sorted by the n-grams' hashes: one row of
-log probabilities per n-gram, one of back-off weights per context, a column per language. A text gets
-the language with the lowest cross-entropy per character; a threshold calibrated on labelled texts
-rejects what no model explains.
+them in the word. A model is arrays sorted by the n-grams' hashes: log probabilities of the n-grams it
+has seen, and back-off weights of their contexts. They lie together, a hash's languages side by side,
+so what a language hasn't seen takes no room. A text gets the language with the lowest cross-entropy
+per character (of equal ones the first by name); a threshold calibrated on labelled texts rejects what
+no model explains.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import islice
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +27,17 @@ from cyclecast.llm.common import fresh, map_batches
 
 #: Characters of a context are at most one less.
 ORDER = 5
-#: Labelled texts to learn from: of each language at most about so many, chosen by the hash of
-#: doc_id, with about so many characters in all; of the languages the most frequent ones. The model's
-#: size and everything sent to the driver or broadcast are bounded by these, not by the corpus.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGS = 400, 1_000_000, 1000
+#: Labelled texts to learn from: of each language at most so many different ones, chosen by hash, with
+#: about so many characters; of all languages together about so many. These bound the models' size.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 1_000_000, 64_000_000
 #: Of a language's sampled texts each so many-th only calibrates the rejection; fewer texts are all
 #: learnt from.
 HELD = 5
 #: Rejected: cross-entropy over ``SLACK`` times the calibration texts' quantile ``QUANTILE``, in texts
 #: of at least ``LETTERS`` letters.
 QUANTILE, SLACK, LETTERS = 0.999, 1.6, 20
-#: Words that a worker remembers the scores of.
-MAX_WORDS = 100_000
+#: Words that a worker remembers the scores of, and bytes of these at most.
+MAX_WORDS, MAX_BYTES = 100_000, 64 << 20
 EDGE = "\x02"
 
 
@@ -49,30 +50,57 @@ def _hash(gram: str) -> int:
 
 
 @dataclass
-class Model:
-    """Columns of ``prob`` and ``back``: languages, in order."""
+class Table:
+    """A sorted hash array: values of the n-grams of one length in those languages that have them."""
+
+    hashes: np.ndarray
+    starts: np.ndarray  # where each hash's languages begin, and the end
+    langs: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Table:
+        """From (language, hashes, values)."""
+        hashes = np.concatenate([np.empty(0, np.uint64), *(h for _, h, _ in parts)])
+        langs = np.concatenate([np.empty(0, np.int32), *(np.full(len(h), i, np.int32) for i, h, _ in parts)])
+        order = np.lexsort((langs, hashes))
+        found, starts = np.unique(hashes[order], return_index=True)
+        return cls(found, np.append(starts, len(order)), langs[order], np.concatenate([np.empty(0), *(v for *_, v in parts)])[order])
+
+    def get(self, gram: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The languages that have it, and their values."""
+        h = _hash(gram)
+        i = int(np.searchsorted(self.hashes, np.uint64(h)))
+        if i == len(self.hashes) or self.hashes[i] != h:
+            return None
+        at = slice(self.starts[i], self.starts[i + 1])
+        return self.langs[at], self.values[at]
+
 
+@dataclass
+class Model:
     langs: list[str]
-    grams: list[np.ndarray]  # by length less one: sorted hashes of the n-grams
-    prob: list[np.ndarray]  # their interpolated log probabilities
-    contexts: list[np.ndarray]  # by length: sorted hashes of the contexts
-    back: list[np.ndarray]  # log weights of what the shorter context says
+    probs: list[Table]  # by length less one: interpolated log probabilities
+    backs: list[Table]  # by length of the context: log weights of what the shorter one says
     unseen: float  # log probability of a character that no text had
     limits: list[float]
 
     def last(self, text: str) -> np.ndarray:
         """Log probability, in each language, of the last character of ``text`` after those before it."""
-        total = np.zeros(len(self.langs))
+        total, open_ = np.zeros(len(self.langs)), np.ones(len(self.langs), bool)
         for n in range(min(ORDER, len(text)), 0, -1):
-            gram = _hash(text[-n:])
-            i = int(np.searchsorted(self.grams[n - 1], np.uint64(gram)))
-            if i < len(self.grams[n - 1]) and self.grams[n - 1][i] == gram:
-                return total + self.prob[n - 1][i]
-            context = _hash(text[-n:-1])
-            i = int(np.searchsorted(self.contexts[n - 1], np.uint64(context)))
-            if i < len(self.contexts[n - 1]) and self.contexts[n - 1][i] == context:
-                total += self.back[n - 1][i]
-        return total + self.unseen
+            for table, gram in ((self.probs[n - 1], text[-n:]), (self.backs[n - 1], text[-n:-1])):
+                found = table.get(gram)
+                if found:
+                    langs, values = found
+                    asked = open_[langs]
+                    total[langs[asked]] += values[asked]
+                    if table is self.probs[n - 1]:
+                        open_[langs] = False
+            if not open_.any():
+                return total
+        total[open_] += self.unseen
+        return total
 
 
 def grams_of(word: str) -> Iterator[str]:
@@ -83,64 +111,53 @@ def grams_of(word: str) -> Iterator[str]:
             yield text[at - n + 1 : at + 1]
 
 
-def estimate(counts: dict[str, dict[str, int]]) -> tuple[list[str], list, list, list, list, float]:
-    """Interpolated Kneser-Ney models of the languages' n-gram counts, as the fields of ``Model``.
+def estimate(own: dict[str, int], alphabet: int) -> tuple[list[dict[str, float]], list[dict[str, float]]]:
+    """The interpolated Kneser-Ney model of one language's n-gram counts: by length less one, the log
+    probabilities of the n-grams and the log back-off weights of the contexts.
 
     The longest n-grams, and those at a word's start (nothing can stand before them), count as often
     as they occur; all others as often as they continue different characters. Discount of order n:
-    n1 / (n1 + 2 n2).
+    n1 / (n1 + 2 n2). ``alphabet``: characters of all languages; one more stands for those unseen.
     """
-    langs = sorted(counts)
-    alphabet = {g for c in counts.values() for g in c if len(g) == 1}
-    uniform = -np.log(len(alphabet) + 1)
-    probs: list[dict[str, dict[str, float]]] = []
-    backs: list[dict[str, dict[str, float]]] = []
-    for lang in langs:
-        own = counts[lang]
-        adjusted: dict[str, float] = defaultdict(float)
-        for gram, n in own.items():
-            if len(gram) == ORDER or gram[0] == EDGE and len(gram) > 1:
-                adjusted[gram] += n
-            if len(gram) > 1:
-                adjusted[gram[1:]] += 1
-        adjusted = {g: n for g, n in adjusted.items() if n}
-        prob: dict[str, float] = {}
-        back: dict[str, float] = {}
-        for n in range(1, ORDER + 1):
-            level = {g: c for g, c in adjusted.items() if len(g) == n}
-            kinds = Counter(level.values())
-            discount = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] else 0.5
-            discount = min(max(discount, 0.1), 0.9)
-            total, types = Counter(), Counter()
-            for g, c in level.items():
-                total[g[:-1]] += c
-                types[g[:-1]] += 1
-            for context in total:
-                back[context] = discount * types[context] / total[context]
-            for g, c in level.items():
-                low = prob[g[1:]] if n > 1 else np.exp(uniform)
-                prob[g] = max(c - discount, 0) / total[g[:-1]] + back[g[:-1]] * low
-        probs.append(prob)
-        backs.append(back)
-
-    def log_prob(i: int, gram: str) -> float:
-        """In languages that lack the n-gram: by its shorter ones."""
-        found = probs[i].get(gram)
-        if found is not None:
-            return float(np.log(found))
-        if len(gram) == 1:
-            return float(np.log(backs[i].get("", 1.0)) + uniform)
-        return float(np.log(backs[i].get(gram[:-1], 1.0))) + log_prob(i, gram[1:])
-
-    grams, prob, contexts, back = [], [], [], []
-    for n in range(1, ORDER + 1):
-        names = sorted({g for p in probs for g in p if len(g) == n}, key=_hash)
-        grams.append(np.array([_hash(g) for g in names], np.uint64))
-        prob.append(np.array([[log_prob(i, g) for i in range(len(langs))] for g in names]).reshape(len(names), len(langs)))
-        names = sorted({c for b in backs for c in b if len(c) == n - 1}, key=_hash)
-        contexts.append(np.array([_hash(c) for c in names], np.uint64))
-        back.append(np.array([[np.log(b.get(c, 1.0)) for b in backs] for c in names]).reshape(len(names), len(langs)))
-    return langs, grams, prob, contexts, back, float(uniform)
+    adjusted: dict[str, int] = defaultdict(int)
+    for gram, n in own.items():
+        if len(gram) == ORDER or gram[0] == EDGE and len(gram) > 1:
+            adjusted[gram] += n
+        if len(gram) > 1:
+            adjusted[gram[1:]] += 1
+    levels: list[dict[str, int]] = [{} for _ in range(ORDER)]
+    for gram, n in adjusted.items():
+        levels[len(gram) - 1][gram] = n
+    prob: dict[str, float] = {}
+    probs, backs = [], []
+    for level in levels:
+        kinds = Counter(level.values())
+        discount = kinds[1] / (kinds[1] + 2 * kinds[2]) if kinds[1] else 0.5
+        discount = min(max(discount, 0.1), 0.9)
+        total, types = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            types[g[:-1]] += 1
+        back = {context: discount * types[context] / n for context, n in total.items()}
+        new = {}
+        for g, c in level.items():
+            low = prob[g[1:]] if len(g) > 1 else 1 / (alphabet + 1)
+            new[g] = max(c - discount, 0) / total[g[:-1]] + back[g[:-1]] * low
+        probs.append({g: log(p) for g, p in new.items()})
+        backs.append({c: log(w) for c, w in back.items()})
+        prob = new
+    return probs, backs
+
+
+def assemble(models: dict[str, tuple[list, list]], alphabet: int) -> Model:
+    """One model of the languages' own: by length less one, (hashes, values) of n-grams and of contexts."""
+    langs = sorted(models)
+    tables = [[Table.of([(i, *models[lang][kind][n]) for i, lang in enumerate(langs)]) for n in range(ORDER)] for kind in (0, 1)]
+    return Model(langs, *tables, float(-np.log(alphabet + 1)), [])
+
+
+def arrays(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([_hash(g) for g in values], np.uint64), np.array(list(values.values()), float)
 
 
 class Scorer:
@@ -149,6 +166,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, width = model, len(model.langs)
+        self.most = max(1000, min(MAX_WORDS, MAX_BYTES // (8 * max(1, width))))
         self.words, self.word_rows = {}, np.zeros((1024, width))
         self.grams, self.gram_rows = {}, np.zeros((1024, width))
 
@@ -170,9 +188,9 @@ class Scorer:
 
     def _rows(self, words: list[str]) -> list[int]:
         """Where ``word_rows`` has each word's log probabilities, its end included."""
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > self.most:
             self.words.clear()
-        if len(self.grams) > MAX_WORDS:
+        if len(self.grams) > self.most:
             self.grams.clear()
         known, out, new, starts = self.words, [], [], []
         first = len(known)
@@ -186,7 +204,11 @@ class Scorer:
         if new:
             while len(known) > len(self.word_rows):
                 self.word_rows = np.concatenate([self.word_rows, np.zeros_like(self.word_rows)])
-            self.word_rows[first : len(known)] = np.add.reduceat(self.gram_rows[new], starts, axis=0)
+            step = 1 + MAX_BYTES // (64 * self.word_rows.shape[1])  # places at once, but whole words
+            cuts = np.unique([*np.searchsorted(starts, np.arange(0, len(new), step)), len(starts)])
+            for a, b in zip(cuts, cuts[1:]):
+                end = starts[b] if b < len(starts) else len(new)
+                self.word_rows[first + a : first + b] = np.add.reduceat(self.gram_rows[new[starts[a] : end]], np.array(starts[a:b]) - starts[a], axis=0)
         return out
 
     def judge(self, text: str | None) -> tuple[str, float, float | None, bool]:
@@ -196,8 +218,11 @@ class Scorer:
             return "und", 0.0, None, True
         words = text.lower().split()
         size = sum(map(len, words)) + len(words)
-        places = self._rows(words)  # may replace word_rows
-        entropy = -self.word_rows[places].sum(axis=0) / size
+        entropy = np.zeros(len(self.model.langs))
+        for at in range(0, len(words), self.most):
+            places = self._rows(words[at : at + self.most])  # may replace word_rows
+            entropy -= self.word_rows[places].sum(axis=0)
+        entropy /= size
         best = int(entropy.argmin())
         score = 1 / np.exp(-(entropy - entropy[best]) * min(size, 50)).sum()
         rejected = letters >= LETTERS and entropy[best] > self.model.limits[best]
@@ -205,47 +230,62 @@ class Scorer:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """Labelled texts by language: about ``SAMPLE_DOCS`` of each, by the hash of doc_id."""
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS)
-    at = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1).cast("long"))) / F.lit(float(1 << 40))
-    return docs.join(F.broadcast(sizes), "lang").where(at * F.col("_n") < SAMPLE_DOCS).select("lang", "text", (F.row_number().over(Window.partitionBy("lang").orderBy(at, F.xxhash64("text"))) % HELD).alias("part"))
+    """``(lang, text, part)``: at most ``SAMPLE_DOCS`` different labelled texts of each language, by their
+    hash, and all of a language with fewer. Copies are one."""
+    hashed = docs.select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
+    at = F.col("h").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / F.lit(float(1 << 40))
+    few = hashed.join(sizes, "lang").where(at * F.col("kinds") < 1.2 * SAMPLE_DOCS)  # the count is approximate
+    few = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(at, "h"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).select("lang", "text", (F.col("rank") % HELD).alias("part"))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of (lang, text)."""
+    found: dict[str, Counter] = defaultdict(Counter)
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found[lang].update(text.lower().split())
+    for lang, words in found.items():
+        grams: Counter = Counter()
+        for word, n in words.items():
+            for gram in grams_of(word):
+                grams[gram] += n
+        names = list(grams)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), pa.array([grams[g] for g in names], pa.int64())], ["lang", "gram", "n"])
 
 
 def learn(labelled: DataFrame) -> Model:
-    """A model of each language in ``labelled(doc_id, text, lang)``.
-
-    The n-grams of the sample are counted in Spark, per language, and the bounded counts meet on the
-    driver. Of a language with over ``SAMPLE_CHARS`` characters each text's first part is learnt from,
-    in proportion to its length. Null texts and languages are not learnt from; with none left the model
-    has no language. Texts that get their own language calibrate its limit; where there are none, the
-    limit is that of all languages' calibration texts together.
+    """A model of each language in ``labelled(text, lang)``.
+
+    The n-grams of the sample are counted in Spark and each language is estimated in a task of its own;
+    the driver puts their arrays together, which ``SAMPLE_TOTAL`` bounds whatever the languages' number.
+    Of a language with more characters than its share each text's first part is learnt from, in
+    proportion to its length. Null texts and languages are not learnt from; with none left the model
+    has no language. One text makes a language. Texts that get their own language calibrate its limit;
+    where there are none, the limit is that of all languages' calibration texts together.
     """
-    known = labelled.where("text is not null and lang is not null")
-    picked = sample(known).checkpoint()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[lang].update(text.lower().split())
-        for lang, words in found.items():
-            grams: Counter = Counter()
-            for word, n in words.items():
-                for gram in grams_of(word):
-                    grams[gram] += n
-            names = list(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(names), pa.array([grams[g] for g in names], pa.int64())], ["lang", "gram", "n"])
-
-    sizes = {r.lang: r.n for r in picked.where(F.col("part") != 0).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    shares = {lang: min(1.0, SAMPLE_CHARS / max(1, n)) for lang, n in sizes.items()}
-    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang")), F.lit(1.0)) if shares else F.lit(1.0)
+    picked = sample(labelled.where("text is not null and lang is not null")).checkpoint()
+    fit = picked.where(F.col("part") != 0)
+    sizes = fit.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
+    most = min(SAMPLE_CHARS, SAMPLE_TOTAL // max(1, sizes.count()))
+    share = F.least(F.lit(1.0), F.lit(float(most)) / F.greatest("chars", F.lit(1)))
     part = F.substring("text", F.lit(1), F.ceil(share * F.length("text")).cast("int"))
-    fit = picked.where(F.col("part") != 0).select("lang", part.alias("text"))
-    counted = fit.mapInArrow(count, "lang string, gram string, n long")
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
-        counts[r.lang][r.gram] = r.n
-    model = Model(*estimate(counts), limits=[])
+    counted = fit.join(sizes, "lang").select("lang", part.alias("text")).mapInArrow(_counts, "lang string, gram string, n long")
+    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
+    alphabet = counted.where(F.length("gram") == 1).select("gram").distinct().count()
+
+    def own_arrays(table: pa.Table) -> pa.Table:
+        counts = dict(zip(table.column("gram").to_pylist(), table.column("n").to_pylist()))
+        found = [[x.tobytes() for pair in map(arrays, levels) for x in pair] for levels in estimate(counts, alphabet)]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()]), "packed": pa.array([found[0] + found[1]], pa.list_(pa.binary()))})
+
+    models = {}
+    for row in counted.groupBy("lang").applyInArrow(own_arrays, "lang string, packed array<binary>").toLocalIterator():
+        pairs = [(np.frombuffer(h, np.uint64), np.frombuffer(v)) for h, v in zip(row.packed[::2], row.packed[1::2])]
+        models[row.lang] = (pairs[:ORDER], pairs[ORDER:])
+    model = assemble(models, alphabet)
     model.limits = [float("inf")] * len(model.langs)
     if model.langs:
         scored = predict(picked.where(F.col("part") == 0).select("lang", "text"), model, columns=("lang_pred", "entropy"))
@@ -265,7 +305,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tupl
     """The columns of ``docs`` and these: language, score (0 to 1), cross-entropy, rejected.
 
     ``und`` (score 0, rejected) if the text is null or has no letter, or no language was learnt. Whole
-    texts are read; nothing but the text decides. A name that ``docs`` has gets an underscore.
+    texts are read; nothing but the text decides, so repeated rows get the same, and of languages that
+    explain it alike the first by name is told. An empty table gives no row. A name that ``docs`` has
+    gets an underscore.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     names = [fresh(docs, c) for c in columns]
@@ -289,13 +331,16 @@ def is_held_out(id_col: str = "doc_id"):
 
 def identify(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, lang_pred, score, entropy, rejected."""
-    labelled = docs.where(~is_held_out()).select("doc_id", "text", "lang")
+    labelled = docs.where(~is_held_out()).select("text", "lang")
     found = predict(docs.select("doc_id", is_held_out().alias("held_out"), "text"), learn(labelled))
     return found.drop("text")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that the models reject or that have no letter."""
-    model = learn(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
+    """``docs`` without those that the models reject or that have no letter (null and empty texts, too).
+
+    Repeated rows stay or go together. If no text has a language, none stays. An empty table gives no row.
+    """
+    model = learn(docs.where(~is_held_out()).select("text", "lang"))
     rejected = fresh(docs, "rejected")
     return predict(docs, model, columns=("rejected",)).where(~F.col(rejected)).select(docs.columns)
