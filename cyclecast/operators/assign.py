@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS, SPAN = 15, 21
@@ -40,13 +40,23 @@ def daily_capacity(demand: DataFrame, cd_shares: DataFrame, headroom: float = 1.
     return loads.crossJoin(F.broadcast(days)).select("cd", (headroom * F.col("_l") / F.col("_d")).alias("capacity"))
 
 
-def infer_as_is(base: DataFrame, calendar: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Each sector's slot in the last cycle: the day by which a twentieth of its orders had come, from the
-    cycle's opening, within 1 and ``slots``."""
-    last = calendar.where("is_complete").orderBy(F.desc("opening_date")).limit(1).select("cycle", F.col("opening_date").alias("_open"))
-    rows = base.join(F.broadcast(last), "cycle").groupBy("sector", "_open").agg(F.sort_array(F.collect_list("order_date")).alias("_d"))
-    start = F.get("_d", F.floor(0.05 * (F.size("_d") - 1)).cast("int"))
-    return rows.select("sector", F.greatest(F.lit(1), F.least(F.lit(slots), F.datediff(start, "_open") + 1)).alias("slot"))
+def infer_as_is(base: DataFrame, cycle: str | DataFrame, slots: int = SLOTS, quantile: float = 0.05) -> DataFrame:
+    """Each sector's slot: its opening in ``cycle`` (a name, or a row with it) from a robust start of the cycle.
+
+    The start is the ``quantile`` of the sectors' openings, the lower of two; slots are cut to 1 to
+    ``slots``. Sectors without the cycle take the median slot. Openings are counted by date, so nothing
+    but a cycle's dates meets in one task.
+    """
+    last = base.sparkSession.createDataFrame([(cycle,)], "cycle string") if isinstance(cycle, str) else cycle
+    openings = base.join(F.broadcast(last), "cycle", "left_semi").groupBy("sector").agg(F.min("opening_date").alias("opening"))
+    by_date = openings.groupBy("opening").agg(F.count("*").alias("n"))
+    run = Window.orderBy("opening").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy()
+    start = by_date.select("opening", F.sum("n").over(run).alias("upto"), F.sum("n").over(whole).alias("all")).where(F.col("upto") > F.floor(quantile * (F.col("all") - 1))).agg(F.min("opening").alias("_start"))
+    placed = openings.crossJoin(F.broadcast(start)).select("sector", F.greatest(F.lit(1), F.least(F.lit(slots), F.datediff("opening", "_start") + 1)).alias("slot"))
+    median = placed.agg(F.floor(F.percentile("slot", F.lit(0.5))).cast("int").alias("_median"))
+    every = base.select("sector").distinct().join(placed, "sector", "left").crossJoin(F.broadcast(median))
+    return every.select("sector", F.coalesce("slot", "_median").alias("slot"))
 
 
 def evaluate(demand: DataFrame, assignments: DataFrame, cd_shares: DataFrame, capacity: DataFrame, as_is: DataFrame, days: DataFrame) -> DataFrame:
@@ -60,10 +70,10 @@ def evaluate(demand: DataFrame, assignments: DataFrame, cd_shares: DataFrame, ca
     grid = assignments.select("assignment_id").distinct().crossJoin(F.broadcast(days))
     ranges = grid.join(totals, ["assignment_id", "day"], "left").fillna(0.0, ["qty"]).groupBy("assignment_id", "cycle_no").agg((F.max("qty") - F.min("qty")).alias("r"))
     balance = ranges.groupBy("assignment_id").agg(F.avg("r").alias("objective"))
-    loads = placed.join(F.broadcast(cd_shares), "sector").groupBy("assignment_id", "cd", "day").agg(F.sum(F.col("qty") * F.col("cd_share")).alias("load"))
-    loads = loads.join(F.broadcast(capacity), "cd")
+    loads = placed.join(cd_shares, "sector").groupBy("assignment_id", "cd", "day").agg(F.sum(F.col("qty") * F.col("cd_share")).alias("load"))
+    loads = loads.join(capacity, "cd")
     excess = loads.groupBy("assignment_id").agg(F.sum(F.greatest(F.lit(0.0), F.col("load") - F.col("capacity"))).alias("capacity_violation"), F.max(F.col("load") / F.nullif("capacity", F.lit(0.0))).alias("utilization"))
-    moved = assignments.join(F.broadcast(as_is.select("sector", F.col("slot").alias("_s"))), "sector", "left")
+    moved = assignments.join(as_is.select("sector", F.col("slot").alias("_s")), "sector", "left")
     used = moved.groupBy("assignment_id").agg(F.sum(F.when(F.col("_s").isNull(), 1).when(F.col("_s") == F.col("slot"), 0).otherwise(2)).alias("churn"))
     return balance.join(excess, "assignment_id").join(used, "assignment_id")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INFEASIBLE_GAP = 100.0
@@ -19,11 +19,39 @@ def summarize(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def main_effects(runs: DataFrame, param: str, bins: int = 4) -> DataFrame:
-    """Mean gap by quantile bin of a parameter: right-closed bins, the lowest value included, equal edges once."""
-    edges = runs.agg(F.percentile(param, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_e"))
-    rows = runs.crossJoin(F.broadcast(edges.select(F.array_distinct("_e").alias("_e"))))
-    binned = rows.withColumn("bin", F.size(F.filter("_e", lambda e: F.col(param) > e)))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min(param).alias("low"), F.max(param).alias("high"), F.avg("gap").alias("mean_gap"))
+    """Mean and deviation of the gap by quantile bin of a parameter.
+
+    Bins are right-closed, the first has the lowest value, too, and equal edges are one: an inner edge
+    that equals the minimum makes no bin.
+    """
+    edges = runs.agg(F.percentile(param, F.array(*(F.lit(i / bins) for i in range(bins + 1)))).alias("_e")).select(F.array_distinct("_e").alias("_e"))
+    rows = runs.where(F.col(param).isNotNull()).crossJoin(F.broadcast(edges))  # a row of its own
+    at = F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: F.col(param) > e)))
+    binned = rows.withColumn("bin", at.cast("long")).withColumns({"left": F.get("_e", F.col("bin").cast("int") - 1), "right": F.get("_e", F.col("bin").cast("int"))})
+    return binned.groupBy("bin", "left", "right").agg(F.avg("gap").alias("gap_mean"), F.stddev_samp("gap").alias("gap_std"), F.count("gap").alias("n_runs"))
+
+
+def rank_by_rule(summary: DataFrame, tolerance: float) -> DataFrame:
+    """``place`` of each row of ``summary(config, gap_mean, gap_p90, complexity)``, without a mean none.
+
+    The best is picked again and again: within ``tolerance`` of the remaining rows' least gap, then of
+    the least p90 among those, the simplest, then that of the least gap. A table of configurations is
+    one array, folded once.
+    """
+    row = F.struct("complexity", "gap_mean", "config", "gap_p90")
+    all_ = summary.where("gap_mean is not null").agg(F.collect_list(row).alias("rest")).where(F.size("rest") > 0)
+    shape = dict(all_.dtypes)["rest"]
+
+    def pick(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        tied = F.filter(rest, lambda x: x["gap_mean"] <= F.array_min(F.transform(rest, lambda y: y["gap_mean"])) + tolerance)
+        close = F.filter(tied, lambda x: x["gap_p90"] <= F.array_min(F.transform(tied, lambda y: y["gap_p90"])) + tolerance)
+        best = F.array_min(close)
+        return F.struct(F.filter(rest, lambda x: x["config"] != best["config"]).alias("rest"), F.concat(state["done"], F.array(best)).alias("done"))
+
+    start = F.struct(F.col("rest"), F.array().cast(shape).alias("done"))
+    done = F.aggregate(F.sequence(F.lit(1), F.size("rest")), start, pick, lambda s: s["done"])
+    return all_.select(F.posexplode(done).alias("place", "r")).select("r.config", "r.gap_mean", "r.gap_p90", "r.complexity", (F.col("place") + 1).alias("place"))
 
 
 def always_feasible(runs: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def naive_scale(train: DataFrame) -> DataFrame:
 
 
 def mase(points: DataFrame, scales: DataFrame) -> DataFrame:
-    """Mean over origins of error over scale; infinite where the scale is 0."""
-    each = points.groupBy("candidate", "origin").agg(F.avg("abs_error").alias("mae")).join(F.broadcast(scales), "origin")
+    """Mean over origins of error over scale on ``points``, the common ones; infinite where the scale is 0."""
+    each = points.groupBy("candidate", "origin").agg(F.avg("abs_error").alias("mae")).join(scales, "origin")
     value = F.when(F.col("scale") == 0, F.lit(float("inf"))).otherwise(F.col("mae") / F.nullif("scale", F.lit(0.0)))
     return each.groupBy("candidate").agg(F.avg(value).alias("mase"))
 
@@ -54,7 +54,8 @@ def common_points(points: DataFrame) -> DataFrame:
 
 
 def compare(points: DataFrame) -> DataFrame:
-    """Candidates on common points, best mean error first, with their own coverage."""
+    """Candidates on common points, best mean error first, with their own coverage. The points are made once."""
+    points = points.checkpoint()
     own = points.groupBy("candidate").agg(F.count("*").alias("own_points"))
     shared = common_points(points)
     table = equal_weight_mae(shared).join(shared.groupBy("candidate").agg(*metrics()), "candidate").join(own, "candidate")
@@ -72,11 +73,14 @@ def volume_bands(points: DataFrame) -> DataFrame:
     band = F.when(F.col("size") <= F.col("a"), "low").when(F.col("size") <= F.col("b"), "mid").otherwise("high")
     named = sizes.crossJoin(F.broadcast(cuts)).select("serie", band.alias("band"))
     under = F.avg((F.col("predicted") < F.col("actual")).cast("double")).alias("frac_under")
-    return points.join(F.broadcast(named), "serie").groupBy("candidate", "band").agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), under)
+    return points.join(named, "serie").groupBy("candidate", "band").agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), under)
 
 
-def log_sigma(points: DataFrame) -> DataFrame:
-    """Deviation of log(actual / predicted), and the 95 % band a step ahead."""
-    rows = points.where("actual > 0 and predicted > 0")
-    sigma = F.stddev_samp(F.log(F.col("actual") / F.col("predicted")))
-    return rows.groupBy("candidate").agg(sigma.alias("sigma"), F.exp(-1.96 * sigma).alias("low"), F.exp(1.96 * sigma).alias("high"))
+def log_sigma(points: DataFrame, horizons: int = 3) -> DataFrame:
+    """Deviation of log(actual / predicted) of the cycles' totals, and the 95 % bands 1 to ``horizons``
+    cycles ahead, which grow with the root of the horizon."""
+    totals = points.groupBy("candidate", "cycle").agg(F.sum("actual").alias("a"), F.sum("predicted").alias("p")).where("a > 0 and p > 0")
+    sigma = totals.groupBy("candidate").agg(F.stddev_samp(F.log(F.col("a") / F.col("p"))).alias("sigma"))
+    rows = sigma.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(horizons))))
+    wide = 1.96 * F.col("sigma") * F.sqrt("horizon")
+    return rows.select("candidate", "horizon", "sigma", F.exp(-wide).alias("low"), F.exp(wide).alias("high"))

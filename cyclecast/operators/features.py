@@ -67,10 +67,12 @@ def trainable(features: DataFrame, required: list[str], ratio_target: bool = Fal
 def closed_before(nodes: DataFrame, key: str = "serie") -> DataFrame:
     """Per row, how many of its series' cycles had closed before it opened, and the last one's items.
 
-    Closings rise with openings within a series, so the cycles that had closed are a prefix of it: an
-    inequality join within the series, aggregated at once.
+    Openings and closings are one ordered stream of events per series; on one day openings come first,
+    as a cycle that closes that day hasn't closed before it.
     """
-    left = nodes.select(key, "cycle", "opening_date")
-    right = nodes.select(F.col(key).alias("_key"), F.col("closing_date").alias("_closing"), F.col("items").alias("_items"))
-    joined = left.join(right, (F.col(key) == F.col("_key")) & (F.col("_closing") < F.col("opening_date")), "left")
-    return joined.groupBy(key, "cycle", "opening_date").agg(F.count("_closing").alias("n_closed"), F.max_by("_items", "_closing").alias("last_closed_items"))
+    none = F.lit(None)
+    opens = nodes.select(key, "cycle", F.col("opening_date").alias("_at"), F.lit(0).alias("_kind"), none.cast("double").alias("_items"), "opening_date")
+    closes = nodes.select(key, none.cast("string").alias("cycle"), F.col("closing_date").alias("_at"), F.lit(1).alias("_kind"), F.col("items").cast("double").alias("_items"), none.cast("date").alias("opening_date"))
+    so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    seen = opens.unionByName(closes).withColumns({"n_closed": F.count("_items").over(so_far), "last_closed_items": F.last("_items", True).over(so_far)})
+    return seen.where("_kind = 0").select(key, "cycle", "opening_date", "n_closed", "last_closed_items")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cyclecast.operators.features import before, of_series
 
-MIN_TRAIN, MAX_ORIGINS = 20, 12
+#: Cycles before the first origin; all later ones are origins unless ``max_origins`` says otherwise.
+MIN_TRAIN = 20
 
 
 def cycle_index(panel: DataFrame) -> DataFrame:
@@ -21,13 +22,14 @@ def cycle_index(panel: DataFrame) -> DataFrame:
     return found.withColumn("idx", F.row_number().over(Window.orderBy("opening_date", "cycle")))
 
 
-def origins(panel: DataFrame, min_train: int = MIN_TRAIN, max_origins: int = MAX_ORIGINS) -> DataFrame:
-    """``(cycle, origin)``: the last cycles that have at least ``min_train`` before them."""
+def origins(panel: DataFrame, min_train: int = MIN_TRAIN, max_origins: int | None = None) -> DataFrame:
+    """``(cycle, origin)``: the cycles that have at least ``min_train`` before them, or the last of these."""
     index = cycle_index(panel)
-    return index.where(F.col("idx") > min_train).orderBy(F.desc("idx")).limit(max_origins).select("cycle", F.col("idx").alias("origin"))
+    found = index.where(F.col("idx") > min_train).select("cycle", F.col("idx").alias("origin"))
+    return found.orderBy(F.desc("origin")).limit(max_origins) if max_origins else found
 
 
-def bridge(panel: DataFrame, window: int | None = None, min_train: int = MIN_TRAIN, max_origins: int = MAX_ORIGINS) -> DataFrame:
+def bridge(panel: DataFrame, window: int | None = None, min_train: int = MIN_TRAIN, max_origins: int | None = None) -> DataFrame:
     """``(origin, cycle)`` of the training cycles: all before, or the last ``window`` of them."""
     targets = origins(panel, min_train, max_origins).select("origin")
     pairs = cycle_index(panel).crossJoin(F.broadcast(targets)).where("idx < origin")
@@ -58,36 +60,48 @@ def moving_average(window: int) -> Column:
     return F.avg("items").over(before(of_series(), window))
 
 
-def history(column: str = "items") -> Column:
-    """The series' values before the row, in order, as an array."""
-    return F.transform(F.collect_list(F.struct("opening_date", F.col(column).cast("double").alias("x"))).over(before(of_series())), lambda s: s["x"])
+def recursive(panel: DataFrame, candidate: str, start: Column, step, forecast, **options: int) -> DataFrame:
+    """Points of a candidate whose state goes on from one cycle to the next.
+
+    Each series is one array, folded once: ``step(state, x)`` takes a cycle in and ``forecast(state)`` is
+    told before that, so all origins come out of one pass.
+    """
+    arrays = panel.groupBy("serie").agg(F.array_sort(F.collect_list(F.struct("opening_date", "cycle", F.col("items").cast("double").alias("x")))).alias("s"))
+    first = F.struct(start.alias("state"), F.array().cast("array<double>").alias("out"))
+    told = F.aggregate("s", first, lambda a, v: F.struct(step(a["state"], v["x"]).alias("state"), F.concat(a["out"], F.array(forecast(a["state"]))).alias("out")), lambda a: a["out"])
+    rows = arrays.select("serie", F.explode(F.arrays_zip("s", told.alias("p"))).alias("r")).select("serie", "r.s.cycle", F.col("r.s.x").alias("actual"), F.greatest(F.col("r.p"), F.when(F.col("r.p").isNotNull(), 0.0)).alias("predicted"))
+    rows = rows.join(F.broadcast(origins(panel, **options)), "cycle").where("predicted is not null")
+    return rows.select(F.lit(candidate).alias("candidate"), "serie", "cycle", "origin", "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("abs_error"))
 
 
-def ses(values: Column, alpha: float) -> Column:
-    """Simple exponential smoothing from the first observation: the level after the last."""
-    return F.when(F.size(values) > 0, F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, 0), lambda level, x: level + alpha * (x - level)))
+def ses_backtest(panel: DataFrame, alpha: float) -> DataFrame:
+    """Simple exponential smoothing from the first observation."""
+    step = lambda level, x: F.coalesce(level + alpha * (x - level), x)
+    return recursive(panel, f"ets:{alpha}", F.lit(None).cast("double"), step, lambda level: level)
 
 
-def croston(values: Column, variant: str = "sba", alpha: float = 0.1, beta: float = 0.1, least: int = 3) -> Column:
+def croston_backtest(panel: DataFrame, variant: str = "sba", alpha: float = 0.1, beta: float = 0.1, least: int = 3) -> DataFrame:
     """Croston's size and interval, its bias-corrected form ``sba``, or ``tsb`` with a demand probability.
 
-    One pass over the array with a struct as state. No demand at all gives 0; under ``least`` values, null.
+    No demand at all gives 0; under ``least`` cycles, nothing.
     """
-    start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("gap"), F.lit(0.0).alias("since"), F.lit(None).cast("double").alias("prob"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("size"), none.alias("gap"), F.lit(0.0).alias("since"), none.alias("prob"), F.lit(0).alias("n"))
 
     def step(s: Column, x: Column) -> Column:
         first, bought = s["size"].isNull(), x > 0
         since = s["since"] + 1.0
         size = F.when(first & bought, x).when(bought, s["size"] + alpha * (x - s["size"])).otherwise(s["size"])
         gap = F.when(first & bought, since).when(bought, s["gap"] + alpha * (since - s["gap"])).otherwise(s["gap"])
-        prob = F.when(first & bought, 1.0 / since).when(first, F.lit(None).cast("double")).otherwise(s["prob"] + beta * (bought.cast("double") - s["prob"]))
-        return F.struct(size.alias("size"), gap.alias("gap"), F.when(bought, 0.0).otherwise(since).alias("since"), prob.alias("prob"))
+        prob = F.when(first & bought, 1.0 / since).when(first, none).otherwise(s["prob"] + beta * (bought.cast("double") - s["prob"]))
+        return F.struct(size.alias("size"), gap.alias("gap"), F.when(bought, 0.0).otherwise(since).alias("since"), prob.alias("prob"), (s["n"] + 1).alias("n"))
 
-    def finish(s: Column) -> Column:
+    def forecast(s: Column) -> Column:
         classic = F.try_divide(s["size"], s["gap"])
-        return F.coalesce({"classic": classic, "sba": (1 - alpha / 2) * classic, "tsb": s["prob"] * s["size"]}[variant], F.lit(0.0))
+        value = {"classic": classic, "sba": (1 - alpha / 2) * classic, "tsb": s["prob"] * s["size"]}[variant]
+        return F.when(s["n"] >= least, F.coalesce(value, F.lit(0.0)))
 
-    return F.when(F.size(values) >= least, F.aggregate(values, start, step, finish))
+    return recursive(panel, f"croston:{variant}", start, step, forecast)
 
 
 def cycle_factors(panel: DataFrame) -> DataFrame:
@@ -142,15 +156,25 @@ def opening_factors(panel: DataFrame, passes: int = 10, prior: float = 100.0) ->
     """``(opening_day, factor)``: effect on items of opening so many days into the cycle.
 
     Log items relative to their series and their cycle, by alternating passes, then the mean by day
-    shrunk towards 0. A pass is two window averages; checkpoints keep the plan short.
+    shrunk towards 0. A series is one array; a pass changes one number a series and one a cycle, and only
+    the cycles' (17 a year) leave the tasks.
     """
-    rows = panel.where("items > 0").select("serie", "cycle", F.datediff("window_start", "opening_date").alias("opening_day"), F.log(F.col("items").cast("double")).alias("r"))
-    for at in range(passes):
-        rows = rows.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("serie")))
-        rows = rows.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("cycle")))
-        if at % 5 == 4:
-            rows = rows.checkpoint()
-    return rows.groupBy("opening_day").agg(F.exp(F.sum("r") / (F.count("*") + prior)).alias("factor"))
+    rows = panel.where("items > 0").select("serie", F.struct("cycle", F.datediff("window_start", "opening_date").alias("day"), F.log(F.col("items").cast("double")).alias("y")).alias("v"))
+    arrays = rows.groupBy("serie").agg(F.collect_list("v").alias("s")).withColumn("level", F.lit(0.0)).checkpoint()
+    effects: dict[str, float] = {r.cycle: 0.0 for r in arrays.select(F.explode("s.cycle").alias("cycle")).distinct().collect()}
+
+    def residuals(arrays: DataFrame) -> DataFrame:
+        known = F.create_map(*(F.lit(x) for pair in effects.items() for x in pair)) if effects else F.create_map().cast("map<string,double>")
+        return arrays.withColumn("r", F.transform("s", lambda v: v["y"] - F.col("level") - F.element_at(known, v["cycle"])))
+
+    for _ in range(passes):
+        own = residuals(arrays)
+        mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
+        arrays = own.withColumn("level", F.col("level") + mean).drop("r").checkpoint()
+        moved = residuals(arrays).select(F.explode(F.arrays_zip("s", "r")).alias("z")).groupBy(F.col("z.s.cycle").alias("cycle")).agg(F.avg("z.r").alias("e"))
+        effects |= {r.cycle: effects[r.cycle] + r.e for r in moved.collect()}
+    last = residuals(arrays).select(F.explode(F.arrays_zip("s", "r")).alias("z"))
+    return last.groupBy(F.col("z.s.day").alias("opening_day")).agg(F.exp(F.sum("z.r") / (F.count("*") + prior)).alias("factor"))
 
 
 def pooled_ets(rows: DataFrame, alphas: list[float], exponents: list[float]) -> DataFrame:

@@ -16,7 +16,8 @@ PATHS = {"region": ["region"], "management": ["region", "management"], "sector":
 
 
 def node_id(level: str | None) -> Column:
-    return F.concat_ws("/", *PATHS[level]) if level else F.lit("")
+    """The path's names as a JSON list; above the roots: empty."""
+    return F.to_json(F.array(*PATHS[level])) if level else F.lit("")
 
 
 def node_totals(panel: DataFrame) -> DataFrame:

@@ -58,14 +58,13 @@ def calendar_regression(totals: DataFrame, cycles: DataFrame, steps: list[int])
         F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.avg("y").alias("my"),
         F.coalesce(F.regr_sxx("a", "a"), F.lit(0.0)).alias("aa"), F.coalesce(F.regr_sxx("b", "b"), F.lit(0.0)).alias("bb"),
         F.coalesce(F.regr_sxy("a", "b"), F.lit(0.0)).alias("ab"), F.coalesce(F.regr_sxy("y", "a"), F.lit(0.0)).alias("ay"), F.coalesce(F.regr_sxy("y", "b"), F.lit(0.0)).alias("by"),
-        F.max("a").alias("last"),
-    )
+    ).crossJoin(F.broadcast(_with_last(totals)))
     full = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
     usable = full > 1e-9 * F.greatest(F.col("aa") * F.col("bb"), F.lit(1e-300))
     on_a = F.when(usable, (F.col("ay") * F.col("bb") - F.col("by") * F.col("ab")) / full).when(F.col("aa") > 0, F.col("ay") / F.col("aa")).otherwise(0.0)
     on_b = F.when(usable, (F.col("by") * F.col("aa") - F.col("ay") * F.col("ab")) / full).when((F.col("aa") <= 0) & (F.col("bb") > 0), F.col("by") / F.col("bb")).otherwise(0.0)
     future = F.broadcast(cycles.select(F.col("cycle_id").alias("_to"), F.month("open_date").cast("double").alias("_month")))
-    asked = _steps(sums, steps).join(future, F.col("_to") == F.col("last").cast("long") + F.col("step"))
+    asked = _steps(sums, steps).join(future, F.col("_to") == F.col("last_cycle") + F.col("step"))
     value = F.col("my") + on_a * (F.col("_to") - F.col("ma")) + on_b * (F.col("_month") - F.col("mb"))
     return asked.select(F.lit("calendar_regression").alias("strategy"), "sector", F.col("_to").cast("long").alias("cycle_id"), F.greatest(value, F.lit(0.0)).alias("forecast_cycle_total"))
 

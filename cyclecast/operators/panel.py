@@ -11,7 +11,8 @@ SERIES = ("sector", "state", "city")
 
 
 def serie(*columns: str) -> Column:
-    return F.concat_ws("|", *columns)
+    """The names as a JSON list: nulls and names that hold a separator stay apart."""
+    return F.to_json(F.array(*columns))
 
 
 def _counts() -> list[Column]:

@@ -86,14 +86,14 @@ def observations(days: DataFrame) -> DataFrame:
 def spread(predictions: DataFrame, windows: DataFrame, curve: DataFrame, cd_shares: DataFrame) -> DataFrame:
     """Items per sector, CD, cycle and date: cycle total x the day's weight x the CD's share."""
     weights = predict(curve, windows).select(*KEYS, "date", "share_pred")
-    days = predictions.select(*KEYS, "items_pred").join(weights, list(KEYS)).join(F.broadcast(cd_shares), "sector")
+    days = predictions.select(*KEYS, "items_pred").join(weights, list(KEYS)).join(cd_shares, "sector")
     return days.select("sector", "cd", "cycle", "date", (F.col("items_pred") * F.col("share_pred") * F.col("cd_share")).alias("pred"))
 
 
 def score_daily(forecast: DataFrame, actuals: DataFrame) -> DataFrame:
     """Forecast against actual days of the forecast's sector-cycles; a side without a row counts as 0."""
     scope = forecast.select(*KEYS).distinct()
-    actual = actuals.join(F.broadcast(scope), list(KEYS), "left_semi").withColumnRenamed("items", "actual")
+    actual = actuals.join(scope, list(KEYS), "left_semi").withColumnRenamed("items", "actual")
     return forecast.join(actual, ["sector", "cd", "cycle", "date"], "full_outer").fillna(0.0, ["pred", "actual"])
 
 

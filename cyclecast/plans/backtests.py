@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclecast.operators import evaluate, features, folds, panel
+from cyclecast.operators import evaluate, features, folds
+from cyclecast.plans import tables
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,7 +18,7 @@ def query(name: str, oracle: str | None = None):
     """Registers a function of the item panel."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(panel.item_panel(orders_of_star(spark, sf_dir))))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.item_panel(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function
@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None):
 W = "OVER (PARTITION BY serie ORDER BY opening_date"
 INDEX = """
 idx AS (SELECT cycle, opening_date, row_number() OVER (ORDER BY opening_date, cycle) AS i FROM (SELECT DISTINCT cycle, opening_date FROM panel)),
-origins AS (SELECT cycle, i AS origin FROM idx WHERE i > 20 ORDER BY i DESC LIMIT 12)"""
+origins AS (SELECT cycle, i AS origin FROM idx WHERE i > 20)"""
 
 
 def points(name: str, prediction: str, source: str = "panel") -> str:
@@ -160,7 +160,7 @@ WITH p AS (SELECT t.serie, t.cycle, t.origin, CAST(t.items AS DOUBLE) AS actual,
 FROM targets t JOIN ranked h ON h.serie = t.serie AND h.r < t.r GROUP BY ALL)
 SELECT 'ets:0.2' AS candidate, serie, cycle, origin, actual, round(predicted, 6) AS predicted, round(abs(actual - predicted), 6) AS abs_error FROM p""", "panel", INDEX, RANKED))
 def ets_fixed(p):
-    return folds.scored(p, "ets:0.2", folds.ses(folds.history(), 0.2))
+    return folds.ses_backtest(p, 0.2)
 
 
 CROSTON = f"""
@@ -174,12 +174,18 @@ WITH t AS (SELECT DISTINCT serie, cycle, origin, CAST(actual AS DOUBLE) AS actua
 p AS (SELECT t.*, coalesce(0.95 * size / gap, 0.0) AS predicted FROM t LEFT JOIN sized USING (serie, cycle))
 SELECT 'croston:sba' AS candidate, serie, cycle, origin, actual, round(predicted, 6) AS predicted, round(abs(actual - predicted), 6) AS abs_error FROM p""", "panel", INDEX, RANKED, CROSTON))
 def croston(p):
-    return folds.scored(p, "croston:sba", folds.croston(folds.history(), "sba"))
+    return folds.croston_backtest(p, "sba")
 
 
-@query("croston_tsb")
+@query("croston_tsb", sql("""
+WITH bought AS (SELECT serie, cycle, r AS rr, row_number() OVER (PARTITION BY serie, cycle ORDER BY r) AS k FROM h WHERE x > 0),
+starts AS (SELECT serie, cycle, rr AS f FROM bought WHERE k = 1),
+probs AS (SELECT h.serie, h.cycle, sum(CASE WHEN h.r = f THEN power(0.9, n - f) / f ELSE 0.1 * power(0.9, n - h.r) * CASE WHEN h.x > 0 THEN 1 ELSE 0 END END) AS prob FROM h JOIN starts USING (serie, cycle) WHERE h.r >= f GROUP BY ALL),
+t AS (SELECT DISTINCT serie, cycle, origin, CAST(actual AS DOUBLE) AS actual FROM h WHERE n >= 3),
+p AS (SELECT t.*, coalesce(prob * size, 0.0) AS predicted FROM t LEFT JOIN sized USING (serie, cycle) LEFT JOIN probs USING (serie, cycle))
+SELECT 'croston:tsb' AS candidate, serie, cycle, origin, actual, round(predicted, 6) AS predicted, round(abs(actual - predicted), 6) AS abs_error FROM p""", "panel", INDEX, RANKED, CROSTON))
 def croston_tsb(p):
-    return folds.scored(p, "croston:tsb", folds.croston(folds.history(), "tsb"))
+    return folds.croston_backtest(p, "tsb")
 
 
 TRAIN = "train AS (SELECT p.*, o.origin FROM panel p JOIN idx USING (cycle) JOIN origins o ON idx.i < o.origin)"
@@ -292,20 +298,21 @@ def bands(p):
 
 
 @points_query("log_sigma_band", """
-WITH s AS (SELECT candidate, stddev_samp(ln(actual / predicted)) AS s FROM points WHERE actual > 0 AND predicted > 0 GROUP BY candidate)
-SELECT candidate, round(s, 6) AS sigma, round(exp(-1.96 * s), 6) AS low, round(exp(1.96 * s), 6) AS high FROM s""")
+WITH t AS (SELECT candidate, cycle, sum(actual) AS a, sum(predicted) AS p FROM points GROUP BY ALL),
+s AS (SELECT candidate, stddev_samp(ln(a / p)) AS s FROM t WHERE a > 0 AND p > 0 GROUP BY candidate)
+SELECT candidate, CAST(h AS BIGINT) AS horizon, round(s, 6) AS sigma, round(exp(-1.96 * s * sqrt(h)), 6) AS low, round(exp(1.96 * s * sqrt(h)), 6) AS high FROM s, (SELECT unnest([1, 2, 3]) AS h)""")
 def sigma(p):
     return evaluate.log_sigma(_candidates(p))
 
 
 @query("naive_scale_mase", sql("""
 WITH d AS (SELECT origin, abs(items - lag(items) OVER (PARTITION BY origin, serie ORDER BY opening_date)) AS c FROM train),
-s AS (SELECT origin, avg(c) AS scale FROM d GROUP BY origin), m AS (SELECT candidate, origin, avg(abs_error) AS mae FROM points GROUP BY ALL)
+s AS (SELECT origin, avg(c) AS scale FROM d GROUP BY origin), m AS (SELECT candidate, origin, avg(abs_error) AS mae FROM common GROUP BY ALL)
 SELECT candidate, round(avg(mae / scale), 6) AS mase FROM m JOIN s USING (origin) GROUP BY candidate""", "panel", INDEX, TRAIN, CANDIDATES))
 def mase(p):
-    return evaluate.mase(_candidates(p), evaluate.naive_scale(folds.training(p)))
+    return evaluate.mase(evaluate.common_points(_candidates(p).checkpoint()), evaluate.naive_scale(folds.training(p)))
 
 
-@points_query("errors_by_state", f"SELECT candidate, split_part(serie, '|', 2) AS state, {METRICS} FROM points GROUP BY ALL")
+@points_query("errors_by_state", f"SELECT candidate, state, {METRICS} FROM points JOIN (SELECT DISTINCT serie, state FROM panel) USING (serie) GROUP BY ALL")
 def by_state(p):
-    return evaluate.by_dimension(_candidates(p).withColumn("state", F.split_part("serie", F.lit("|"), F.lit(2))), "state")
+    return evaluate.by_dimension(_candidates(p).join(p.select("serie", "state").distinct(), "serie"), "state")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclecast.operators import folds, levels, panel, paths
+from cyclecast.operators import calibrate, folds, levels, paths
+from cyclecast.plans import tables
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,7 +17,7 @@ STEPS, HOLDOUT = [1, 2, 3], 3
 
 def query(name: str, oracle: str | None = None):
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(panel.item_panel(orders_of_star(spark, sf_dir))))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.item_panel(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function
@@ -117,12 +117,15 @@ def size(p):
 
 
 @query("rank_rule", sql("""
-WITH m AS (SELECT sector, avg(items) AS gap, quantile_cont(items, 0.9) AS p90, count(DISTINCT city) AS complexity FROM panel GROUP BY sector),
-b AS (SELECT *, gap <= min(gap) OVER () + 5 AS close FROM m)
-SELECT sector, round(gap, 6) AS gap, round(p90, 6) AS p90, CAST(complexity AS BIGINT) AS complexity, row_number() OVER (ORDER BY close DESC, CASE WHEN close THEN p90 END, CASE WHEN close THEN complexity END, gap, sector) AS place FROM b""", "panel"))
+WITH RECURSIVE m AS (SELECT sector AS config, avg(items) AS gap_mean, quantile_cont(items, 0.9) AS gap_p90, count(DISTINCT city) AS complexity FROM panel GROUP BY sector),
+walk AS (SELECT 0 AS place, CAST(NULL AS VARCHAR) AS best, list({'c': complexity, 'g': gap_mean, 'n': config, 'p': gap_p90}) AS rest FROM m
+  UNION ALL SELECT place + 1, pick.n, list_filter(rest, lambda x: x.n <> pick.n) FROM (
+    SELECT place, rest, list_min(list_filter(tied, lambda x: x.p <= low_p + 5)) AS pick FROM (
+      SELECT place, rest, tied, list_min(list_transform(tied, lambda x: x.p)) AS low_p FROM (
+        SELECT place, rest, list_filter(rest, lambda x: x.g <= low + 5) AS tied FROM (
+          SELECT place, rest, list_min(list_transform(rest, lambda x: x.g)) AS low FROM walk WHERE len(rest) > 0)))))
+SELECT config, round(gap_mean, 6) AS gap_mean, round(gap_p90, 6) AS gap_p90, CAST(complexity AS BIGINT) AS complexity, CAST(place AS BIGINT) AS place FROM walk JOIN m ON m.config = best""", "panel").replace("WITH", "WITH RECURSIVE", 1).replace(", RECURSIVE m", ", m"))
 def rank_rule(p):
-    rows = p.groupBy("sector").agg(F.avg("items").alias("gap"), F.percentile("items", F.lit(0.9)).alias("p90"), F.count_distinct("city").alias("complexity"))
-    close = F.col("gap") <= F.min("gap").over(Window.partitionBy()) + 5
-    rows = rows.withColumn("close", close)
-    order = Window.orderBy(F.desc("close"), F.when(F.col("close"), F.col("p90")), F.when(F.col("close"), F.col("complexity")), "gap", "sector")
-    return rows.select("sector", "gap", "p90", "complexity", F.row_number().over(order).alias("place"))
+    """Sectors in place of configurations, their items in place of gaps."""
+    rows = p.groupBy(F.col("sector").alias("config")).agg(F.avg("items").alias("gap_mean"), F.percentile("items", F.lit(0.9)).alias("gap_p90"), F.count_distinct("city").alias("complexity"))
+    return calibrate.rank_by_rule(rows.withColumn("gap_p90", F.col("gap_p90").cast("double")), 5.0)

@@ -44,7 +44,9 @@ cds AS (SELECT sector, cd, sum(items) / sum(sum(items)) OVER (PARTITION BY secto
 mean AS (SELECT sector, sum(qty) / count(DISTINCT slot) AS q FROM demand GROUP BY sector),
 capacity AS (SELECT cd, 1.1 * sum(q * cd_share) / (SELECT count(DISTINCT day) FROM demand) AS capacity FROM mean JOIN cds USING (sector) GROUP BY cd),
 last1 AS (SELECT cycle, opening_date AS o FROM calendar WHERE is_complete ORDER BY opening_date DESC LIMIT 1),
-as_is AS (SELECT sector, CAST(greatest(1, least(15, list_sort(list(order_date))[CAST(floor(0.05 * (count(*) - 1)) AS INTEGER) + 1] - any_value(o) + 1)) AS BIGINT) AS slot FROM base JOIN last1 USING (cycle) GROUP BY sector),
+as_open AS (SELECT sector, min(opening_date) AS opening FROM base JOIN last1 USING (cycle) GROUP BY sector),
+as_placed AS (SELECT sector, greatest(1, least(15, opening - (SELECT list_sort(list(opening))[CAST(floor(0.05 * (count(*) - 1)) AS INTEGER) + 1] FROM as_open) + 1)) AS slot FROM as_open),
+as_is AS (SELECT sector, CAST(coalesce(slot, (SELECT floor(median(slot)) FROM as_placed)) AS BIGINT) AS slot FROM (SELECT DISTINCT sector FROM base) LEFT JOIN as_placed USING (sector)),
 plans AS (SELECT CAST(k AS BIGINT) AS assignment_id, sector, (slot - 1 + k * (row_number() OVER (PARTITION BY k ORDER BY sector) % 4)) % 15 + 1 AS slot FROM as_is CROSS JOIN (SELECT unnest(range(0, 6)) AS k)),
 inner_days AS (SELECT DISTINCT day, (day - 1) // 21 AS cycle_no FROM demand WHERE day BETWEEN (SELECT min(day) + 14 FROM demand) AND (SELECT max(day) - 14 FROM demand)),
 placed AS (SELECT p.assignment_id, p.sector, d.day, d.qty FROM plans p JOIN demand d ON d.sector = p.sector AND d.slot = p.slot),
@@ -64,7 +66,7 @@ def instance(base: DataFrame) -> dict[str, DataFrame]:
     last = known.orderBy(F.desc("opening_date")).limit(3).select("cycle", (F.row_number().over(Window.orderBy("opening_date")) - 1).alias("at"))
     demand = assign.projected_demand(assign.sector_curves(panel.shape_days(base), last)).checkpoint()
     shares = panel.sector_cd_shares(panel.daily_base(base)).checkpoint()
-    as_is = assign.infer_as_is(base, calendar.cycle_calendar(base)).checkpoint()
+    as_is = assign.infer_as_is(base, known.orderBy(F.desc("opening_date")).limit(1).select("cycle")).checkpoint()
     return {"demand": demand, "cd_shares": shares, "as_is": as_is, "capacity": assign.daily_capacity(demand, shares), "days": assign.balance_days(demand)}
 
 
@@ -145,9 +147,9 @@ def gap_table(spark, base):
 
 
 @query("qcut_effects", sql("""
-WITH e AS (SELECT quantile_cont(param, 0.25) AS a, quantile_cont(param, 0.5) AS b, quantile_cont(param, 0.75) AS c FROM gaps),
-n AS (SELECT g.*, CAST(CASE WHEN param > a THEN 1 ELSE 0 END + CASE WHEN b > a AND param > b THEN 1 ELSE 0 END + CASE WHEN c > b AND param > c THEN 1 ELSE 0 END AS BIGINT) AS bin FROM gaps g, e)
-SELECT bin, count(*) AS n, min(param) AS low, max(param) AS high, round(avg(gap), 6) AS mean_gap FROM n GROUP BY bin""", "base", RUNS))
+WITH e AS (SELECT list_sort(list_distinct([CAST(min(param) AS DOUBLE), quantile_cont(param, 0.25), quantile_cont(param, 0.5), quantile_cont(param, 0.75), quantile_cont(param, 1.0)])) AS e FROM gaps),
+n AS (SELECT g.gap, e, greatest(1, len(list_filter(e, lambda v: v < param))) AS bin FROM gaps g, e)
+SELECT CAST(bin AS BIGINT) AS bin, round(e[bin], 6) AS "left", round(e[bin + 1], 6) AS "right", round(avg(gap), 6) AS gap_mean, round(stddev_samp(gap), 6) AS gap_std, count(gap) AS n_runs FROM n GROUP BY ALL""", "base", RUNS))
 def effects(spark, base):
     return calibrate.main_effects(runs_of(base), "param")
 

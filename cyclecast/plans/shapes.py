@@ -164,13 +164,13 @@ def validation(base):
 @query("uncovered_volume", sql("WITH f AS (SELECT DISTINCT sector, cd FROM forecast) SELECT cycle, round(sum(actual), 6) AS items, round(sum(CASE WHEN (sector, cd) IN (SELECT (sector, cd) FROM f) THEN 0 ELSE actual END), 6) AS uncovered FROM scored GROUP BY cycle", "days", FOLD))
 def uncovered(base):
     fold = daily_fold(base)
-    scored = scored_days(base).join(F.broadcast(fold["cd_shares"].select("sector", "cd", F.lit(True).alias("_known"))), ["sector", "cd"], "left")
+    scored = scored_days(base).join(fold["cd_shares"].select("sector", "cd", F.lit(True).alias("_known")), ["sector", "cd"], "left")
     return scored.groupBy("cycle").agg(F.sum("actual").alias("items"), F.sum(F.when(F.col("_known"), 0.0).otherwise(F.col("actual"))).alias("uncovered"))
 
 
 # -- hierarchy ---------------------------------------------------------------------------------------
 
-PATHS = {"region": "region", "management": "region || '/' || management", "sector": "region || '/' || management || '/' || sector", "city": "region || '/' || management || '/' || sector || '/' || state || '/' || city"}
+PATHS = {"region": "CAST(to_json([region]) AS VARCHAR)", "management": "CAST(to_json([region, management]) AS VARCHAR)", "sector": "CAST(to_json([region, management, sector]) AS VARCHAR)", "city": "CAST(to_json([region, management, sector, state, city]) AS VARCHAR)"}
 NODES = "sector_rows AS (SELECT region, management, sector, cycle, sum(items) AS items, min(opening_date) AS opening_date, max(closing_date) AS closing_date, min(window_start) AS window_start, any_value(cycle_days) AS cycle_days FROM panel GROUP BY ALL),\nnodes AS (" + " UNION ALL ".join(
     f"SELECT {PATHS[level]} AS node, {PATHS[parent] if parent else chr(39) * 2} AS parent, cycle, sum(items) AS items, min(opening_date) AS opening_date, max(closing_date) AS closing_date, min(window_start) AS window_start, avg(cycle_days) AS cycle_days, min(cycle_days) AS days_min, max(cycle_days) AS days_max, avg(isodow(window_start) - 1) AS opening_weekday_mean, avg(day(window_start)) AS opening_day_mean, '{level}' AS level FROM {'panel' if level == 'city' else 'sector_rows'} GROUP BY ALL"
     for parent, level in zip((None, *PATHS), PATHS)

@@ -32,7 +32,7 @@ sums AS (
   FROM complete GROUP BY ALL),
 firsts AS (SELECT sector, state, city, min(cycle) AS c1 FROM sums GROUP BY ALL),
 panel AS (
-  SELECT f.sector || '|' || f.state || '|' || f.city AS serie, f.sector, f.state, f.city, w.cycle, coalesce(s.items, 0) AS items,
+  SELECT CAST(to_json([f.sector, f.state, f.city]) AS VARCHAR) AS serie, f.sector, f.state, f.city, w.cycle, coalesce(s.items, 0) AS items,
     coalesce(s.orders, 0) AS orders, coalesce(s.volumes, 0) AS volumes, c.opening_date, c.closing_date, w.window_start, w.cycle_days, w.region, w.management
   FROM windows w JOIN firsts f ON f.sector = w.sector AND w.cycle >= f.c1 JOIN calendar c ON c.cycle = w.cycle
     LEFT JOIN sums s ON s.sector = f.sector AND s.state = f.state AND s.city = f.city AND s.cycle = w.cycle)"""

@@ -110,22 +110,52 @@ def last(df, column):
     return df.select("opening_date", column.alias("x")).orderBy(F.desc("opening_date")).first().x
 
 
-def test_croston_by_hand(spark):
+def last_point(points):
+    found = points.orderBy(F.desc("cycle")).first()
+    return found and found.predicted
+
+
+def test_croston_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(folds, "origins", lambda panel, **_: panel.select("cycle", F.col("cycle").cast("long").alias("origin")))
     rows = series(spark, [0, 4, 0, 0, 8, 0])  # the last is the target
     size, gap = 4 + 0.1 * 4, 2 + 0.1 * (3 - 2)
-    assert abs(last(rows, folds.croston(folds.history(), "classic")) - size / gap) < 1e-12
-    assert abs(last(rows, folds.croston(folds.history(), "sba")) - 0.95 * size / gap) < 1e-12
+    assert abs(last_point(folds.croston_backtest(rows, "classic")) - size / gap) < 1e-12
+    assert abs(last_point(folds.croston_backtest(rows, "sba")) - 0.95 * size / gap) < 1e-12
     prob = 0.5
     for bought in (0, 0, 1):
         prob += 0.1 * (bought - prob)
-    assert abs(last(rows, folds.croston(folds.history(), "tsb")) - prob * size) < 1e-12
-    assert last(series(spark, [0, 0, 0, 5]), folds.croston(folds.history())) == 0
-    assert last(series(spark, [1, 2, 3]), folds.croston(folds.history())) is None
+    assert abs(last_point(folds.croston_backtest(rows, "tsb")) - prob * size) < 1e-12
+    assert last_point(folds.croston_backtest(series(spark, [0, 0, 0, 5]))) == 0
+    assert last_point(folds.croston_backtest(series(spark, [1, 2, 3]))) is None
+
+
+def test_smoothing_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(folds, "origins", lambda panel, **_: panel.select("cycle", F.col("cycle").cast("long").alias("origin")))
+    assert abs(last_point(folds.ses_backtest(series(spark, [10, 20, 0, 7]), 0.5)) - 7.5) < 1e-12
+    assert last_point(folds.ses_backtest(series(spark, [10]), 0.5)) is None
+
+
+def test_main_effects_bins_like_qcut(spark):
+    for values in ([0, 0, 0, 0, 1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6, 7], [5, 5, 5, 5, 1], [2, 9, 9, 9, 9, 9, 9]):
+        rows = spark.createDataFrame([(float(v), float(i * i)) for i, v in enumerate(values)], "p double, gap double")
+        got = {r.bin: (r.n_runs, round(r.gap_mean, 9)) for r in calibrate.main_effects(rows, "p").collect()}
+        frame = pd.DataFrame({"p": values, "gap": [i * i for i in range(len(values))]})
+        want = frame.groupby(pd.qcut(frame["p"].astype(float), 4, duplicates="drop"), observed=True)["gap"].agg(["size", "mean"])
+        assert [got[k] for k in sorted(got)] == [(int(n), round(float(m), 9)) for n, m in want.to_numpy()], values
+
+
+def test_rank_by_rule_picks_again_and_again(spark):
+    rows = [("a", 1.0, 9.0, 2), ("b", 1.4, 5.0, 9), ("c", 1.3, 5.2, 3), ("d", 3.0, 0.0, 0), ("e", None, 1.0, 1), ("f", 1.9, 1.0, 1)]
+    found = calibrate.rank_by_rule(spark.createDataFrame(rows, "config string, gap_mean double, gap_p90 double, complexity int"), 0.5)
+    assert [r.config for r in found.orderBy("place").collect()] == ["c", "b", "a", "f", "d"]
 
 
-def test_smoothing_by_hand(spark):
-    assert abs(last(series(spark, [10, 20, 0, 7]), folds.ses(folds.history(), 0.5)) - 7.5) < 1e-12
-    assert last(series(spark, [10]), folds.ses(folds.history(), 0.5)) is None
+def test_as_is_is_measured_from_the_cycle_start(spark):
+    day = lambda n: D(2026, 3, n)
+    rows = [*((f"s{i:02d}", "202603", day(2 + i % 3)) for i in range(40)), ("early", "202603", day(1)), ("late", "202603", day(30)), ("away", "202602", day(1))]
+    base = spark.createDataFrame(rows, "sector string, cycle string, opening_date date")
+    got = {r.sector: r.slot for r in assign.infer_as_is(base, "202603").collect()}
+    assert got["early"] == 1 and got["late"] == 15 and got["s00"] == 1 and got["s02"] == 3 and got["away"] == 2
 
 
 def test_features_never_see_their_own_row(spark):

@@ -13,7 +13,7 @@ from cyclecast.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SOME = ("item_panel", "defan_latest_opening", "shape_days", "recent_cd_shares", "closed_history_asof", "cycle_factor_backtest", "croston", "ets_fixed_alpha", "compare_candidates", "days_exponent", "shape_recency", "combined_daily", "node_children", "distribute_topdown", "assignment_eval", "qcut_effects", "quarter_asof_join", "business_day_map")
+SOME = ("item_panel", "defan_latest_opening", "shape_days", "recent_cd_shares", "closed_history_asof", "cycle_factor_backtest", "croston", "ets_fixed_alpha", "compare_candidates", "days_exponent", "shape_recency", "combined_daily", "node_children", "distribute_topdown", "assignment_eval", "qcut_effects", "quarter_asof_join", "business_day_map", "infer_as_is", "rank_rule", "log_sigma_band", "naive_scale_mase", "opening_factors", "croston_tsb", "errors_by_state")
 
 
 def plain(value):
