@@ -160,73 +160,140 @@ def arrays(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([_hash(g) for g in values], np.uint64), np.array(list(values.values()), float)
 
 
+_BASIS, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+
+
 class Scorer:
-    """Scores whole texts; what a word or a character in its context adds is computed once as long as
-    a worker remembers it."""
+    """Scores whole texts. What a word adds is computed once as long as a worker remembers it, and for
+    all new words of a batch at a time."""
 
     def __init__(self, model: Model):
-        self.model, width = model, len(model.langs)
-        self.most = max(1000, min(MAX_WORDS, MAX_BYTES // (8 * max(1, width))))
-        self.words, self.word_rows = {}, np.zeros((1024, width))
-        self.grams, self.gram_rows = {}, np.zeros((1024, width))
-
-    def _gram(self, gram: str) -> int:
-        at = self.grams[gram] = len(self.grams)
-        if at >= len(self.gram_rows):
-            self.gram_rows = np.concatenate([self.gram_rows, np.zeros_like(self.gram_rows)])
-        self.gram_rows[at] = self.model.last(gram)
-        return at
-
-    def _places(self, word: str) -> list[int]:
-        """Of each character of the word and its end, where the rows have what it adds."""
-        text, known, places = EDGE + word + EDGE, self.grams.get, []
-        for end in range(2, len(text) + 1):
-            gram = text[end - ORDER if end > ORDER else 0 : end]
-            at = known(gram)
-            places.append(self._gram(gram) if at is None else at)
-        return places
-
-    def _rows(self, words: list[str]) -> list[int]:
-        """Where ``word_rows`` has each word's log probabilities, its end included."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.grams) > self.most:
-            self.grams.clear()
-        known, out, new, starts = self.words, [], [], []
-        first = len(known)
+        self.model, width = model, max(1, len(model.langs))
+        self.most = max(1000, min(MAX_WORDS, MAX_BYTES // (8 * width)))
+        self.step = max(64, MAX_BYTES // (32 * width))  # characters at once
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, len(model.langs)))
+        self.grams, self.gram_rows = np.empty(0, np.uint64), self.rows
+
+    def _add(self, total: np.ndarray, open_: np.ndarray, at: np.ndarray, hashes: np.ndarray, table: Table, closes: bool) -> None:
+        """Adds what ``table`` has of the hashes to the places ``at``, in the languages open there."""
+        if not len(table.hashes):
+            return
+        i = np.minimum(np.searchsorted(table.hashes, hashes), len(table.hashes) - 1)
+        met = table.hashes[i] == hashes
+        at, i = at[met], i[met]
+        n = table.starts[i + 1] - table.starts[i]
+        flat = np.arange(n.sum()) + np.repeat(table.starts[i] - (np.cumsum(n) - n), n)
+        row, lang = np.repeat(at, n), table.langs[flat]
+        asked = open_[row, lang]
+        row, lang = row[asked], lang[asked]
+        total[row, lang] += table.values[flat[asked]]
+        if closes:
+            open_[row, lang] = False
+
+    def _score_grams(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``Model.last`` of the grams: rows of code points, the last ``sizes`` of each row."""
+        model = self.model
+        total, open_ = np.zeros((len(grams), len(model.langs))), np.ones((len(grams), len(model.langs)), bool)
+        with np.errstate(over="ignore"):
+            for n in range(ORDER, 0, -1):
+                at = np.flatnonzero(sizes >= n)
+                context = np.full(len(at), _BASIS)
+                for j in range(ORDER - n, ORDER - 1):
+                    context = (context ^ grams[at, j]) * _PRIME
+                self._add(total, open_, at, (context ^ grams[at, -1]) * _PRIME, model.probs[n - 1], True)
+                self._add(total, open_, at, context, model.backs[n - 1], False)
+        total[open_] += model.unseen
+        return total
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of the words in each language, their ends included.
+
+        A character with those before it is looked up by one hash; what isn't remembered is scored first.
+        """
+        codes = np.frombuffer("".join([f"{EDGE}{w}{EDGE}" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.array([len(w) + 2 for w in words])
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - np.repeat(starts, sizes)
+        at = np.flatnonzero(place)  # a word's begin is given
+        length = np.minimum(place[at] + 1, ORDER)
+        keys = np.full(len(at), _BASIS)
+        with np.errstate(over="ignore"):
+            for back in range(ORDER - 1, -1, -1):
+                inside = length > back
+                keys[inside] = (keys[inside] ^ codes[at[inside] - back]) * _PRIME
+        i = np.minimum(np.searchsorted(self.grams, keys), max(0, len(self.grams) - 1))
+        new = self.grams[i] != keys if len(self.grams) else np.ones(len(keys), bool)
+        if new.any():
+            fresh_keys, first = np.unique(keys[new], return_index=True)
+            first = np.flatnonzero(new)[first]
+            windows = codes[np.maximum(at[first, None] - np.arange(ORDER - 1, -1, -1), 0)]
+            if len(self.grams) + len(fresh_keys) > 4 * self.most:
+                used = np.unique(i[~new])
+                self.grams, self.gram_rows = self.grams[used], self.gram_rows[used]
+            order = np.argsort(np.concatenate([self.grams, fresh_keys]), kind="stable")
+            self.grams = np.concatenate([self.grams, fresh_keys])[order]
+            self.gram_rows = np.concatenate([self.gram_rows, self._score_grams(windows, length[first])])[order]
+            i = np.searchsorted(self.grams, keys)
+        return np.add.reduceat(self.gram_rows[i], starts - np.arange(len(starts)), axis=0)
+
+    def _learn(self, words: list[str]) -> None:
+        found, begin, size = [self.rows[: len(self.known)]], 0, 0
+        for end, word in enumerate(words):
+            if size and size + len(word) > self.step:
+                found.append(self.score_words(words[begin:end]))
+                begin, size = end, 0
+            size += len(word) + 2
+        if words:
+            found.append(self.score_words(words[begin:]))
+        self.rows = np.concatenate(found)
         for word in words:
-            at = known.get(word)
-            if at is None:
-                at = known[word] = len(known)
-                starts.append(len(new))
-                new += self._places(word)
-            out.append(at)
+            self.known[word] = len(self.known)
+
+    def _sums(self, parts: list[tuple[int, list[str]]], entropy: np.ndarray) -> None:
+        """Takes each part's words from its text's row of ``entropy``."""
+        new = {w for _, words in parts for w in words if w not in self.known}
+        if len(self.known) + len(new) > self.most:
+            self.known, self.rows = {}, self.rows[:0]
+            new = {w for _, words in parts for w in words}
         if new:
-            while len(known) > len(self.word_rows):
-                self.word_rows = np.concatenate([self.word_rows, np.zeros_like(self.word_rows)])
-            step = 1 + MAX_BYTES // (64 * self.word_rows.shape[1])  # places at once, but whole words
-            cuts = np.unique([*np.searchsorted(starts, np.arange(0, len(new), step)), len(starts)])
-            for a, b in zip(cuts, cuts[1:]):
-                end = starts[b] if b < len(starts) else len(new)
-                self.word_rows[first + a : first + b] = np.add.reduceat(self.gram_rows[new[starts[a] : end]], np.array(starts[a:b]) - starts[a], axis=0)
+            self._learn(list(new))
+        known = self.known
+        for i, words in parts:
+            entropy[i] -= self.rows[[known[w] for w in words]].sum(axis=0)
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
+        """Language, score, cross-entropy in nats per character, rejected, of each text."""
+        model = self.model
+        letters = [sum(1 for _ in islice(filter(str.isalpha, t or ""), LETTERS)) if model.langs else 0 for t in texts]
+        entropy, sizes = np.zeros((len(texts), len(model.langs))), [0] * len(texts)
+        parts, held = [], 0
+        for i, text in enumerate(texts):
+            if letters[i]:
+                words = text.lower().split()
+                sizes[i] = sum(map(len, words)) + len(words)
+                for at in range(0, len(words), self.most):
+                    part = words[at : at + self.most]
+                    if held + len(part) > self.most and parts:
+                        self._sums(parts, entropy)
+                        parts, held = [], 0
+                    parts.append((i, part))
+                    held += len(part)
+        if parts:
+            self._sums(parts, entropy)
+        out = []
+        for own, size, n in zip(entropy, sizes, letters):
+            if not n:
+                out.append(("und", 0.0, None, True))
+                continue
+            own = own / size
+            best = int(own.argmin())
+            score = 1 / np.exp(-(own - own[best]) * min(size, 50)).sum()
+            out.append((model.langs[best], float(score), float(own[best]), bool(n >= LETTERS and own[best] > model.limits[best])))
         return out
 
     def judge(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """Language, score, cross-entropy in nats per character, rejected."""
-        letters = sum(1 for _ in islice(filter(str.isalpha, text or ""), LETTERS))
-        if not letters or not self.model.langs:
-            return "und", 0.0, None, True
-        words = text.lower().split()
-        size = sum(map(len, words)) + len(words)
-        entropy = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), self.most):
-            places = self._rows(words[at : at + self.most])  # may replace word_rows
-            entropy -= self.word_rows[places].sum(axis=0)
-        entropy /= size
-        best = int(entropy.argmin())
-        score = 1 / np.exp(-(entropy - entropy[best]) * min(size, 50)).sum()
-        rejected = letters >= LETTERS and entropy[best] > self.model.limits[best]
-        return self.model.langs[best], float(score), float(entropy[best]), bool(rejected)
+        return self.judge_all([text])[0]
 
 
 def sample(docs: DataFrame) -> DataFrame:
@@ -318,7 +385,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tupl
         import pandas as pd
 
         scorer = _scorer(shared.value)
-        return pd.DataFrame([scorer.judge(t) for t in texts], columns=list(types))
+        return pd.DataFrame(scorer.judge_all(texts.to_list()), columns=list(types))
 
     at = fresh(docs, "_judged")
     return docs.withColumn(at, judge(F.col(text_col))).select(*docs.columns, *(F.col(at)[c].alias(n) for c, n in zip(columns, names)))
