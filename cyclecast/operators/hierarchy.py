@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cyclecast.operators.features import before
+from cyclecast.operators.folds import pooled_ets, pooled_ets_choice
 
 LEVELS = ("region", "management", "sector", "city")
 #: The columns that name a node at each level.
@@ -182,3 +183,96 @@ def reconcile(base: DataFrame, iterations: int = 400) -> DataFrame:
         return pd.DataFrame({"fold": rows["fold"], "node": rows["node"], "value": np.bincount(at, own[column] * x[column], len(rows))})
 
     return base.groupBy("fold").applyInPandas(solve, "fold long, node string, value double")
+
+
+# -- forecasts of all nodes, a cycle after another ---------------------------------------------------
+
+#: Duration exponents and smoothing weights that the roots are tried with.
+ROOT_ALPHAS, ROOT_EXPONENTS = (0.1, 0.3, 0.5, 0.7, 0.9), (0.0, 0.5, 1.0)
+
+
+def latest_organization(history: DataFrame, queries: DataFrame) -> DataFrame:
+    """``queries`` with the region and management that each sector had last."""
+    last = history.groupBy("sector").agg(F.max_by(F.struct("region", "management"), "opening_date").alias("_o"))
+    return queries.join(last, "sector", "left").select(*queries.columns, "_o.region", "_o.management")
+
+
+def root_forecast(nodes: DataFrame, query: DataFrame) -> DataFrame:
+    """``(node, value)`` of ``query(node, cycle_days)``: smoothed levels per unit of window length.
+
+    The weight and the exponent of the length are shared by all roots: those of the least one-step error.
+    """
+    rows = nodes.select(F.col("node").alias("serie"), "opening_date", "items", "cycle_days")
+    folded = pooled_ets(rows, list(ROOT_ALPHAS), list(ROOT_EXPONENTS)).checkpoint()
+    best = F.broadcast(pooled_ets_choice(folded).select("alpha", "exponent"))
+    levels = folded.join(best, ["alpha", "exponent"]).select(F.col("serie").alias("node"), "level", "exponent")
+    value = F.greatest(F.col("level") * F.pow(F.col("cycle_days").cast("double"), F.col("exponent")), F.lit(0.0))
+    return query.join(levels, "node", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("value"))
+
+
+def sector_shares(panel: DataFrame, window: int = 5) -> DataFrame:
+    """``(serie, share)``: how a city's total under one management is split among its sectors.
+
+    By items of the last ``window`` cycles, where these have none by all, and evenly where there are none.
+    """
+    recent = panel.select("cycle", "opening_date").groupBy("cycle").agg(F.min("opening_date").alias("_d")).orderBy(F.desc("_d"), F.desc("cycle")).limit(window)
+    rows = panel.join(F.broadcast(recent.select("cycle", F.lit(True).alias("_recent"))), "cycle", "left")
+    sums = rows.groupBy("serie", "region", "management", "state", "city").agg(F.sum(F.when(F.col("_recent"), F.col("items")).otherwise(0)).alias("a"), F.sum("items").alias("b"))
+    group = Window.partitionBy("region", "management", "state", "city")
+    score = F.when(F.sum("a").over(group) > 0, F.col("a")).otherwise(F.col("b")).cast("double")
+    sums = sums.withColumn("s", score)
+    total = F.sum("s").over(group)
+    return sums.select("serie", F.when(total > 0, F.col("s") / F.nullif(total, F.lit(0.0))).otherwise(1.0 / F.count("*").over(group)).alias("share"))
+
+
+def forecast_cycle(panel: DataFrame, query: DataFrame, share_window: int = 5, prior: float = 5.0) -> DataFrame:
+    """``(node, level, value)`` for ``query``, the panel rows of one cycle to come without items.
+
+    Roots are smoothed, all below take their historical shares, so every parent is its children's sum.
+    """
+    nodes = with_parent(node_totals(panel)).checkpoint()
+    asked = node_totals(query.withColumn("items", F.lit(0.0))).select("node", "parent", "level", "cycle_days").checkpoint()
+    roots = root_forecast(nodes.where(F.col("level") == LEVELS[0]), asked.where(F.col("level") == LEVELS[0]))
+    known = historical_shares(nodes, share_window, prior).select("node", F.col("share").alias("score"))
+    shares = normalize_siblings(asked.where("parent <> ''").join(known, "node", "left").select("node", "parent", "level", F.coalesce("score", F.lit(0.0)).alias("score")))
+    return distribute(roots, shares)
+
+
+def forecast_path(panel: DataFrame, queries: DataFrame, share_window: int = 5, prior: float = 5.0) -> DataFrame:
+    """``queries`` (panel rows of cycles to come, without items) with ``level_pred``, cycle after cycle.
+
+    A cycle's forecasts become history for the next ones; what really came is never used. The cycles of a
+    path are few, and a checkpoint ends each one's lineage.
+    """
+    columns = [c for c in panel.columns if c in queries.columns or c == "items"]
+    cycles = [r.cycle for r in queries.groupBy("cycle").agg(F.min("opening_date").alias("d")).orderBy("d", "cycle").collect()]
+    known, found = panel.select(columns), None
+    for cycle in cycles:
+        query = queries.where(F.col("cycle") == cycle)
+        values = forecast_cycle(known, query, share_window, prior).where(F.col("level") == LEVELS[-1])
+        told = query.withColumn("node", node_id("city")).join(values.select("node", F.col("value").alias("level_pred")), "node", "left").drop("node").checkpoint()
+        known = known.unionByName(told.withColumn("items", F.coalesce("level_pred", F.lit(0.0))).select(columns))
+        found = told if found is None else found.unionByName(told)
+    return found
+
+
+def score(predicted: DataFrame, actual: DataFrame) -> DataFrame:
+    """Forecasts ``(node, level, value)`` beside actual nodes ``(node, level, items)``; either may be missing.
+
+    ``has_prediction`` tells which were forecast; ``active`` is false for cities without demand.
+    """
+    mine = predicted.select("node", F.col("level").alias("_l"), "value")
+    both = mine.join(actual.select("node", "level", F.col("items").cast("double").alias("actual")), "node", "full_outer")
+    level, observed = F.coalesce("level", "_l"), F.coalesce("actual", F.lit(0.0))
+    return both.select("node", level.alias("level"), "value", observed.alias("actual"), F.col("value").isNotNull().alias("has_prediction"), ((level != LEVELS[-1]) | (observed > 0)).alias("active"))
+
+
+def score_summary(scored: DataFrame) -> DataFrame:
+    """Errors by level for all points and for active ones, with the share of the demand that was forecast."""
+    scopes = F.explode(F.when(F.col("active"), F.array(F.lit("all"), F.lit("active"))).otherwise(F.array(F.lit("all"))))
+    error = F.abs(F.col("value") - F.col("actual"))
+    told = F.when(F.col("has_prediction"), F.col("actual"))
+    return scored.withColumn("scope", scopes).groupBy("scope", "level").agg(
+        F.count("*").alias("n"), F.count_if("has_prediction").alias("n_predicted"), F.avg(error).alias("mae"), (F.sum(error) / F.nullif(F.sum(told), F.lit(0.0))).alias("wmape"),
+        (F.sum(told) / F.nullif(F.sum("actual"), F.lit(0.0))).alias("coverage"),
+    )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cyclecast.plans import backtests, levels, panels, planning, scenarios, shapes
+from cyclecast.plans import backtests, checks, curves, daily, levels, panels, planning, scenarios, shapes
 
 FLAGSHIP = "item_panel"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (panels, backtests, shapes, planning, levels, scenarios):
+for module in (panels, backtests, shapes, planning, levels, scenarios, checks, daily, curves):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

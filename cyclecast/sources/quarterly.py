@@ -36,5 +36,5 @@ def as_of(series: DataFrame, table: DataFrame, key: str, lag: int = 1) -> DataFr
     grid = ends.select(key, "_a", "_b", F.explode(F.sequence("_a", "_b")).alias("q")).join(table, [key, "q"], "left")
     dense = grid.withColumn("value", F.last("value", True).over(Window.partitionBy(key).orderBy("q"))).select(key, "q", "value")
     at = quarter_index(F.year("date"), F.quarter("date")) - lag
-    placed = series.join(F.broadcast(ends), key).withColumn("q", F.greatest(F.least(at, F.col("_b")), F.col("_a"))).drop("_a", "_b")
-    return placed.join(F.broadcast(dense), [key, "q"])
+    placed = series.join(ends, key).withColumn("q", F.greatest(F.least(at, F.col("_b")), F.col("_a"))).drop("_a", "_b")
+    return placed.join(dense, [key, "q"])
