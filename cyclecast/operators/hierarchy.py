@@ -207,7 +207,7 @@ def root_forecast(nodes: DataFrame, query: DataFrame) -> DataFrame:
     best = F.broadcast(pooled_ets_choice(folded).select("alpha", "exponent"))
     levels = folded.join(best, ["alpha", "exponent"]).select(F.col("serie").alias("node"), "level", "exponent")
     value = F.greatest(F.col("level") * F.pow(F.col("cycle_days").cast("double"), F.col("exponent")), F.lit(0.0))
-    return query.join(levels, "node", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("value"))
+    return query.select("node", "cycle_days").join(levels, "node", "left").select("node", F.coalesce(value, F.lit(0.0)).alias("value"))
 
 
 def sector_shares(panel: DataFrame, window: int = 5) -> DataFrame:
