@@ -159,8 +159,8 @@ RECALL = 0.993
 LEAST_BITS, BUCKET_ROWS = 16, 64
 #: Least Jaccard similarity of the sets of shingles: NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Rows of a bucket that are compared at once.
-BLOCK = 1024
+#: Rows of a bucket that are compared at once; buckets of so many are compared together.
+BLOCK, SMALL = 1024, 64
 #: Pairs that a row tries with one other component, after those of ``link_wide``; at last all of them.
 TRIES = (16, BLOCK)
 
@@ -292,6 +292,27 @@ class _Bucket:
         return np.concatenate(self.links) if self.links else np.empty((0, 2), np.int64)
 
 
+def _together(key: np.ndarray, f: np.ndarray, last: int | None, radius: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of a batch sorted by key: the near pairs (later, earlier) in buckets of at most ``SMALL`` rows that
+    lie whole in it, and begins and ends of the other buckets.
+
+    All small buckets are compared at once: each row with the row so many places before it.
+    """
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    sizes = np.diff(cuts)
+    whole = sizes <= SMALL
+    whole[-1] = False  # may go on in the next batch
+    whole[0] &= bool(key[0] != last)
+    small, i, j = np.repeat(whole, sizes), [], []
+    for back in range(1, int(sizes[whole].max(initial=1))):
+        at = np.flatnonzero(small[back:] & (key[back:] == key[:-back])) + back
+        near = np.bitwise_count(f[at] ^ f[at - back]).sum(1, dtype=np.int16) <= radius
+        i.append(at[near])
+        j.append(at[near] - back)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j]), [(int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(~whole)]
+
+
 def _bucket_links(radius: int):
     """Per sorted bucket, also across batches: links that connect its rows, in proportion to its size."""
 
@@ -300,19 +321,18 @@ def _bucket_links(radius: int):
         for batch in batches:
             key, node, f0, f1 = (np.asarray(c) for c in batch.columns)
             f = np.stack([f0, f1], 1).view(np.uint64)  # bitwise_count takes a signed number's absolute value
-            found = []
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-            for begin, end in zip(cuts, cuts[1:]):
-                fresh = key[begin] != last
-                if fresh and end - begin == 1 and end < len(key):  # alone: nothing to link
-                    last = key[begin]
-                    continue
-                if fresh:
-                    bucket, nodes, last = _Bucket(radius), node[:0], key[begin]
+            i, j, others = _together(key, f, last, radius)
+            taken, _ = _spanning(np.arange(len(key)), i, j)
+            found = [np.stack([node[i[t]], node[j[t]]], 1) for t in taken]
+            for begin, end in others:
+                if key[begin] != last:
+                    bucket, nodes = _Bucket(radius), node[:0]
                 for at in range(begin, end, BLOCK):
                     to = min(at + BLOCK, end)
                     nodes = np.concatenate([nodes, node[at:to]])
                     found.append(nodes[bucket.add(f[at:to])])
+                last = key[begin]
+            last = key[-1]
             pairs = np.unique(np.concatenate(found), axis=0) if found else ()
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -332,18 +352,23 @@ def _least(i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
 
 
 def _bucket_pairs(radius: int, limit: int):
-    """Per bucket sorted by label: pairs of rows with different labels, of a row and a label ``limit`` in
-    two blocks. From ``limit`` BLOCK on, these are all. Blocks of one label aren't compared.
+    """Per bucket sorted by label: pairs of rows with different labels; in buckets of over ``SMALL`` rows,
+    of a row and a label ``limit`` in two blocks, from ``limit`` BLOCK on all. Blocks of one label aren't
+    compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = [np.empty(0, np.int64)] * 4, None
         for batch in batches:
             key, *columns = (np.asarray(c) for c in batch.columns)
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-            for begin, end in zip(cuts, cuts[1:]):
+            node, label = columns[0], columns[3]
+            i, j, others = _together(key, np.stack(columns[1:3], 1).view(np.uint64), last, radius)
+            apart = label[i] != label[j]
+            a, b = [node[i[apart]]], [node[j[apart]]]
+            for begin, end in others:
                 if key[begin] != last:
-                    own, last = [c[:0] for c in columns], key[begin]
+                    own = [c[:0] for c in columns]
+                last = key[begin]
                 for at in range(begin, end, BLOCK):
                     base = len(own[0])
                     own = [np.concatenate([o, c[at : min(at + BLOCK, end)]]) for o, c in zip(own, columns)]
@@ -359,7 +384,12 @@ def _bucket_pairs(radius: int, limit: int):
                         i, j = i[open_], j[open_]
                         if len(i):
                             few = _least(i, label[j], limit) & _least(j, label[i], limit)
-                            yield pa.RecordBatch.from_arrays([pa.array(node[i[few]]), pa.array(node[j[few]])], ["a", "b"])
+                            a.append(node[i[few]])
+                            b.append(node[j[few]])
+            last = key[-1]
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 

@@ -125,6 +125,20 @@ def test_bucket_connects_all_near_rows(monkeypatch):
         assert (simhash._labels(150, links[:, 0], links[:, 1]) == root).all() if len(links) else (root == np.arange(150)).all()
 
 
+def test_small_buckets_together_find_what_pairs_find():
+    rnd = np.random.default_rng(3)
+    key = np.sort(rnd.integers(0, 400, 2000))
+    key[500:640] = key[500]
+    key = np.sort(key)
+    f = rnd.integers(0, 2**63, (30, 2)).astype(np.uint64)[rnd.integers(0, 30, 2000)]
+    f[np.arange(2000), rnd.integers(0, 2, 2000)] ^= np.uint64(7) << rnd.integers(0, 60, 2000).astype(np.uint64)
+    i, j, others = simhash._together(key, f, int(key[0]), 6)
+    skipped = {key[b] for b, _ in others}
+    assert len(skipped) == 3 and key[0] in skipped and key[-1] in skipped
+    want = {(a, b) for a in range(2000) for b in range(max(0, a - 70), a) if key[a] == key[b] and key[a] not in skipped and int(np.bitwise_count(f[a] ^ f[b]).sum()) <= 6}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 50
+
+
 def test_plan_grows_with_the_rows():
     assert simhash.wide_plan(1000) == simhash.wide_plan(300_000) == (16, 16)
     for n in (10**6, 10**8, 10**10):
