@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLOTS, SPAN = 15, 21
+#: Numbers of an instance that annealing may hold in a task (200 MB).
+MAX_CELLS = 25_000_000
 
 
 def sector_curves(days: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -88,9 +90,12 @@ def explain(evaluated: DataFrame, before: str, after: str) -> DataFrame:
 def anneal(spark: SparkSession, demand: DataFrame, as_is: DataFrame, days: DataFrame, runs: DataFrame, iterations: int = 3000) -> DataFrame:
     """``(run, seed, start, objective, iterations, slots)``: simulated annealing, a task per run.
 
-    ``runs(run, seed, temperature, cooling)``. The instance is bounded by sectors x slots x days and
-    goes to the tasks as one array; parallelism is over runs.
+    ``runs(run, seed, temperature, cooling)``. The instance, sectors x slots x days, goes to the tasks as
+    one array; it is measured before anything is collected and may have ``MAX_CELLS`` at most.
     """
+    size = demand.agg(F.count_distinct("sector").alias("s"), F.max("day").alias("d")).first()
+    if size.s * (SLOTS + 1) * ((size.d or 0) + 1) > MAX_CELLS:
+        raise ValueError(f"{size.s} sectors by {size.d} days are too many to anneal in a task")
     rows, order = demand.toPandas(), as_is.toPandas()
     sectors = sorted(rows["sector"].unique())
     inside = days.toPandas()
@@ -126,3 +131,28 @@ def anneal(spark: SparkSession, demand: DataFrame, as_is: DataFrame, days: DataF
                 yield pd.DataFrame({"run": [run.run], "seed": [run.seed], "start": [first], "objective": [best], "iterations": [iterations], "slots": [kept.tolist()]})
 
     return runs.mapInPandas(solve, "run long, seed long, start double, objective double, iterations long, slots array<long>")
+
+
+def largest_sectors(curves: DataFrame, count: int) -> DataFrame:
+    """The rows of the ``count`` sectors with the most items; of equal ones the first by name."""
+    top = curves.groupBy("sector").agg(F.sum("items").alias("_t")).orderBy(F.desc("_t"), "sector").limit(count).select("sector")
+    return curves.join(F.broadcast(top), "sector", "left_semi")
+
+
+def assignment_table(assignments: DataFrame, as_is: DataFrame, main_cd: DataFrame, per_block: int = 5) -> DataFrame:
+    """Each sector's slot as block and sub-block beside its As-Is one, with its main CD and whether it moved."""
+    block = lambda slot: (F.floor((F.col(slot) - 1) / per_block) + 1).cast("int")
+    rows = assignments.join(as_is.select("sector", F.col("slot").alias("as_is_slot")), "sector", "left").join(main_cd, "sector", "left")
+    return rows.select(
+        "assignment_id", "sector", "cd", "slot", block("slot").alias("block"), ((F.col("slot") - 1) % per_block + 1).alias("sub_block"), "as_is_slot",
+        F.coalesce(F.col("slot") != F.col("as_is_slot"), F.lit(True)).alias("moved"),
+    )
+
+
+def rescore(evaluated: DataFrame, realized: DataFrame) -> DataFrame:
+    """Assignments' objectives on forecast demand beside those on what came, each against As-Is (0)."""
+    value = lambda df, name: df.select("assignment_id", F.col("objective").alias(name))
+    both = value(evaluated, "forecast").join(value(realized, "realized"), "assignment_id")
+    base = F.broadcast(both.where("assignment_id = 0").select(F.col("forecast").alias("_f"), F.col("realized").alias("_r")))
+    gain = lambda name, of: 100 * (F.col(of) - F.col(name)) / F.nullif(of, F.lit(0.0))
+    return both.crossJoin(base).select("assignment_id", "forecast", "realized", gain("forecast", "_f").alias("forecast_gain_pct"), gain("realized", "_r").alias("realized_gain_pct"))

@@ -73,3 +73,26 @@ def spearman(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
 def spread(rows: DataFrame, by: str, value: str) -> DataFrame:
     mean, std = F.avg(value), F.stddev_samp(value)
     return rows.groupBy(by).agg(mean.alias("mean"), std.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), (std / F.nullif(mean, F.lit(0.0))).alias("cv"))
+
+
+def add_gaps(table: DataFrame, by: str, value: str) -> DataFrame:
+    """Per cent that each row's value lies over the least one of its group."""
+    least = F.min(value).over(Window.partitionBy(by))
+    return table.withColumn("gap_pct", 100 * (F.col(value) - least) / F.nullif(least.cast("double"), F.lit(0.0)))
+
+
+def best_bounds(records: DataFrame) -> DataFrame:
+    """Per instance of ``records(instance, solver, objective, bound)``: the least objective and the greatest bound."""
+    return records.groupBy("instance").agg(F.min("objective").alias("upper"), F.max("bound").alias("lower"))
+
+
+def proven_optima(records: DataFrame, tolerance: float) -> DataFrame:
+    """Instances whose runs closed their gap, with the value they agree on; ``agree`` is false if they don't."""
+    closed = records.where(F.col("objective") - F.col("bound") <= tolerance * F.greatest(F.abs("objective"), F.lit(1.0)))
+    found = closed.groupBy("instance").agg(F.min("objective").alias("optimum"), F.max("objective").alias("_most"), F.count("*").alias("proofs"))
+    return found.select("instance", "optimum", "proofs", (F.col("_most") - F.col("optimum") <= tolerance * F.greatest(F.abs("optimum"), F.lit(1.0))).alias("agree"))
+
+
+def seed_spread(runs: DataFrame, value: str) -> DataFrame:
+    """Mean and deviation over the runs of each scenario and window, of each scenario, and of all."""
+    return runs.rollup("scenario", "window").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))

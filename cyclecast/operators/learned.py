@@ -19,15 +19,24 @@ def _matrix(panel: DataFrame) -> DataFrame:
 
 
 def backtest(panel: DataFrame, kind: str = "gbt", origins: int = 3) -> DataFrame:
-    """Points of the last ``origins`` cycles, learnt once from all cycles before them.
+    """Points of the last ``origins`` cycles, each learnt from the cycles before it.
 
     ``gbt``: boosted trees on absolute error, target relative to the series' mean so far; ``tweedie``:
-    a log-linear model with variance power 1.3. Predictions are at least 0.
+    a log-linear model with variance power 1.3. Predictions are at least 0. A fit is a job of its own, so
+    origins are few by default.
     """
-    rows = _matrix(panel).where("level_ref > 0")
-    targets = folds.origins(panel, max_origins=origins)
-    train = rows.join(F.broadcast(targets), "cycle", "left_anti")
-    test = rows.join(F.broadcast(targets), "cycle")
+    rows = _matrix(panel).where("level_ref > 0").join(F.broadcast(folds.cycle_index(panel).select("cycle", F.col("idx").alias("origin"))), "cycle").checkpoint()
+    targets = [r.origin for r in folds.origins(panel, max_origins=origins).collect()]
+    found = None
+    for origin in sorted(targets):
+        own = _predicted(rows.where(F.col("origin") < origin), rows.where(F.col("origin") == origin), kind)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        raise ValueError("no cycle has enough before it")
+    return found
+
+
+def _predicted(train: DataFrame, test: DataFrame, kind: str) -> DataFrame:
     names = INPUTS + [f"{c}_missing" for c in INPUTS]
     filler = Imputer(inputCols=INPUTS, outputCols=INPUTS, strategy="median").fit(train)
     assembler = VectorAssembler(inputCols=names, outputCol="features")

@@ -116,3 +116,14 @@ def curve_metrics(predicted: DataFrame, days: DataFrame) -> DataFrame:
     miss = F.abs(F.col("share_pred") - F.col("actual_share"))
     each = rows.groupBy(*KEYS).agg(F.avg(miss).alias("e"), (F.sum(miss) / 2).alias("tv"), F.max(F.col("uniform_fallback").cast("int")).alias("f"))
     return each.agg((100 * F.avg("e")).alias("share_mae_pp"), F.avg("tv").alias("total_variation"), F.sum("f").alias("fallbacks"), F.count("*").alias("curves"))
+
+
+def cumulative(days: DataFrame) -> DataFrame:
+    """Each window's share of items sold up to each day; null without demand."""
+    run = Window.partitionBy(*KEYS).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return days.select(*KEYS, "date", (F.sum("actual").over(run) / F.nullif(F.col("total_actual").cast("double"), F.lit(0.0))).alias("cumulative_share"))
+
+
+def forecast_items(orders: DataFrame, items_per_order: DataFrame) -> DataFrame:
+    """Forecast orders as items, by each sector's items an order."""
+    return orders.join(items_per_order, "sector", "left").withColumn("forecast_items", F.col("forecast_orders") * F.col("items_per_order")).drop("items_per_order")

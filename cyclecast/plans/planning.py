@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclecast.operators import assign, calendar, calibrate, learned, panel
+from cyclecast.operators import assign, calendar, calibrate, learned, panel, shape
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
 from cyclecast.session import table
@@ -199,3 +199,79 @@ def gbt(spark, base):
 @query("tweedie_backtest")
 def tweedie(spark, base):
     return learned.backtest(panel.item_panel(base).checkpoint(), "tweedie")
+
+
+@query("largest_sectors", sql("SELECT sector, pos AS at, \"offset\", items FROM curves WHERE sector IN (SELECT sector FROM curves GROUP BY sector ORDER BY sum(items) DESC, sector LIMIT 5)", "days", LAST))
+def largest_sectors(spark, base):
+    from pyspark.sql import Window
+
+    last = calendar.cycle_calendar(base).where("is_complete").orderBy(F.desc("opening_date")).limit(3).select("cycle", (F.row_number().over(Window.orderBy("opening_date")) - 1).alias("at"))
+    return assign.largest_sectors(assign.sector_curves(panel.shape_days(base), last), 5)
+
+
+@query("assignment_table", sql("""
+WITH m AS (SELECT sector, cd FROM (SELECT sector, cd, row_number() OVER (PARTITION BY sector ORDER BY sum(items) DESC, cd) AS r FROM base GROUP BY sector, cd) WHERE r = 1)
+SELECT p.assignment_id, p.sector, CAST(m.cd AS BIGINT) AS cd, CAST(p.slot AS BIGINT) AS slot, CAST((p.slot - 1) // 5 + 1 AS BIGINT) AS block, CAST((p.slot - 1) % 5 + 1 AS BIGINT) AS sub_block, a.slot AS as_is_slot, p.slot <> a.slot AS moved
+FROM plans p LEFT JOIN as_is a USING (sector) LEFT JOIN m USING (sector)""", "days", LAST))
+def assignment_table(spark, base):
+    known = calendar.cycle_calendar(base).where("is_complete")
+    as_is = assign.infer_as_is(base, known.orderBy(F.desc("opening_date")).limit(1).select("cycle")).checkpoint()
+    return assign.assignment_table(plans(as_is), as_is, panel.dominant_cd(base))
+
+
+@query("cumulative_shares", sql("""
+SELECT sector, cycle, date, round(sum(actual) OVER (PARTITION BY sector, cycle ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / nullif(total_actual, 0), 6) AS cumulative_share FROM days""", "days"))
+def cumulative_shares(spark, base):
+    return shape.cumulative(panel.shape_days(base))
+
+
+@query("forecast_items", sql("""
+WITH o AS (SELECT sector, avg(n) AS forecast_orders FROM (SELECT sector, cycle, count(DISTINCT order_id) AS n FROM base GROUP BY ALL) GROUP BY sector),
+r AS (SELECT sector, sum(items) / sum(orders) AS q FROM (SELECT sector, cycle, sum(items) AS items, count(DISTINCT order_id) AS orders FROM base GROUP BY ALL) GROUP BY sector)
+SELECT sector, round(forecast_orders, 6) AS forecast_orders, round(forecast_orders * q, 6) AS forecast_items FROM o JOIN r USING (sector)""", "base"))
+def forecast_items(spark, base):
+    level = panel.demand_level(base)
+    return shape.forecast_items(level.groupBy("sector").agg(F.avg("orders").alias("forecast_orders")), panel.items_per_order(level))
+
+
+RECORDS = "records AS (SELECT sector AS instance, cd AS solver, sum(items) AS objective, sum(items) - count(*) % 3 * 5 AS bound FROM base GROUP BY ALL)"
+
+
+def records(base: DataFrame) -> DataFrame:
+    """A table of the shape of solver records, told from the base."""
+    found = base.groupBy(F.col("sector").alias("instance"), F.col("cd").alias("solver")).agg(F.sum("items").alias("objective"), F.count("*").alias("_n"))
+    return found.withColumn("bound", F.col("objective") - F.col("_n") % 3 * 5).drop("_n")
+
+
+@query("best_bounds", sql("SELECT instance, min(objective) AS upper, max(bound) AS lower FROM records GROUP BY instance", "base", RECORDS))
+def best_bounds(spark, base):
+    return calibrate.best_bounds(records(base))
+
+
+@query("proven_optima", sql("SELECT instance, min(objective) AS optimum, count(*) AS proofs, max(objective) - min(objective) <= 0.001 * greatest(abs(min(objective)), 1.0) AS agree FROM records WHERE objective - bound <= 0.001 * greatest(abs(objective), 1.0) GROUP BY instance", "base", RECORDS))
+def proven_optima(spark, base):
+    return calibrate.proven_optima(records(base), 0.001)
+
+
+@query("gap_columns", sql("SELECT instance, CAST(solver AS BIGINT) AS solver, objective, bound, round(100 * (objective - min(objective) OVER (PARTITION BY instance)) / nullif(CAST(min(objective) OVER (PARTITION BY instance) AS DOUBLE), 0), 6) AS gap_pct FROM records", "base", RECORDS))
+def gap_columns(spark, base):
+    return calibrate.add_gaps(records(base), "instance", "objective")
+
+
+@query("seed_spread", sql("""
+SELECT region AS scenario, CAST(cd AS BIGINT) AS "window", count(*) AS n, round(avg(items), 6) AS mean, round(stddev_samp(items), 6) AS std, min(items) AS min, max(items) AS max FROM base GROUP BY ROLLUP (region, cd)""", "base"))
+def seed_spread(spark, base):
+    return calibrate.seed_spread(base.select(F.col("region").alias("scenario"), F.col("cd").alias("window"), "items"), "items")
+
+
+@query("realized_rescore")
+def realized_rescore(spark, base):
+    """Plans on demand told from three cycles, and on what the last one of them brought."""
+    from pyspark.sql import Window
+
+    i = instance(base)
+    last = calendar.cycle_calendar(base).where("is_complete").orderBy(F.desc("opening_date")).limit(3).select("cycle", (F.row_number().over(Window.orderBy("opening_date")) - 1).alias("at"))
+    came = assign.projected_demand(assign.sector_curves(panel.shape_days(base), last.where("at = 2"))).checkpoint()
+    told = assign.evaluate(i["demand"], plans(i["as_is"]), i["cd_shares"], i["capacity"], i["as_is"], i["days"])
+    real = assign.evaluate(came, plans(i["as_is"]), i["cd_shares"], i["capacity"], i["as_is"], assign.balance_days(came))
+    return assign.rescore(told, real)
