@@ -30,6 +30,8 @@ ORDER = 5
 #: Labelled texts to learn from: of each language at most so many different ones, chosen by hash, with
 #: about so many characters; of all languages together about so many. These bound the models' size.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 1_000_000, 64_000_000
+#: So many languages' counts may be broadcast.
+FEW_LANGS = 100_000
 #: Of a language's sampled texts each so many-th only calibrates the rejection; fewer texts are all
 #: learnt from.
 HELD = 5
@@ -300,7 +302,8 @@ def sample(docs: DataFrame) -> DataFrame:
     """``(lang, text, part)``: at most ``SAMPLE_DOCS`` different labelled texts of each language, by their
     hash, and all of a language with fewer. Copies are one."""
     hashed = docs.select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds")).checkpoint()
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_LANGS else sizes  # texts don't move for a few languages
     at = F.col("h").bitwiseAND(F.lit((1 << 40) - 1).cast("long")) / F.lit(float(1 << 40))
     few = hashed.join(sizes, "lang").where(at * F.col("kinds") < 1.2 * SAMPLE_DOCS)  # the count is approximate
     few = few.groupBy("lang", "h").agg(F.first("text").alias("text"))

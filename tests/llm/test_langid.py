@@ -162,8 +162,10 @@ def test_foreign_texts_and_noise_are_rejected(spark):
     assert kept.where("rejected").count() == 0 and kept.where("lang_pred <> lang").count() <= 0.01 * kept.count()
 
 
-def test_repeated_rows_and_null_ids_dont_fill_the_sample(spark):
+@pytest.mark.parametrize("few", [langid.FEW_LANGS, 1])
+def test_repeated_rows_and_null_ids_dont_fill_the_sample(spark, monkeypatch, few):
     common.prepare(spark)
+    monkeypatch.setattr(langid, "FEW_LANGS", few)
     texts = [*[(None, "the water over that shore", "en")] * 3000, *((i, f"thing {i}", "en") for i in range(900)), (None, "der schöne", "de"), *[(7, "le même", "fr")] * 2000]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     got = Counter(r.lang for r in langid.sample(docs).collect())
