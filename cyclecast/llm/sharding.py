@@ -16,6 +16,8 @@ from cyclecast.llm.common import fresh
 BUCKET_BYTES = 16 << 20
 #: Copies of a row that one step spreads, buckets whose offsets one task adds up.
 CHUNK = 4096
+#: Rows of narrow tables (under 40 bytes each) that may be broadcast, so that texts don't move to meet them.
+FEW = 500_000
 
 
 def row_bytes(rows: DataFrame) -> Column:
@@ -56,6 +58,7 @@ def shuffle_shards(rows: DataFrame, shards: int = 8, seed: int = 42, bucket_byte
     # narrow: where each bucket begins; ``part`` by ``part``, so no task sees all buckets of a large table
     single = counted.where(~crowd).select(at(h1, h2).alias(bucket), F.col(copies).alias(n))
     several = counted.where(crowd)
+    few = F.broadcast if several.count() <= FEW else lambda df: df
     spread = _spread(several.select(h1, h2, copies), copies, copy).select(at(h1, h2, copy).alias(bucket), F.lit(1).cast("long").alias(n))
     sizes = single.unionByName(spread).groupBy(bucket).agg(F.sum(n).alias(n)).withColumn(part, F.floor(F.col(bucket) / CHUNK)).checkpoint()
     parts = sizes.groupBy(part).agg(F.sum(n).alias("_all"))
@@ -64,12 +67,13 @@ def shuffle_shards(rows: DataFrame, shards: int = 8, seed: int = 42, bucket_byte
     offsets = sizes.join(parts, part).select(bucket, (F.col("_before") + before(Window.partitionBy(part).orderBy(bucket), n)).alias(offset))
 
     whole = [*rows.columns, h1, h2]
-    light = keyed.join(several.select(h1, h2), [h1, h2], "left_anti").select(*whole, at(h1, h2).alias(bucket), F.lit(0).cast("long").alias(copy))
-    heavy = keyed.join(several.select(h1, h2, copies), [h1, h2]).groupBy(h1, h2).agg(F.first(F.struct(*columns)).alias(row), F.first(copies).alias(copies))
+    light = keyed.join(few(several.select(h1, h2)), [h1, h2], "left_anti").select(*whole, at(h1, h2).alias(bucket), F.lit(0).cast("long").alias(copy))
+    heavy = keyed.join(few(several.select(h1, h2, copies)), [h1, h2]).groupBy(h1, h2).agg(F.first(F.struct(*columns)).alias(row), F.first(copies).alias(copies))
     heavy = _spread(heavy, copies, copy).select(*(F.col(row)[c].alias(c) for c in rows.columns), h1, h2, at(h1, h2, copy).alias(bucket), copy)
     scattered = light.unionByName(heavy).repartitionById(buckets, bucket)
     laid = scattered.groupBy(bucket).agg(F.sort_array(F.collect_list(F.struct(h1, h2, copy, F.struct(*columns).alias(row)))).alias(row))
-    laid = laid.select(bucket, F.posexplode(F.shuffle(row, seed=F.lit(seed))).alias(place, row)).join(offsets, bucket)
+    laid = laid.select(bucket, F.posexplode(F.shuffle(row, seed=F.lit(seed))).alias(place, row))
+    laid = laid.join(F.broadcast(offsets) if buckets <= FEW else offsets, bucket)
     index = F.col(offset) + F.col(place)
     return laid.select(*(F.col(row)[row][c].alias(c) for c in rows.columns), (index % shards).cast("int").alias(shard), F.floor(index / shards).cast("long").alias(slot))
 
