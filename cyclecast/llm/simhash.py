@@ -224,15 +224,15 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _spanning(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Which pairs of places join the components ``comp`` (a place each), and the components then.
 
-    Each component takes its last pair at a time, so a group is a chain and has no hub.
+    Each component takes the pair with the earliest end at a time, so buckets that share rows often share
+    links, and their distinct links are few.
     """
-    taken, left = [], np.arange(len(i))
+    taken, left = [], np.argsort(j, kind="stable")
     while True:
         left = left[comp[i[left]] != comp[j[left]]]
         if not len(left):
             return taken, comp
-        _, at = np.unique(comp[i[left]][::-1], return_index=True)
-        at = left[len(left) - 1 - at]
+        at = left[np.unique(comp[i[left]], return_index=True)[1]]
         taken.append(at)
         comp = _labels(len(comp), comp[i[at]], comp[j[at]])[comp]
 
@@ -262,16 +262,12 @@ class _Bucket:
         self.links, base, radius = [], len(self.f), self.radius
         self.f = np.concatenate([self.f, x])
         self.comp = np.concatenate([self.comp, np.arange(base, len(self.f))])
-        i, j = _near(x, x, radius)
-        self._link(i[i > j] + base, j[i > j] + base)
         far = _distances(x, self.f[self.leaders])
         cluster = np.where((far <= radius).any(1), far.argmin(1), -1) if len(self.leaders) else np.full(len(x), -1)
-        for c in np.unique(cluster[cluster >= 0]):  # late members first: links make chains, a leader is no hub
-            rows, late = np.flatnonzero(cluster == c), self.members[c][-BLOCK:]
-            i, j = _near(x[rows], self.f[late], radius)
-            self._link(rows[i] + base, late[j])
         i, j = np.nonzero(far <= radius)
         self._link(i + base, self.leaders[j])
+        i, j = _near(x, x, radius)
+        self._link(i[i > j] + base, j[i > j] + base)
         for c, (leader, reach) in enumerate(zip(self.leaders, self.reach)):
             rows = np.flatnonzero((far[:, c] <= radius + reach) & (self.comp[base:] != self.comp[leader])) if reach else ()
             for at in range(0, len(self.members[c]) if len(rows) else 0, BLOCK):
