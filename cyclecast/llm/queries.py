@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, langid, linededup, mtree, packing, pii, sharding, simhash, urlrules, vptree
+from cyclecast.llm import bpe, fim, langid, linededup, mtree, packing, pii, sharding, simhash, urlrules, vptree
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -93,6 +93,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding}
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+    list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8 * i + 1, 8) AS BIGINT)) AS h
+  FROM documents),
+spans AS (
+  SELECT doc_id, text, t, len(t) AS n, least(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS a, greatest(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS b,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, text, n, form, coalesce(list_aggregate(t[1:a], 'string_agg', ''), '') AS p, coalesce(list_aggregate(t[a + 1:b], 'string_agg', ''), '') AS m, coalesce(list_aggregate(t[b + 1:n], 'string_agg', ''), '') AS s
+  FROM spans)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op13_fim": op13_fim}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL, "op13_fim": OP13_SQL}
