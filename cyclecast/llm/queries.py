@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, fim, langid, linededup, mtree, packing, pii, sharding, simhash, urlrules, vptree
+from cyclecast.llm import bpe, fim, langid, linededup, mtree, packing, pii, sharding, simhash, substrings, urlrules, vptree
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -93,6 +93,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (
+  SELECT r, doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS h
+  FROM texts, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+firsts AS (SELECT h, min(doc_id) AS d FROM words WHERE h IS NOT NULL GROUP BY h),
+marked AS (SELECT r, i, word, coalesce(words.doc_id > d, false) AS late FROM words LEFT JOIN firsts USING (h)),
+covered AS (SELECT r, i, word, bool_or(late) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM covered),
+kept AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_repeats, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_repeats, 0) AS n_repeats, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return fim.report(table(spark, sf_dir, "documents"))
@@ -117,6 +137,6 @@ FROM parts
 """
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op13_fim": op13_fim}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op12_substrings": op12_substrings, "op13_fim": op13_fim}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL, "op13_fim": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL, "op12_substrings": OP12_SQL, "op13_fim": OP13_SQL}
