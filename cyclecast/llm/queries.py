@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cyclecast.llm import bpe, fim, langid, linededup, mtree, packing, pii, sharding, simhash, substrings, urlrules, vptree
+from cyclecast.llm import bpe, fim, langid, linededup, mtree, packing, pii, ranked, sharding, simhash, substrings, urlrules, vptree
 from cyclecast.llm.common import prepare
 from cyclecast.session import table
 
@@ -93,6 +93,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP11_SQL = r"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM rows),
+counted AS (SELECT r, doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY r),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM lengths),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM totals) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counted GROUP BY t),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark WHERE item_id IS NOT NULL),
+scored AS (
+  SELECT i.item_id, c.r, c.doc_id, CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (100 - 50 + (50 * l.n * x.docs) // x.all_terms)))) AS BIGINT) AS score
+  FROM items i JOIN counted c USING (t) JOIN weights w USING (t) JOIN lengths l USING (r) CROSS JOIN totals x GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return substrings.report(table(spark, sf_dir, "documents"))
@@ -137,6 +161,6 @@ FROM parts
 """
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op12_substrings": op12_substrings, "op13_fim": op13_fim}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_rules": op4_url_rules, "op5_packing": op5_packing, "op6_pii": op6_pii, "op7_mtree": op7_mtree, "op8_vptree": op8_vptree, "op9_line_dedup": op9_line_dedup, "op10_sharding": op10_sharding, "op11_ranked": op11_ranked, "op12_substrings": op12_substrings, "op13_fim": op13_fim}
 
-ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL, "op12_substrings": OP12_SQL, "op13_fim": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_rules": OP4_SQL, "op7_mtree": OP7_SQL, "op11_ranked": OP11_SQL, "op12_substrings": OP12_SQL, "op13_fim": OP13_SQL}
