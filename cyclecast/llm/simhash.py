@@ -180,8 +180,9 @@ def wide_plan(n: int) -> tuple[int, int]:
     return bits, ceil(log(1 - RECALL) / log(1 - met))
 
 
-def _wide_keys(lanes: int, bits: int, segments: int):
-    """Per row (node, lanes, others): a row (key, node, f0, f1, others) for each key of its segments' balls."""
+def _wide_keys(lanes: int, bits: int, segments: int, balls: bool = True):
+    """Per row (node, lanes, others): a row (key, node, f0, f1, others) for each key of its segments' balls,
+    or for the segments alone."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [np.asarray(c) for c in batch.columns]
@@ -189,7 +190,7 @@ def _wide_keys(lanes: int, bits: int, segments: int):
         cut = np.unpackbits(octets, axis=1)[:, : bits * segments].reshape(-1, segments, bits)
         powers = 1 << np.arange(bits)[::-1]
         own = cut @ powers
-        row, segment, bit = np.nonzero(cut)  # from the side that has the bit set: a pair meets at the smaller key
+        row, segment, bit = np.nonzero(cut if balls else cut[:0])  # from the side that has the bit set: a pair meets at the smaller key
         at = np.concatenate([np.repeat(np.arange(len(own)), segments), row])
         key = np.concatenate([(own | np.arange(segments) << bits).ravel(), own[row, segment] ^ powers[bit] | segment << bits])
         carried = [0, 1, 2, *range(1 + lanes, len(columns))]
@@ -248,7 +249,7 @@ class _Bucket:
 
     def __init__(self, radius: int):
         self.radius, self.f, self.comp = radius, np.empty((0, 2), np.uint64), np.empty(0, np.int64)
-        self.leaders, self.members, self.reach = np.empty(0, np.int64), [], []
+        self.leaders, self.members, self.reach, self.label = np.empty(0, np.int64), [], [], None
 
     def _link(self, i: np.ndarray, j: np.ndarray) -> None:
         apart = self.comp[i] != self.comp[j]
@@ -257,11 +258,20 @@ class _Bucket:
             taken, self.comp = _spanning(self.comp, i, j)
             self.links += [np.stack([i[t], j[t]], 1) for t in taken]
 
-    def add(self, x: np.ndarray) -> np.ndarray:
-        """The links (later row, earlier row) that at most ``BLOCK`` further rows bring."""
+    def add(self, x: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+        """The links (later row, earlier row) that at most ``BLOCK`` further rows bring.
+
+        Rows come in the order of their labels, if they have any; those of one label are connected already.
+        """
         self.links, base, radius = [], len(self.f), self.radius
         self.f = np.concatenate([self.f, x])
-        self.comp = np.concatenate([self.comp, np.arange(base, len(self.f))])
+        own = np.arange(base, len(self.f))
+        if label is not None:
+            own = base + _run_starts(label)
+            if base and label[0] == self.label:
+                own[own == base] = self.comp[-1]
+            self.label = label[-1]
+        self.comp = np.concatenate([self.comp, own])
         far = _distances(x, self.f[self.leaders])
         cluster = np.where((far <= radius).any(1), far.argmin(1), -1) if len(self.leaders) else np.full(len(x), -1)
         i, j = np.nonzero(far <= radius)
@@ -309,16 +319,26 @@ def _together(key: np.ndarray, f: np.ndarray, last: int | None, radius: int) ->
     return np.concatenate([none, *i]), np.concatenate([none, *j]), [(int(cuts[b]), int(cuts[b + 1])) for b in np.flatnonzero(~whole)]
 
 
+def _run_starts(*columns: np.ndarray) -> np.ndarray:
+    """For each row of sorted columns the place of the first equal one."""
+    new = np.any([np.r_[True, c[1:] != c[:-1]] for c in columns], axis=0)
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
 def _bucket_links(radius: int):
-    """Per sorted bucket, also across batches: links that connect its rows, in proportion to its size."""
+    """Per sorted bucket, also across batches: links that connect its rows, in proportion to its size.
+
+    Rows may have labels, by which they are sorted within a bucket; rows of one label need no link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, nodes, last = _Bucket(radius), np.empty(0, np.int64), None
         for batch in batches:
-            key, node, f0, f1 = (np.asarray(c) for c in batch.columns)
+            key, node, f0, f1, *more = (np.asarray(c) for c in batch.columns)
+            label = more[0] if more else node
             f = np.stack([f0, f1], 1).view(np.uint64)  # bitwise_count takes a signed number's absolute value
             i, j, others = _together(key, f, last, radius)
-            taken, _ = _spanning(np.arange(len(key)), i, j)
+            taken, _ = _spanning(_run_starts(key, label), i, j)
             found = [np.stack([node[i[t]], node[j[t]]], 1) for t in taken]
             for begin, end in others:
                 if key[begin] != last:
@@ -326,7 +346,7 @@ def _bucket_links(radius: int):
                 for at in range(begin, end, BLOCK):
                     to = min(at + BLOCK, end)
                     nodes = np.concatenate([nodes, node[at:to]])
-                    found.append(nodes[bucket.add(f[at:to])])
+                    found.append(nodes[bucket.add(f[at:to], label[at:to])])
                 last = key[begin]
             last = key[-1]
             pairs = np.unique(np.concatenate(found), axis=0) if found else ()
@@ -390,11 +410,11 @@ def _bucket_pairs(radius: int, limit: int):
     return run
 
 
-def _meet(rows: DataFrame, function, plan: tuple[int, int], *others: str) -> DataFrame:
+def _meet(rows: DataFrame, function, plan: tuple[int, int], *others: str, balls: bool = True) -> DataFrame:
     """``function`` on the sorted buckets of ``rows(node, f0, f1, ...)``: its pairs, the greater node first."""
     lanes = [c for c in rows.columns if c[0] == "f" and c[1:].isdigit()]
     schema = ", ".join(f"{c} long" for c in ("key", "node", "f0", "f1", *others))
-    keys = map_batches(rows.select("node", *lanes, *others), _wide_keys(len(lanes), *plan), schema)
+    keys = map_batches(rows.select("node", *lanes, *others), _wide_keys(len(lanes), *plan, balls), schema)
     pairs = keys.repartition("key").sortWithinPartitions("key", *others, "node").mapInArrow(function, "a long, b long")
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -458,12 +478,19 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
 def link_alike(docs: DataFrame, unique: DataFrame, words: int, plan: tuple[int, int], radius: int = WIDE_RADIUS) -> DataFrame:
     """Verified links that connect all near pairs of ``unique`` whose shingles are alike.
 
-    The first candidates connect what is near. Where one fails, so that its ends stay apart, further
+    First rows meet in the segments without balls and each is linked to the earliest near one it meets
+    there, so that a large group of near copies hangs together by a link a row. Then all meet in the
+    balls, where only rows that no verified link connects yet are linked: what meets there is as before,
+    but the group brings few further links. Where a candidate fails, so that its ends stay apart, further
     pairs of the parts are tried, at last all that meet; so no failed candidate hides a true one, and
     groups of true copies, which the first links connect, are never paired.
     """
-    pairs = link_wide(unique, plan, radius).checkpoint()
-    links = verified(docs, pairs, words).checkpoint()
+    first = _meet(unique, _bucket_links(radius), plan, balls=False).groupBy("a").agg(F.min("b").alias("b")).checkpoint()
+    known = verified(docs, first, words).checkpoint()
+    labelled = unique.join(components(known), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    pairs = _meet(labelled, _bucket_links(radius), plan, "label").join(first, ["a", "b"], "left_anti").checkpoint()
+    links = known.union(verified(docs, pairs, words)).checkpoint()
+    pairs = first.union(pairs)
     if pairs.count() == links.count():
         return links
     groups = components(pairs).checkpoint()
