@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import compress
 
 import numpy as np
@@ -25,63 +26,124 @@ from pyspark.sql import functions as F
 
 from cyclecast.llm.common import bitmap, fresh, join_counted, map_batches
 
+#: Bytes of a text that are split into words at once, words of short texts that are searched together and
+#: windows searched at once, and rows of a batch that goes back to Spark.
+PIECE, STEP, OUT_ROWS = 4 << 20, 1 << 16, 1 << 15
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes of a text that are split into words at once, distinct words whose hashes a task keeps, windows
-#: searched for their anchors at once, and rows of a batch that goes back to Spark.
-PIECE, KEPT_WORDS, STEP, OUT_ROWS = 4 << 20, 1 << 18, 1 << 16, 1 << 15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+#: For each number of bytes up to 8 the bits of the first so many of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def word_hashes(text: bytes, kept: _WordHashes) -> np.ndarray:
-    """A hash of each word of the whole text, which is split piece by piece."""
-    out, at = [np.empty(0, np.uint64)], 0
+def normal(text: bytes) -> bytes:
+    """The words joined by one space."""
+    if len(text) <= PIECE:
+        return b" ".join(text.split())  # of bytes: at exactly these six
+    parts, at = [], 0
     while at < len(text):
         end = at + PIECE
         while end < len(text) and text[end] not in b" \t\n\v\f\r":
             end += 1
-        words = text[at:end].split()  # of bytes: at exactly these six
-        out.append(np.fromiter(map(kept.__getitem__, words), np.uint64, len(words)))
+        parts.append(normal(text[at:end]))
         at = end
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-    return np.concatenate(out)
+    return b" ".join(filter(None, parts))
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each ``k`` consecutive words, from sums of powers modulo 2^64. Collisions cost time alone."""
-    n = len(h)
-    if n < k:
-        return h[:0]
-    power, back = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, factor, np.uint64)], dtype=np.uint64) for factor in (_BASE, _INVERSE))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
-    x = (sums[k:] - sums[:-k]) * back[: n - k + 1]
-    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xD6E8FEB86659FD93)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+class Texts:
+    """Texts one after another: their words joined, where each word begins, whose it is, and how many words
+    are before each text."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [normal(t) for t in texts]
+        counts = np.array([p.count(b" ") + 1 if p else 0 for p in parts], np.int64)
+        self.joined = b" ".join(filter(None, parts))
+        self.begins = np.zeros(counts.sum() + 1, np.int64)  # the last: where a further word would
+        np.add(np.flatnonzero(np.frombuffer(self.joined + b" " * bool(self.joined), np.uint8) == 32), 1, out=self.begins[1:])
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        self.before = np.cumsum(counts) - counts
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * _MIX
+    x = (x ^ x >> np.uint64(29)) * _MIX
     return x ^ x >> np.uint64(32)
 
 
-def anchors(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(key, first, last)``: each anchor's key, and the first and last window that it belongs to."""
-    k = max(1, min_words // 2)
-    keys, wide = rolling(h, k), min_words - k + 1
-    if len(h) < min_words:
-        return keys[:0], np.empty(0, np.int64), np.empty(0, np.int64)
-    views = (np.lib.stride_tricks.sliding_window_view(keys[a : a + STEP + wide - 1], wide) for a in range(0, len(keys) - wide + 1, STEP))
-    place = np.concatenate([view.argmin(1) + a * STEP for a, view in enumerate(views)]) + np.arange(len(keys) - wide + 1) % STEP
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    return keys[place[first]], first, np.append(first[1:], len(place)) - 1
+def word_hashes(joined: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each word, of its length and its first and last eight bytes. Others may share it: that
+    brings no wrong result, as whole windows are compared by digests of all their bytes."""
+    low, high = int(begin[0]), int(end[-1])
+    octets = bytes(8) + joined[low:high] + bytes(8)
+    any_eight = np.ndarray(len(octets) - 7, "<u8", octets, strides=(1,))
+    size = end - begin
+    head = any_eight[begin - low + 8] & _FIRST[np.minimum(size, 8)]
+    tail = any_eight[end - low] & ~_FIRST[np.maximum(8 - size, 0)]  # the bytes of words before are left out
+    return _mixed(_mixed(head ^ size.astype(np.uint64)) + tail)
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(2 * STEP, base, np.uint64)], dtype=np.uint64)
 
 
-def _digests(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """128 bits, two numbers, of the words from each ``begin`` to before each ``end``."""
-    octets = memoryview(h).cast("B")
-    found = b"".join(xxhash.xxh3_128_digest(octets[a:b]) for a, b in zip((8 * begin).tolist(), (8 * end).tolist()))
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each ``k`` consecutive of up to two STEP words, from sums of powers modulo 2^64."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_BASE)[: len(h)], out=sums[1:])
+    return _mixed((sums[k:] - sums[:-k]) * _powers(pow(_BASE, -1, 1 << 64))[: len(h) - k + 1])
+
+
+def _least(keys: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each ``wide`` consecutive keys."""
+    size = 1
+    while 2 * size <= wide:
+        keys, size = np.minimum(keys[:-size], keys[size:]), 2 * size
+    return np.minimum(keys[: len(keys) - wide + size], keys[wide - size :]) if size < wide else keys
+
+
+def _runs(keys: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, last, place)``: windows of ``wide`` keys that have their first least key at one place."""
+    views = np.lib.stride_tricks.sliding_window_view(keys, wide)
+    least = _least(keys, wide)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    place = views[first].argmin(1) + first
+    last = np.append(first[1:], len(least)) - 1
+    if (last > place).any():  # the least key is there more than once
+        place = views.argmin(1) + np.arange(len(least))
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        place, last = place[first], np.append(first[1:], len(least)) - 1
+    return first, last, place
+
+
+def anchors(texts: Texts, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, first, last)``: each anchor's key, and the first and last window that it belongs to.
+
+    Windows are numbered by their first words, through all texts; those that go on in another text are
+    left out. Many words are searched step by step. An anchor's windows may be parted there, which only
+    means that they are compared one by one.
+    """
+    k, n = max(1, min_words // 2), len(texts.owner)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at in range(0, n - min_words + 1, STEP):
+        own = texts.begins[at : at + STEP + min_words]
+        owner = texts.owner[at : at + STEP + min_words - 1]
+        keys = rolling(word_hashes(texts.joined, own[:-1], own[1:] - 1), k)
+        first, last, place = _runs(keys, min_words - k + 1)
+        whole = owner[min_words - 1 :] == owner[: len(owner) - min_words + 1]
+        upto = np.zeros(len(whole) + 1, np.int64)
+        np.cumsum(whole, out=upto[1:])
+        left = upto[last + 1] - upto[first]  # of a run, windows side by side: it is shorter than what is left out
+        some = left > 0
+        first = np.flatnonzero(whole)[upto[first[some]]]
+        found.append((keys[place[some]].view(np.int64), first + at, first + left[some] - 1 + at))
+    key, first, last = (np.concatenate(x) for x in zip(*found))
+    return key, first, last
+
+
+def _digests(texts: Texts, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits, two numbers, of the words from each ``first`` to before each ``end``."""
+    octets = memoryview(texts.joined)
+    found = b"".join([xxhash.xxh3_128_digest(octets[a:b]) for a, b in zip(texts.begins[first].tolist(), (texts.begins[end] - 1).tolist())])
     return np.frombuffer(found, "<i8").reshape(-1, 2)
 
 
@@ -90,75 +152,75 @@ def _met(filter_: tuple[bytes, int], keys: np.ndarray) -> np.ndarray:
     return octets[(keys & mask) >> 3] >> (keys & 7).astype(np.uint8) & 1 == 1
 
 
-def _emit(docs: DataFrame, of_text, schema: str) -> DataFrame:
-    """The rows of ``of_text(doc_id, text, hashes of its words)``, an array a column, for each document."""
+def _emit(docs: DataFrame, found, schema: str) -> DataFrame:
+    """The rows of ``found(texts, doc_id of each word, text's checksum for each word)``, an array a column."""
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.int32() if x.endswith(" int") else pa.int64() for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, waiting, n = _WordHashes(), [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*waiting)]
-            for at in range(0, n, OUT_ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + OUT_ROWS], t) for c, t in zip(columns, types)], names)
+    def rows(waiting: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        ids, texts = zip(*waiting)
+        columns = found(Texts(texts), np.array(ids, np.int64), np.array([zlib.crc32(t) for t in texts], np.int64))
+        for at in range(0, len(columns[0]), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + OUT_ROWS], t) for c, t in zip(columns, types)], names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = of_text(doc_id, text.as_py(), kept)
-                if len(found[0]):
-                    waiting.append(found)
-                    n += len(found[0])
-                if n >= OUT_ROWS:
-                    yield from out()
-                    waiting, n = [], 0
-        if n:
-            yield from out()
+                waiting.append((doc_id, text.as_py()))
+                size += len(waiting[-1][1])
+                if size > 4 * STEP:
+                    yield from rows(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from rows(waiting)
 
     return docs.mapInArrow(run, schema)
 
 
 def _seeds(docs: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id): the different anchors of each document."""
+    """(key, doc_id): the anchors of each document."""
+
+    def found(texts: Texts, ids: np.ndarray, crcs: np.ndarray) -> list[np.ndarray]:
+        key, first, _ = anchors(texts, min_words)
+        return [key, ids[texts.owner[first]]]
 
-    def of_text(doc_id: int, text: bytes, kept: _WordHashes) -> list[np.ndarray]:
-        keys = np.unique(anchors(word_hashes(text, kept), min_words)[0]).view(np.int64)
-        return [keys, np.full(len(keys), doc_id)]
+    return _emit(docs, found, "key long, doc_id long")
 
-    return _emit(docs, of_text, "key long, doc_id long")
+
+def _places(texts: Texts, ids: np.ndarray, crcs: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """doc_id, crc, begin and end in words of the document."""
+    owner = texts.owner[first]
+    return [ids[owner], crcs[owner], first - texts.before[owner], end - texts.before[owner]]
 
 
 def _occurrences(docs: DataFrame, shared: Broadcast, min_words: int) -> DataFrame:
     """Places of the ``shared`` anchors: the digest of the words that their windows reach, and these windows."""
 
-    def of_text(doc_id: int, text: bytes, kept: _WordHashes) -> list[np.ndarray]:
-        h = word_hashes(text, kept)
-        key, first, last = anchors(h, min_words)
-        key = key.view(np.int64)
+    def found(texts: Texts, ids: np.ndarray, crcs: np.ndarray) -> list[np.ndarray]:
+        key, first, last = anchors(texts, min_words)
         at = _met(shared.value, key)
-        key, first, last = key[at], first[at], last[at]
-        digest = _digests(h, first, last + min_words)
-        n = len(key)
-        return [key, digest[:, 0], digest[:, 1], np.full(n, doc_id), np.full(n, zlib.crc32(text)), first, last + min_words]
+        key, first, end = key[at], first[at], last[at] + min_words
+        digest = _digests(texts, first, end)
+        return [key, digest[:, 0], digest[:, 1], *_places(texts, ids, crcs, first, end)]
 
-    return _emit(docs, of_text, "key long, s1 long, s2 long, doc_id long, crc long, begin int, end int")
+    return _emit(docs, found, "key long, s1 long, s2 long, doc_id long, crc long, begin int, end int")
 
 
-def _windows(docs: DataFrame, asked: Broadcast, min_words: int) -> DataFrame:
+def _windows(docs: DataFrame, shared: Broadcast, asked: Broadcast, min_words: int) -> DataFrame:
     """Each window of the reaches that are ``asked``, by its digest."""
 
-    def of_text(doc_id: int, text: bytes, kept: _WordHashes) -> list[np.ndarray]:
-        h = word_hashes(text, kept)
-        key, first, last = anchors(h, min_words)
-        if len(key):
-            at = _met(asked.value, _digests(h, first, last + min_words)[:, 0] ^ doc_id)
-            first, last = first[at], last[at]
-        begin = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)] or [first])
-        digest = _digests(h, begin, begin + min_words)
-        n = len(begin)
-        return [digest[:, 0], digest[:, 1], np.full(n, doc_id), np.full(n, zlib.crc32(text)), begin, begin + min_words]
+    def found(texts: Texts, ids: np.ndarray, crcs: np.ndarray) -> list[np.ndarray]:
+        key, first, last = anchors(texts, min_words)
+        at = _met(shared.value, key)
+        first, last = first[at], last[at]
+        at = _met(asked.value, _digests(texts, first, last + min_words)[:, 0] ^ ids[texts.owner[first]])
+        sizes = (last - first)[at] + 1
+        begin = np.repeat(first[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        digest = _digests(texts, begin, begin + min_words)
+        return [digest[:, 0], digest[:, 1], *_places(texts, ids, crcs, begin, begin + min_words)]
 
-    return _emit(docs, of_text, "w1 long, w2 long, doc_id long, crc long, begin int, end int")
+    return _emit(docs, found, "w1 long, w2 long, doc_id long, crc long, begin int, end int")
 
 
 def _later(rows: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -181,14 +243,15 @@ def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).dropna()
     shared = _seeds(docs, min_words).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    rows = _occurrences(docs, context.broadcast(bitmap(shared)), min_words).checkpoint()
+    anchored = context.broadcast(bitmap(shared))
+    rows = _occurrences(docs, anchored, min_words).checkpoint()
     total = rows.count()
     whole = _later(rows, ["s1", "s2"], total)
 
     reach = rows.groupBy("s1", "s2").agg(F.first("key").alias("key"), F.min("doc_id").alias("first"))
     several = reach.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).where("n > 1 and a < b").select("key", "n").checkpoint()
     asked = join_counted(reach, several, ["key"], "n", total).select(F.col("s1").bitwiseXOR(F.col("first")).alias("key"))
-    single = _windows(docs, context.broadcast(bitmap(asked)), min_words).checkpoint()
+    single = _windows(docs, anchored, context.broadcast(bitmap(asked)), min_words).checkpoint()
     found = whole.unionByName(_later(single, ["w1", "w2"], single.count()))
 
     def merged(batch: pa.RecordBatch) -> pa.RecordBatch:

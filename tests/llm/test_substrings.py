@@ -80,12 +80,27 @@ def test_no_words_empty_digest(spark):
     assert {r.kept_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()} and all(r.n_words == r.n_removed == 0 for r in got)
 
 
-def test_each_window_has_one_anchor():
-    rnd = np.random.default_rng(1)
-    for n in (50, 51, 400, 70_000):
-        h = rnd.integers(0, 4, n).astype(np.uint64) * np.uint64(0x1234567890ABCDEF)
-        key, first, last = substrings.anchors(h, 50)
-        keys = substrings.rolling(h, 25)
-        assert first[0] == 0 and last[-1] == n - 50 and (first[1:] == last[:-1] + 1).all()
-        for k, a, b in list(zip(key, first, last))[:200]:
-            assert all(keys[s : s + 26].min() == k for s in (a, b))
+def test_each_window_has_one_anchor(monkeypatch):
+    monkeypatch.setattr(substrings, "STEP", 1000)
+    rnd = random.Random(1)
+    sizes = [(50, 4), (51, 9), (0, 1), (400, 2), (2500, 3), (49, 1), (2500, 10**6), (1200, 1), (1, 1), (60, 60)]
+    made = [" ".join(f"w{rnd.randrange(words)}" for _ in range(n)).encode() for n, words in sizes]
+    for size in (50, 2, 3):
+        texts = substrings.Texts(made)
+        assert texts.joined.split() == b" ".join(made).split() and len(texts.owner) == sum(n for n, _ in sizes)
+        key, first, last = substrings.anchors(texts, size)
+        windows = [s for s in range(len(texts.owner) - size + 1) if texts.owner[s] == texts.owner[s + size - 1]]
+        assert np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]).tolist() == windows
+        k = max(1, size // 2)
+        h = substrings.word_hashes(texts.joined, texts.begins[:-1], texts.begins[1:] - 1)
+        keys = np.concatenate([substrings.rolling(h[a : a + k], k) for a in range(len(h) - k + 1)])
+        for x, a, b in zip(key.view(np.uint64), first, last):
+            assert all(keys[s : s + size - k + 1].min() == x for s in (a, b))
+
+
+def test_word_hashes_tell_words_apart():
+    words = [b"a", b"b", b"ab", b"ba", b"abcdefgh", b"abcdefghi", b"abcdefgh" * 2, b"x" * 9, b"x" * 10, b"x" * 40, b"x", b"\x00", b"\x00\x00", "é".encode()]
+    hashes = lambda t: substrings.word_hashes(t.joined, t.begins[:-1], t.begins[1:] - 1)
+    for order in (words, words[::-1]):
+        found = hashes(substrings.Texts([b" \n".join(order)])).tolist()
+        assert len(set(found)) == len(words) and found == [int(hashes(substrings.Texts([w]))[0]) for w in order]
