@@ -92,7 +92,8 @@ def learned(history: DataFrame, windows: DataFrame, trees: int = 20) -> DataFram
     asked = table(calendar.expand_days(windows))
     codes = StringIndexer(inputCol="sector", outputCol="sector_code", handleInvalid="keep").fit(train)
     assemble = VectorAssembler(inputCols=features, outputCol="features")
-    model = GBTRegressor(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.1, maxBins=64, seed=42).fit(assemble.transform(codes.transform(train)))
+    bins = max(64, len(codes.labels) + 1)  # a bin for each sector
+    model = GBTRegressor(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.1, maxBins=bins, seed=42).fit(assemble.transform(codes.transform(train)))
     told = model.transform(assemble.transform(codes.transform(asked))).withColumn("w", F.greatest("prediction", F.lit(0.0)))
     told = told.withColumn("t", F.sum("w").over(Window.partitionBy(*KEYS)))
     share = F.when(F.col("t") > 0, F.col("w") / F.nullif("t", F.lit(0.0))).otherwise(1.0 / F.col("cycle_days"))

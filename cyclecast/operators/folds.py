@@ -36,9 +36,14 @@ def bridge(panel: DataFrame, window: int | None = None, min_train: int = MIN_TRA
     return (pairs.where(F.col("idx") >= F.col("origin") - window) if window else pairs).select("origin", "cycle")
 
 
+def floored(prediction: Column) -> Column:
+    """At least 0; a missing forecast stays missing."""
+    return F.when(prediction > 0, prediction).when(prediction.isNotNull(), 0.0)
+
+
 def scored(panel: DataFrame, candidate: str, prediction: Column, **options: int) -> DataFrame:
     """Points of a candidate whose prediction is a column over the series' window; nulls are skipped."""
-    rows = panel.select("serie", "cycle", "opening_date", "window_start", "cycle_days", F.col("items").cast("double").alias("actual"), F.greatest(prediction, F.lit(0.0)).alias("predicted"))
+    rows = panel.select("serie", "cycle", "opening_date", "window_start", "cycle_days", F.col("items").cast("double").alias("actual"), floored(prediction).alias("predicted"))
     rows = rows.join(F.broadcast(origins(panel, **options)), "cycle").where("predicted is not null")
     return rows.select(F.lit(candidate).alias("candidate"), "serie", "cycle", "origin", "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("abs_error"))
 
@@ -69,7 +74,7 @@ def recursive(panel: DataFrame, candidate: str, start: Column, step, forecast, *
     arrays = panel.groupBy("serie").agg(F.array_sort(F.collect_list(F.struct("opening_date", "cycle", F.col("items").cast("double").alias("x")))).alias("s"))
     first = F.struct(start.alias("state"), F.array().cast("array<double>").alias("out"))
     told = F.aggregate("s", first, lambda a, v: F.struct(step(a["state"], v["x"]).alias("state"), F.concat(a["out"], F.array(forecast(a["state"]))).alias("out")), lambda a: a["out"])
-    rows = arrays.select("serie", F.explode(F.arrays_zip("s", told.alias("p"))).alias("r")).select("serie", "r.s.cycle", F.col("r.s.x").alias("actual"), F.greatest(F.col("r.p"), F.when(F.col("r.p").isNotNull(), 0.0)).alias("predicted"))
+    rows = arrays.select("serie", F.explode(F.arrays_zip("s", told.alias("p"))).alias("r")).select("serie", "r.s.cycle", F.col("r.s.x").alias("actual"), floored(F.col("r.p")).alias("predicted"))
     rows = rows.join(F.broadcast(origins(panel, **options)), "cycle").where("predicted is not null")
     return rows.select(F.lit(candidate).alias("candidate"), "serie", "cycle", "origin", "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("abs_error"))
 
@@ -143,7 +148,7 @@ def days_exponent(rows: DataFrame, by: list[str]) -> DataFrame:
 def window_scaled_mean(panel: DataFrame) -> DataFrame:
     """Mean of items per unit of window length (days to the fold's exponent), times the target's own."""
     train = training(panel)
-    exponents = days_exponent(train, ["origin"])
+    exponents = days_exponent(train, ["origin"]).withColumn("exponent", F.round("exponent", 6))
     levels = train.join(F.broadcast(exponents), "origin").groupBy("origin", "serie").agg(
         F.avg(F.col("items") / F.pow(F.col("cycle_days").cast("double"), F.col("exponent"))).alias("level"), F.first("exponent").alias("exponent")
     )

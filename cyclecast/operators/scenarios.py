@@ -14,98 +14,53 @@ from pyspark.sql import functions as F
 
 from cyclecast.operators import calendar, evaluate, folds, shape
 
-QUERY = ("serie", "cycle", "window_start", "cycle_days")
+#: What identifies a window of a series that is asked for.
+WINDOW = ("serie", "cycle", "window_start", "cycle_days")
 CITY = ("sector", "state", "city")
 
-#: From history and queries, each with the columns ``QUERY``, to ``(*QUERY, predicted)``.
-Candidate = Callable[[DataFrame, DataFrame], DataFrame]
 
+def _mean_of_last(n: int) -> Column:
+    newest = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("opening_date", F.col("items").cast("double").alias("x"))))), 1, n)
+    return F.aggregate(newest, F.lit(0.0), lambda a, v: a + v["x"]) / F.size(newest)
 
-class CandidateRegistry:
-    """Candidates by name, with parameters."""
 
-    def __init__(self) -> None:
-        self._builders: dict[str, Callable[..., Candidate]] = {}
+def _per_day() -> Column:
+    return F.avg(F.col("items") / F.pow(F.col("cycle_days").cast("double"), F.col("exponent")))
 
-    def register(self, name: str) -> Callable[[Callable[..., Candidate]], Callable[..., Candidate]]:
-        def add(builder: Callable[..., Candidate]) -> Callable[..., Candidate]:
-            if name in self._builders:
-                raise ValueError(f"{name} is registered twice")
-            self._builders[name] = builder
-            return builder
 
-        return add
+#: A series' level by strategy: an aggregate of its history. ``exponent`` is the history's own (see
+#: ``folds.days_exponent``). Those of ``PER_DAY`` are for a window of one day, and grow with its length.
+LEVELS: dict[str, Callable[[], Column]] = {
+    "naive:mean": lambda: F.avg("items"),
+    "naive:last": lambda: F.max_by("items", "opening_date").cast("double"),
+    "moving_average": lambda: _mean_of_last(5),
+    "window_scaled": _per_day,
+}
+PER_DAY = {"window_scaled"}
 
-    def names(self) -> list[str]:
-        return sorted(self._builders)
 
-    def build(self, name: str, **params) -> Candidate:
-        if name not in self._builders:
-            raise ValueError(f"unknown candidate {name}; there are {self.names()}")
-        return self._builders[name](**params)
-
-
-REGISTRY = CandidateRegistry()
-
-
-def _by_series(value: Column) -> Candidate:
-    """The same for every window of a series."""
-    return lambda history, queries: queries.select(*QUERY).join(history.groupBy("serie").agg(value.cast("double").alias("predicted")), "serie").select(*QUERY, "predicted")
-
-
-@REGISTRY.register("naive:mean")
-def naive_mean() -> Candidate:
-    return _by_series(F.avg("items"))
-
-
-@REGISTRY.register("naive:last")
-def naive_last() -> Candidate:
-    return _by_series(F.max_by("items", "opening_date"))
-
-
-@REGISTRY.register("moving_average")
-def moving_average(window: int = 5) -> Candidate:
-    def answer(history: DataFrame, queries: DataFrame) -> DataFrame:
-        back = F.row_number().over(Window.partitionBy("serie").orderBy(F.desc("opening_date")))
-        return naive_mean()(history.withColumn("_b", back).where(F.col("_b") <= window), queries)
-
-    return answer
-
-
-@REGISTRY.register("window_scaled")
-def window_scaled() -> Candidate:
-    """The mean per unit of window length, to the exponent that the history shows, times the query's own."""
-
-    def answer(history: DataFrame, queries: DataFrame) -> DataFrame:
-        exponent = folds.days_exponent(history.withColumn("_one", F.lit(1)), ["_one"]).select("exponent")
-        rows = history.crossJoin(F.broadcast(exponent))  # one row
-        unit = F.avg(F.col("items") / F.pow(F.col("cycle_days").cast("double"), F.col("exponent")))
-        levels = rows.groupBy("serie").agg(unit.alias("unit"), F.first("exponent").alias("exponent"))
-        answered = queries.select(*QUERY).join(levels, "serie")
-        return answered.select(*QUERY, (F.col("unit") * F.pow(F.col("cycle_days").cast("double"), F.col("exponent"))).alias("predicted"))
-
-    return answer
+def answer(history: DataFrame, windows: DataFrame, levels: dict[str, Callable[[], Column]] = LEVELS) -> DataFrame:
+    """``(candidate, *WINDOW, predicted)``: every window answered by all ``levels``, in one aggregation.
 
+    A window of a series without history has null. History has to end before the first window's cycle.
+    """
+    span = history.agg(F.max("opening_date").alias("a")).crossJoin(windows.agg(F.min("opening_date").alias("b"))).first()
+    if span.a and span.b and span.a >= span.b:
+        raise ValueError(f"history reaches {span.a}, a window's cycle opens {span.b}")
+    exponent = folds.days_exponent(history.withColumn("_one", F.lit(1)), ["_one"]).select("exponent")
+    rows = history.crossJoin(F.broadcast(exponent))  # one row
+    known = rows.groupBy("serie").agg(F.first("exponent").alias("exponent"), *(level().alias(f"_{i}") for i, level in enumerate(levels.values())))
+    scale = F.pow(F.col("cycle_days").cast("double"), F.coalesce("exponent", F.lit(0.0)))
+    each = [F.struct(F.lit(name).alias("candidate"), (F.col(f"_{i}") * (scale if name in PER_DAY else 1.0)).alias("predicted")) for i, name in enumerate(levels)]
+    return windows.join(known, "serie", "left").select(*WINDOW, F.explode(F.array(*each)).alias("a")).select("a.candidate", *WINDOW, "a.predicted")
 
-def align_predictions(targets: DataFrame, predictions: DataFrame) -> DataFrame:
-    """``targets`` with ``predicted``: of each query the first prediction, null where it was skipped."""
-    missing = set(QUERY) - set(predictions.columns)
-    if missing:
-        raise ValueError(f"predictions lack {sorted(missing)}")
-    numbered = predictions.withColumn("_row", F.monotonically_increasing_id())
-    first = numbered.groupBy(*QUERY).agg(F.min_by(F.struct("predicted"), "_row").alias("_p"))
-    return targets.join(first, list(QUERY), "left").withColumn("predicted", F.col("_p.predicted")).select(*targets.columns, "predicted")
 
+def attach(windows: DataFrame, told: DataFrame) -> DataFrame:
+    """``windows`` with ``predicted`` of the same series, cycle, start and length in ``told``.
 
-def forecast(candidate: Candidate, history: DataFrame, queries: DataFrame) -> DataFrame:
-    """``queries`` with ``predicted``, from all of ``history``, which has to end before them."""
-    missing = {*QUERY, "opening_date"} - set(queries.columns)
-    if missing:
-        raise ValueError(f"queries lack {sorted(missing)}")
-    last, first = history.agg(F.max("opening_date")).first()[0], queries.agg(F.min("opening_date")).first()[0]
-    if last is not None and first is not None and last >= first:
-        raise ValueError("every query must be for a cycle after the end of history")
-    return align_predictions(queries, candidate(history, queries))
+    Null where nothing is told; of several, the least, whatever their order.
+    """
+    return windows.join(told.groupBy(*WINDOW).agg(F.min("predicted").alias("predicted")), list(WINDOW), "left").select(*windows.columns, "predicted")
 
 
 def future_targets(panel: DataFrame, cycles: list[str]) -> DataFrame:

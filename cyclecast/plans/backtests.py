@@ -201,10 +201,11 @@ def exponent(p):
 
 
 @query("window_scaled_backtest", sql("""
-WITH levels AS (SELECT origin, serie, avg(items / power(CAST(cycle_days AS DOUBLE), exponent)) AS level FROM train JOIN exponents USING (origin) GROUP BY ALL),
+WITH exponents AS (SELECT origin, round(exponent, 6) AS exponent FROM raw_exponents),
+levels AS (SELECT origin, serie, avg(items / power(CAST(cycle_days AS DOUBLE), exponent)) AS level FROM train JOIN exponents USING (origin) GROUP BY ALL),
 p AS (SELECT t.serie, t.cycle, o.origin, CAST(t.items AS DOUBLE) AS actual, level * power(CAST(t.cycle_days AS DOUBLE), exponent) AS predicted
   FROM panel t JOIN origins o USING (cycle) JOIN levels l ON l.origin = o.origin AND l.serie = t.serie JOIN exponents e ON e.origin = o.origin)
-SELECT 'naive:mean scaled' AS candidate, serie, cycle, origin, actual, round(predicted, 4) AS predicted, round(abs(actual - predicted), 4) AS abs_error FROM p""", "panel", INDEX, TRAIN, EXPONENT))
+SELECT 'naive:mean scaled' AS candidate, serie, cycle, origin, actual, round(predicted, 4) AS predicted, round(abs(actual - predicted), 4) AS abs_error FROM p""", "panel", INDEX, TRAIN, EXPONENT.replace("exponents AS", "raw_exponents AS")))
 def scaled(p):
     return rounded(folds.window_scaled_mean(p), 4)
 
@@ -237,7 +238,7 @@ def _candidates(p: DataFrame) -> DataFrame:
     """Several candidates' points; the panel's shuffle and sort are shared by the window forecasts."""
     picks = [("naive:last", folds.last_value()), ("naive:mean", folds.mean()), ("naive:seasonal17", folds.seasonal(17)), ("moving_average:5", folds.moving_average(5))]
     wide = p.select("*", *(c.alias(n) for n, c in picks)).join(F.broadcast(folds.origins(p)), "cycle")
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), F.greatest(F.col(f"`{n}`"), F.lit(0.0)).alias("predicted"), F.col(f"`{n}`").isNotNull().alias("known")) for n, _ in picks)))
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("candidate"), folds.floored(F.col(f"`{n}`")).alias("predicted"), F.col(f"`{n}`").isNotNull().alias("known")) for n, _ in picks)))
     rows = wide.select("serie", "cycle", "origin", F.col("items").cast("double").alias("actual"), pairs.alias("x")).where("x.known")
     return rows.select("x.candidate", "serie", "cycle", "origin", "actual", "x.predicted", F.abs(F.col("actual") - F.col("x.predicted")).alias("abs_error"))
 

@@ -67,7 +67,7 @@ def item_panel(base):
 
 @query("item_panel_by_sector", sql("""
 WITH own AS (SELECT sector, cycle, sum(items) AS items, count(DISTINCT order_id) AS orders, count(*) AS volumes FROM complete GROUP BY ALL)
-SELECT o.sector AS serie, o.sector, o.cycle, o.items, o.orders, o.volumes, c.opening_date, c.closing_date, w.window_start, CAST(w.cycle_days AS BIGINT) AS cycle_days, w.region, w.management
+SELECT CAST(to_json([o.sector]) AS VARCHAR) AS serie, o.sector, o.cycle, o.items, o.orders, o.volumes, c.opening_date, c.closing_date, w.window_start, CAST(w.cycle_days AS BIGINT) AS cycle_days, w.region, w.management
 FROM own o JOIN windows w USING (sector, cycle) JOIN calendar c ON c.cycle = o.cycle""", "calendar"))
 def by_sector(base):
     return rounded(panel.item_panel(base, by_city=False))

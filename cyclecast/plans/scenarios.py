@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +55,8 @@ answers AS (
 SELECT c.candidate, a.serie, a.cycle, a.window_start, CAST(a.cycle_days AS BIGINT) AS cycle_days, round(CASE WHEN c.candidate = 'window_scaled' THEN v * power(CAST(a.cycle_days AS DOUBLE), (SELECT e FROM expo)) ELSE v END, 4) AS predicted
 FROM asked a CROSS JOIN (SELECT DISTINCT candidate FROM answers) c LEFT JOIN answers v ON v.candidate = c.candidate AND v.serie = a.serie""", "panel", ASKED))
 def scenario_forecast(base, p):
-    """Every registered candidate's answers."""
-    history, asked = questions(p)
-    found = [scenarios.forecast(scenarios.REGISTRY.build(n), history, asked).select(F.lit(n).alias("candidate"), *scenarios.QUERY, "predicted") for n in scenarios.REGISTRY.names()]
-    return rounded(reduce(DataFrame.unionByName, found), 4)
+    """All levels' answers."""
+    return rounded(scenarios.answer(*questions(p)), 4)
 
 
 @query("align_predictions", sql("""
@@ -69,8 +65,8 @@ FROM asked a LEFT JOIN (SELECT serie, v FROM answers WHERE candidate = 'naive:me
 def align(base, p):
     """Answers of some series alone, each told twice, in the order of the questions."""
     history, asked = questions(p)
-    told = scenarios.naive_mean()(history, asked).where("serie like '%BUILDING%'")
-    return scenarios.align_predictions(asked.select(*scenarios.QUERY), told.unionByName(told))
+    told = scenarios.answer(history, asked).where("candidate = 'naive:mean' and serie like '%BUILDING%'")
+    return scenarios.attach(asked.select(*scenarios.WINDOW), told.unionByName(told))
 
 
 @query("future_targets", sql("""

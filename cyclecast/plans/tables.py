@@ -1,4 +1,4 @@
-"""The tables that many queries start from, made once for a session and a folder."""
+"""The tables that many queries start from, made once for a session, a folder and the state of its files."""
 
 from __future__ import annotations
 
@@ -8,12 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from cyclecast.operators import panel
 from cyclecast.sources.orders import orders_of_star
 
-_PANELS: dict[tuple[str, str], DataFrame] = {}
+#: By application and folder: the state of the files, and the panel made from it.
+_PANELS: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+SOURCES = ("lineitem", "orders", "customer", "nation", "region")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the tables' files."""
+    found = []
+    for name in SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(found)
 
 
 def item_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item panel, an aggregate of the lines: kept on the executors, and made again where one is lost."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PANELS:
-        _PANELS[key] = panel.item_panel(orders_of_star(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
-    return _PANELS[key]
+    """The item panel, an aggregate of the lines: kept on the executors, and made again where one is lost.
+
+    Where the tables' files have changed since, it is made anew and the old one dropped; ``forget`` drops all.
+    """
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    known = _PANELS.get(key)
+    if known and known[0] != state:
+        known[1].unpersist()
+        known = None
+    if not known:
+        spark.catalog.refreshByPath(sf_dir)
+        known = _PANELS[key] = state, panel.item_panel(orders_of_star(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return known[1]
+
+
+def forget() -> None:
+    """Drops the panels that are kept."""
+    while _PANELS:
+        _PANELS.popitem()[1][1].unpersist()

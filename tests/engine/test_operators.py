@@ -41,8 +41,9 @@ def base(spark):
 def test_panel_fills_quiet_cycles_and_separates_states(base):
     rows = {(r.serie, r.cycle): r for r in panel.item_panel(base).collect()}
     assert len(rows) == 10
-    assert rows["001|GO|HOM", "202603"]["items"] == 0 and rows["001|MG|HOM", "202603"]["items"] == 60
-    assert rows["001|GO|HOM", "202601"].cycle_days == 3 and rows["001|GO|HOM", "202601"].orders == 3
+    go, mg = '["001","GO","HOM"]', '["001","MG","HOM"]'
+    assert rows[go, "202603"]["items"] == 0 and rows[mg, "202603"]["items"] == 60
+    assert rows[go, "202601"].cycle_days == 3 and rows[go, "202601"].orders == 3
 
 
 def test_partial_cycles_are_dropped(base, spark):
@@ -237,4 +238,4 @@ def test_average_ranks_and_bins(spark):
     assert abs(got.rho - pd.Series([1, 2, 2, 4]).rank().corr(pd.Series([5, 5, 9, 1]).rank())) < 1e-12 and got.picked == 5 and got.oracle == 1
     runs = spark.createDataFrame([(float(p), 1.0) for p in (1, 1, 1, 2, 3, 4)], "p double, gap double")
     want = pd.qcut([1, 1, 1, 2, 3, 4], 4, duplicates="drop").codes
-    assert sorted(r.n for r in calibrate.main_effects(runs, "p").collect()) == sorted(np.bincount(want).tolist())
+    assert sorted(r.n_runs for r in calibrate.main_effects(runs, "p").collect()) == sorted(np.bincount(want).tolist())

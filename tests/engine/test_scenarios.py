@@ -28,37 +28,31 @@ def base(spark, cycles=8, sectors=("s1", "s2"), start=D(2026, 1, 5)):
     return spark.createDataFrame(rows, "order_date date, sector string, state string, city string, region string, management string, cd int, items double, order_id long, cycle string, opening_date date, closing_date date")
 
 
-def test_registry_names_builds_and_refuses():
-    assert {"naive:mean", "naive:last", "moving_average", "window_scaled"} <= set(scenarios.REGISTRY.names())
-    with pytest.raises(ValueError, match="unknown"):
-        scenarios.REGISTRY.build("nothing")
-    with pytest.raises(ValueError, match="twice"):
-        scenarios.REGISTRY.register("naive:mean")(scenarios.naive_mean)
-
-
-def test_answers_keep_each_window_and_need_whole_queries(spark):
+def test_windows_keep_their_answers(spark):
     asked = spark.createDataFrame([("x", "202605", D(2026, 5, d), n) for d, n in ((1, 21), (3, 21), (1, 28))], "serie string, cycle string, window_start date, cycle_days int")
-    told = asked.where("cycle_days = 21").withColumn("predicted", F.dayofmonth("window_start").cast("double")).coalesce(1)
-    found = {(r.window_start.day, r.cycle_days): r.predicted for r in scenarios.align_predictions(asked, told.unionByName(told.withColumn("predicted", F.lit(99.0)))).collect()}
+    told = asked.where("cycle_days = 21").withColumn("predicted", F.dayofmonth("window_start").cast("double"))
+    twice = told.withColumn("predicted", F.lit(99.0)).unionByName(told)
+    found = {(r.window_start.day, r.cycle_days): r.predicted for r in scenarios.attach(asked, twice).collect()}
     assert found == {(1, 21): 1.0, (3, 21): 3.0, (1, 28): None}
-    with pytest.raises(ValueError, match="lack"):
-        scenarios.align_predictions(asked, told.drop("window_start"))
 
 
-def test_history_has_to_end_before_the_queries(spark):
+def test_history_has_to_end_before_the_windows(spark):
     p = panel.item_panel(base(spark))
-    with pytest.raises(ValueError, match="after the end"):
-        scenarios.forecast(scenarios.naive_mean(), p, p)
-    history, last = p.where("cycle < '202608'"), p.where("cycle = '202608'")
-    got = scenarios.forecast(scenarios.moving_average(2), history, last.select(*scenarios.QUERY, "opening_date"))
-    assert {r.predicted for r in got.collect()} == {8.0, 16.0, 24.0, 32.0}
+    with pytest.raises(ValueError, match="history reaches 2026-02-23"):
+        scenarios.answer(p, p)
+    history, last = p.where("cycle < '202608'"), p.where("cycle = '202608'").select(*scenarios.WINDOW, "opening_date")
+    last = last.unionByName(last.limit(1).withColumn("serie", F.lit("new")))
+    got = scenarios.answer(history, last).collect()
+    assert {r.candidate for r in got} == set(scenarios.LEVELS) and len(got) == 5 * len(scenarios.LEVELS)
+    assert {r.predicted for r in got if r.candidate == "moving_average"} == {8.0, 16.0, 24.0, 32.0, None}
 
 
-def test_window_scaling_tells_longer_windows_more(spark):
-    rows = [("x", f"2026{i:02d}", D(2026, 1, 1) + dt.timedelta(days=30 * i), D(2026, 1, 1), n, float(3 * n)) for i, n in enumerate((10, 20, 30, 20))]
+def test_levels_of_a_rising_series(spark):
+    rows = [("x", f"2026{i:02d}", D(2026, 1, 1) + dt.timedelta(days=30 * i), D(2026, 1, 1), n, float(3 * n)) for i, n in enumerate((10, 20, 30, 20, 40, 50))]
     history = spark.createDataFrame(rows, "serie string, cycle string, opening_date date, window_start date, cycle_days int, items double")
-    asked = spark.createDataFrame([("x", "202612", D(2026, 12, 1), n) for n in (10, 40)], "serie string, cycle string, window_start date, cycle_days int")
-    assert {r.cycle_days: round(r.predicted, 6) for r in scenarios.window_scaled()(history, asked).collect()} == {10: 30.0, 40: 120.0}
+    asked = spark.createDataFrame([("x", "202612", D(2026, 12, 1), n, D(2026, 12, 1)) for n in (10, 40)], "serie string, cycle string, window_start date, cycle_days int, opening_date date")
+    got = {(r.candidate, r.cycle_days): round(r.predicted, 6) for r in scenarios.answer(history, asked).collect()}
+    assert got == {("naive:mean", 10): 85.0, ("naive:mean", 40): 85.0, ("naive:last", 10): 150.0, ("naive:last", 40): 150.0, ("moving_average", 10): 96.0, ("moving_average", 40): 96.0, ("window_scaled", 10): 30.0, ("window_scaled", 40): 120.0}
 
 
 def test_replay_never_sees_its_target_and_is_exact_on_a_constant_base(spark):
