@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import components, join_counted, map_batches
+from cyclecast.llm.common import bitmap, components, in_bitmap, join_counted, map_batches
 
 SEED = 42
 #: Most fingerprints of a bucket that are compared in pairs; see ``link_exactly``.
@@ -161,6 +161,8 @@ LEAST_BITS, BUCKET_ROWS = 16, 64
 NUMERATOR, DENOMINATOR = 4, 5
 #: Rows of a bucket that are compared at once; buckets of so many are compared together.
 BLOCK, SMALL = 1024, 64
+#: Ids that may be broadcast (some 10 MB), so that texts don't move to meet them.
+FEW = 500_000
 #: Pairs that a row tries with one other component, after those of ``link_wide``; at last all of them.
 TRIES = (16, BLOCK)
 
@@ -457,19 +459,25 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The ``pairs(a, b)`` of doc_ids whose texts' sets of shingles have the least similarity."""
+    """The ``pairs(a, b)`` of doc_ids whose texts' sets of shingles have the least similarity.
+
+    Texts stay where they are: a bitmap tells which of them are asked for, and the sets of these move.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()]
+        here = [in_bitmap(asked.value, n) for n in batch.column(0).to_pylist()]
+        batch = batch.filter(pa.array(here, pa.bool_()))
+        found = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = ([[np.frombuffer(s, np.uint64) for s in row] for row in batch.column(c).to_pylist()] for c in (2, 3))
         return batch.select(["a", "b"]).filter(pa.array([any(_alike(p, q) for p in u for q in v) for u, v in zip(x, y)]))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    asked = docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    held = map_batches(asked, sets, "node long, set binary").groupBy("node").agg(F.collect_set("set").alias("sets"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    held = map_batches(texts, sets, "node long, set binary").groupBy("node").agg(F.collect_set("set").alias("sets"))
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("sets").alias("x")), "a")
     both = both.join(held.select(F.col("node").alias("b"), F.col("sets").alias("y")), "b")
     return map_batches(both.select("a", "b", "x", "y"), compare, "a long, b long")
@@ -526,5 +534,5 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> Da
     unique = prints.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), *(F.first(f).alias(f) for f in lanes)).checkpoint()
     same = prints.join(unique, ["s0", "s1"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = components(same.union(link_alike(rows, unique.select("node", *lanes), words, plan, radius)))
-    gone = nodes.where("node <> component").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = nodes.where("node <> component").select(F.col("node").alias("doc_id")).checkpoint()
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, "doc_id", "left_anti").select(docs.columns)
