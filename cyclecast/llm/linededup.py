@@ -232,10 +232,13 @@ def dedup(docs: DataFrame, max_edits: int = 1, min_edit_chars: int = MIN_EDIT_CH
     """
     key, dropped = fresh(docs, "_id"), fresh(docs, "dropped")
     gone = dropped_lines(docs, max_edits, min_edit_chars).select(F.col("doc_id").alias(key), F.col("dropped").alias(dropped))
-    numbers = F.transform(dropped, lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left").withColumn("text", text).drop(key)
+    split, left = fresh(docs, "_lines"), fresh(docs, "_left")
+    rows = docs.join(gone, F.col("doc_id") == F.col(key), "left").drop(key)
+    # array_except asks a set, so a text costs its lines, however many of them go
+    rows = rows.withColumn(split, F.when(F.col(dropped).isNotNull(), F.split("text", "\n", -1)))
+    rows = rows.withColumn(left, F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.transform(dropped, lambda x: x["line"])))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(split), i)), "\n")
+    return rows.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept)).drop(split, left)
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from cyclecast.llm import common, linededup
 
@@ -95,3 +96,14 @@ def test_very_common_line_and_other_bounds(spark, monkeypatch):
     for chars in (5, 40):
         got = {(r.doc_id, x.line): (x.first_doc_id, x.first_line) for r in linededup.dropped_lines(docs, 1, chars).collect() for x in r.dropped}
         assert got == slow(rows, chars)
+
+
+def test_a_text_of_many_lines_costs_its_lines(spark):
+    common.prepare(spark)
+    lines = [f"line {i} of a long text, with some words" for i in range(100_000)] + ["same"] * 100_000
+    texts = ["\n".join(lines), "\n".join(lines[::2] + ["new at the end of the text"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: (r.text, len(r.dropped)) for r in linededup.dedup(docs, max_edits=0).collect()}
+    assert got == {0: ("\n".join(lines[:100_001]), 99_999), 1: ("new at the end of the text", 100_000)}
+    assert time.monotonic() - began < 120
