@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cyclecast.plans import backtests, checks, curves, daily, levels, nodefolds, panels, planning, scenarios, shapes
+from cyclecast.plans import backtests, checks, curves, daily, levels, nodefolds, panels, planning, scenarios, shapes, smoothing
 
 FLAGSHIP = "item_panel"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (panels, backtests, shapes, planning, levels, scenarios, checks, daily, curves, nodefolds):
+for module in (panels, backtests, shapes, planning, levels, scenarios, checks, daily, curves, nodefolds, smoothing):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
