@@ -17,7 +17,7 @@ from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclecast.llm.common import bitmap, fresh, in_bitmap, join_counted, map_batches
@@ -185,15 +185,21 @@ def disclosing(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, tuple[byte
     if entities.isEmpty():
         return none, None
     recurring = bitmap(entities.select(F.col("entity").alias("key")))
-    pairs = _pairs(docs, recurring).groupBy("entity", "term").agg(F.count("*").alias("both"), several.alias("several"))
-    pairs = pairs.where("several").join(entities, "entity").checkpoint()
-    asked = bitmap(pairs.select(F.col("term").alias("key")).distinct())
+    near = _pairs(docs, recurring).checkpoint()
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both"), several.alias("several"))
     rows = found.count()
+
+    def disclosure(n: str) -> Column:
+        content = F.log2(F.lit(rows) / F.col("entity_rows"))
+        tells = F.log2(F.col("both") / F.col(n) / (F.col("entity_rows") / F.lit(rows)))
+        return F.when(content > 0, tells / content).otherwise(F.lit(0.0))
+
+    # a term is in as many documents at least as have it near any entity, so most can't disclose enough
+    least = near.select("term", "k1").distinct().groupBy("term").agg(F.count("*").alias("near_n"))
+    pairs = pairs.where("several").join(entities, "entity").join(least, "term").where(disclosure("near_n") >= GENERALISE).checkpoint()
+    asked = bitmap(pairs.select(F.col("term").alias("key")).distinct())
     told = pairs.join(_documents_with(docs, asked), "term")
-    content = F.log2(F.lit(rows) / F.col("entity_rows"))
-    tells = F.log2(F.col("both") / F.col("n") / (F.col("entity_rows") / F.lit(rows)))
-    told = told.select("entity", "term", "both", F.when(content > 0, tells / content).otherwise(F.lit(0.0)).alias("disclosure"))
-    return told.where(F.col("disclosure") >= GENERALISE), recurring
+    return told.select("entity", "term", "both", disclosure("n").alias("disclosure")).where(F.col("disclosure") >= GENERALISE), recurring
 
 
 def _places(docs: DataFrame, told: DataFrame, recurring: tuple[bytes, int]) -> DataFrame:
