@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INFEASIBLE_GAP = 100.0
@@ -96,3 +96,20 @@ def proven_optima(records: DataFrame, tolerance: float) -> DataFrame:
 def seed_spread(runs: DataFrame, value: str) -> DataFrame:
     """Mean and deviation over the runs of each scenario and window, of each scenario, and of all."""
     return runs.rollup("scenario", "window").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+
+
+def latin_hypercube(spark: SparkSession, points: int, dims: dict[str, tuple[float, float, bool]], seed: int = 0) -> DataFrame:
+    """``(point, one column a dimension)``: in each dimension every one of ``points`` equal strata holds one point.
+
+    ``dims``: the least and greatest value, and whether the strata are equal in the logarithm. Strata are
+    dealt out by seeded hashes, and places within them drawn by others, so a row is the same in any run.
+    """
+    if points < 1 or any(low >= high or log and low <= 0 for low, high, log in dims.values()):
+        raise ValueError("a dimension goes from a lower to a higher value, above 0 where it is logarithmic")
+    rows = spark.range(1, points + 1).withColumnRenamed("id", "point")
+    for at, (name, (low, high, log)) in enumerate(dims.items()):
+        draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(at), F.lit(salt), "point")  # noqa: B023, E731
+        within = F.pmod(draw(1), F.lit(1 << 20)) / float(1 << 20)
+        share = (F.row_number().over(Window.orderBy(draw(0), "point")) - 1 + within) / points  # as many rows as points are asked for
+        rows = rows.withColumn(name, F.lit(low) * F.pow(F.lit(high / low), share) if log else F.lit(low) + (high - low) * share)
+    return rows
