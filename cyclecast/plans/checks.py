@@ -29,13 +29,16 @@ def query(name: str, oracle: str | None = None):
 
 
 @query("order_checks", sql("""
-WITH b AS (SELECT * REPLACE (CASE WHEN cd = 100 THEN NULL ELSE order_date END AS order_date, CASE WHEN cd = 300 THEN -items ELSE items END AS items, CASE WHEN cd = 200 THEN closing_date - 10 ELSE closing_date END AS closing_date) FROM base),
-c AS (SELECT count(*) FILTER (order_date IS NULL) AS a, 0 AS b, count(*) FILTER (order_date IS NOT NULL AND NOT order_date BETWEEN opening_date AND closing_date) AS c, 0 AS d, count(*) FILTER (items < 0) AS e FROM b)
+WITH b AS (SELECT * REPLACE (CASE WHEN cd = 400 THEN order_date::TIMESTAMP + INTERVAL 6 HOUR WHEN cd <> 100 THEN order_date::TIMESTAMP END AS order_date,
+  CASE WHEN cd = 300 THEN -CAST(items AS DOUBLE) WHEN cd = 500 THEN 'NaN'::DOUBLE ELSE CAST(items AS DOUBLE) END AS items, CASE WHEN cd = 200 THEN closing_date - 10 ELSE closing_date END AS closing_date) FROM base),
+c AS (SELECT count(*) FILTER (order_date IS NULL) AS a, count(*) FILTER (date_trunc('day', order_date) <> order_date) AS b, count(*) FILTER (order_date IS NOT NULL AND NOT order_date BETWEEN opening_date AND closing_date) AS c, count(*) FILTER (isnan(items)) AS d, count(*) FILTER (items < 0) AS e FROM b)
 SELECT v."check", CAST(v.violations AS BIGINT) AS violations FROM c, LATERAL (VALUES ('null_dates', a), ('not_midnight', b), ('outside_window', c), ('items_not_finite', d), ('items_negative', e)) v("check", violations)""", "base"))
 def order_checks(base, p):
-    """Of a base with faults: a CD without dates, one whose windows are cut, one with negative items."""
+    """Of a base with a fault for each check: CDs without dates, with times, cut windows, negative items and none."""
+    day, items = F.col("order_date").cast("timestamp"), F.col("items").cast("double")
     faulty = base.withColumns({
-        "order_date": F.when(F.col("cd") != 100, F.col("order_date")), "items": F.when(F.col("cd") == 300, -F.col("items")).otherwise(F.col("items")),
+        "order_date": F.when(F.col("cd") == 400, day + F.expr("interval 6 hours")).when(F.col("cd") != 100, day),
+        "items": F.when(F.col("cd") == 300, -items).when(F.col("cd") == 500, float("nan")).otherwise(items),
         "closing_date": F.when(F.col("cd") == 200, F.date_sub("closing_date", 10)).otherwise(F.col("closing_date")),
     })
     return checks.orders(faulty)
@@ -99,12 +102,18 @@ def reused(base, p):
 
 
 @query("hierarchy_checks", sql("""
-WITH f AS (SELECT * REPLACE (CASE WHEN items > 400 THEN -items ELSE items END AS items, CASE WHEN city = 'BUILDING' THEN 'other' ELSE management END AS management) FROM panel)
-SELECT 'nulls' AS "check", 0 AS violations UNION ALL SELECT 'negative_items', count(*) FROM f WHERE items < 0 UNION ALL SELECT 'no_days', 0 UNION ALL
-SELECT 'several_organizations', count(*) FROM (SELECT 1 FROM f GROUP BY sector HAVING count(DISTINCT (region, management)) > 1) UNION ALL SELECT 'repeated_rows', 0""", "panel"))
+WITH g AS (SELECT * FROM panel UNION ALL SELECT * FROM panel WHERE sector LIKE '%3'),
+f AS (SELECT * REPLACE (CASE WHEN items > 400 THEN -items ELSE items END AS items, CASE WHEN city = 'BUILDING' THEN 'other' ELSE management END AS management, CASE WHEN city <> 'MACHINERY' THEN state END AS state, CASE WHEN sector LIKE '%5' THEN 0 ELSE cycle_days END AS cycle_days) FROM g)
+SELECT 'nulls' AS "check", count(*) AS violations FROM f WHERE state IS NULL UNION ALL SELECT 'negative_items', count(*) FROM f WHERE items < 0 UNION ALL SELECT 'no_days', count(*) FROM f WHERE cycle_days < 1 UNION ALL
+SELECT 'several_organizations', count(*) FROM (SELECT 1 FROM f GROUP BY sector HAVING count(DISTINCT (region, management)) > 1) UNION ALL SELECT 'repeated_rows', count(*) FROM (SELECT 1 FROM f GROUP BY serie, cycle HAVING count(*) > 1)""", "panel"))
 def hierarchy_checks(base, p):
-    """Of a panel with negative demand and a city under another management."""
-    faulty = p.withColumns({"items": F.when(F.col("items") > 400, -F.col("items")).otherwise(F.col("items")), "management": F.when(F.col("city") == "BUILDING", "other").otherwise(F.col("management"))})
+    """Of a panel with a fault for each check: a city without state, negative demand, sectors without days, a city
+    under another management, sectors that are there twice."""
+    twice = p.unionByName(p.where("sector like '%3'"))
+    faulty = twice.withColumns({
+        "items": F.when(F.col("items") > 400, -F.col("items")).otherwise(F.col("items")), "management": F.when(F.col("city") == "BUILDING", "other").otherwise(F.col("management")),
+        "state": F.when(F.col("city") != "MACHINERY", F.col("state")), "cycle_days": F.when(F.col("sector").like("%5"), 0).otherwise(F.col("cycle_days")),
+    })
     return checks.hierarchy(faulty)
 
 
