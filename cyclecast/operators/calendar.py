@@ -100,3 +100,32 @@ def working_days(spark: SparkSession, first: int, last: int) -> DataFrame:
     works = ~F.col("is_holiday") & ~F.col("is_weekend")
     number = F.sum(works.cast("int")).over(Window.partitionBy(F.trunc("date", "month")).orderBy("date"))
     return marked.select("date", "is_holiday", "is_weekend", F.when(works, number).alias("business_day"), F.coalesce(works & (number == 5), F.lit(False)).alias("is_fifth"))
+
+
+def nth_weekday(year: Column, month: int, weekday: int, n: int) -> Column:
+    """The ``n``-th such weekday (Monday is 0) of a month."""
+    first = F.make_date(year.cast("int"), F.lit(month), F.lit(1))
+    return F.date_add(first, (F.pmod(F.lit(weekday) - F.weekday(first), F.lit(7)) + 7 * (n - 1)).cast("int"))
+
+
+def commercial_dates(spark: SparkSession, first: int, last: int) -> DataFrame:
+    """``(name, date)``: days of much trade in the years."""
+    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
+    year = F.col("year")
+    #: Second Sundays of May and August, the 12th of June, the day after November's fourth Thursday.
+    named = {"mothers": nth_weekday(year, 5, 6, 2), "valentines": F.make_date(year, F.lit(6), F.lit(12)), "fathers": nth_weekday(year, 8, 6, 2), "black_friday": F.date_add(nth_weekday(year, 11, 3, 4), 1)}
+    return years.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), d.alias("date")) for n, d in named.items()))).alias("d")).select("d.name", "d.date")
+
+
+def around(dates: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
+    """Each of ``dates(name, date)`` with the days before and after it: ``(name, date, offset)``."""
+    offsets = F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset")
+    return dates.select("name", "date", offsets).select("name", F.date_add("date", F.col("offset")).alias("date"), "offset")
+
+
+def demand_around(daily: DataFrame, dates: DataFrame) -> DataFrame:
+    """Per name and offset of ``around``: how many of those days ``daily(date, items)`` has, and their mean items
+    over the mean of all days."""
+    mean = F.broadcast(daily.agg(F.avg("items").alias("_mean")))
+    rows = daily.join(F.broadcast(dates), "date").crossJoin(mean)  # a few dates a year, and one row
+    return rows.groupBy("name", "offset").agg(F.count("*").alias("n"), (F.avg("items") / F.nullif(F.first("_mean"), F.lit(0.0))).alias("lift"))

@@ -204,8 +204,27 @@ s AS (SELECT order_date, n, CASE WHEN isodow(order_date) <= 5 THEN order_date EL
 SELECT order_date, n, b + CAST(k + 2 * ((isodow(b) - 1 + k) // 5) AS INTEGER) AS date FROM s""", "base")
 
 
+def _years(base: DataFrame) -> tuple[int, int]:
+    span = base.agg(F.year(F.min("order_date")).alias("a"), F.year(F.max("order_date")).alias("b")).first()
+    return span.a, span.b
+
+
+@query("demand_around_dates", sql("""
+WITH y AS (SELECT unnest(range(year(min(order_date)), year(max(order_date)) + 1)) AS y FROM base),
+d AS (SELECT 'mothers' AS name, make_date(y, 5, 1) + CAST((6 - (isodow(make_date(y, 5, 1)) - 1) + 7) % 7 + 7 AS INTEGER) AS date FROM y UNION ALL SELECT 'valentines', make_date(y, 6, 12) FROM y UNION ALL
+  SELECT 'fathers', make_date(y, 8, 1) + CAST((6 - (isodow(make_date(y, 8, 1)) - 1) + 7) % 7 + 7 AS INTEGER) FROM y UNION ALL SELECT 'black_friday', make_date(y, 11, 1) + CAST((3 - (isodow(make_date(y, 11, 1)) - 1) + 7) % 7 + 22 AS INTEGER) FROM y),
+a AS (SELECT name, date + CAST(o AS INTEGER) AS date, CAST(o AS BIGINT) AS "offset" FROM d, (VALUES (-1), (0), (1)) v(o)),
+t AS (SELECT order_date AS date, CAST(sum(items) AS DOUBLE) AS items FROM base GROUP BY order_date)
+SELECT name, "offset", count(*) AS n, round(avg(items) / (SELECT avg(items) FROM t), 6) AS lift FROM t JOIN a USING (date) GROUP BY ALL""", "base"))
+def demand_around_dates(base):
+    """Demand on commercial dates and the days beside them."""
+    daily = base.groupBy(F.col("order_date").alias("date")).agg(F.sum("items").cast("double").alias("items"))
+    return rounded(calendar.demand_around(daily, calendar.around(calendar.commercial_dates(base.sparkSession, *_years(base)))))
+
+
 def holiday_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(calendar.working_days(spark, 1995, 2001))
+    """Of the years that the orders span."""
+    return rounded(calendar.working_days(spark, *_years(orders_of_star(spark, sf_dir))))
 
 
 QUERIES["holiday_flags"] = holiday_flags
@@ -213,7 +232,8 @@ ORACLE_SQL["holiday_flags"] = """
 WITH e(d) AS (VALUES (DATE '1995-04-16'), (DATE '1996-04-07'), (DATE '1997-03-30'), (DATE '1998-04-12'), (DATE '1999-04-04'), (DATE '2000-04-23'), (DATE '2001-04-15')),
 f(m, k) AS (VALUES (1,1),(4,21),(5,1),(9,7),(10,12),(11,2),(11,15),(11,20),(12,25)),
 h AS (SELECT make_date(year(d), m, k) AS date FROM e, f UNION SELECT d + o FROM e, (VALUES (-48), (-47), (-2), (60)) x(o)),
-days AS (SELECT CAST(unnest(range(DATE '1995-01-01', DATE '2002-01-01', INTERVAL 1 DAY)) AS DATE) AS date),
+span AS (SELECT make_date(min(year(o_orderdate)), 1, 1) AS a, make_date(max(year(o_orderdate)) + 1, 1, 1) AS b FROM orders),
+days AS (SELECT CAST(unnest(range(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM span),
 m AS (SELECT date, date IN (SELECT date FROM h) AS is_holiday, isodow(date) > 5 AS is_weekend FROM days),
 n AS (SELECT *, CASE WHEN NOT is_holiday AND NOT is_weekend THEN sum(CASE WHEN NOT is_holiday AND NOT is_weekend THEN 1 ELSE 0 END) OVER (PARTITION BY date_trunc('month', date) ORDER BY date) END AS b FROM m)
 SELECT date, is_holiday, is_weekend, CAST(b AS BIGINT) AS business_day, coalesce(b = 5, FALSE) AS is_fifth FROM n"""

@@ -83,7 +83,7 @@ def seasonal(p):
 @query("ets_forecast", sql("""
 WITH lasts AS (SELECT serie, max(r) AS n FROM ranked GROUP BY serie HAVING max(r) >= 8),
 best AS (SELECT run.serie, arg_min(struct_pack(level, trend, phi), (round(square, 6), k)) AS s FROM run JOIN lasts ON lasts.serie = run.serie AND lasts.n = run.r GROUP BY run.serie)
-SELECT 'ets(A,Ad,N)' AS candidate, serie, CAST(h AS INTEGER) AS step, round(greatest(s.level + s.trend * list_sum(list_transform(range(1, h + 1), lambda i: power(s.phi, i))), 0.0), 6) AS predicted
+SELECT 'ets(A,Ad,N)' AS candidate, serie, CAST(h AS BIGINT) AS step, round(greatest(s.level + s.trend * list_sum(list_transform(range(1, h + 1), lambda i: power(s.phi, i))), 0.0), 6) AS predicted
 FROM best, (SELECT unnest(range(1, 6)) AS h)""", "panel", RANKED, grid(DAMPED), TREND.format(scale="1.0", misfit="square")))
 def ahead(p):
     """Five cycles beyond the last."""

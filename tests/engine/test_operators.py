@@ -239,3 +239,10 @@ def test_average_ranks_and_bins(spark):
     runs = spark.createDataFrame([(float(p), 1.0) for p in (1, 1, 1, 2, 3, 4)], "p double, gap double")
     want = pd.qcut([1, 1, 1, 2, 3, 4], 4, duplicates="drop").codes
     assert sorted(r.n_runs for r in calibrate.main_effects(runs, "p").collect()) == sorted(np.bincount(want).tolist())
+
+
+def test_weekdays_of_months_and_days_around_dates(spark):
+    got = {(r.name, r.date.year): r.date.isoformat() for r in calendar.commercial_dates(spark, 2023, 2025).collect()}
+    assert got["mothers", 2023] == "2023-05-14" and got["fathers", 2024] == "2024-08-11" and got["black_friday", 2024] == "2024-11-29" and got["black_friday", 2025] == "2025-11-28" and len(got) == 12
+    days = {(r.offset, r.date.isoformat()) for r in calendar.around(calendar.commercial_dates(spark, 2024, 2024).where("name = 'valentines'"), 1, 2).collect()}
+    assert days == {(-1, "2024-06-11"), (0, "2024-06-12"), (1, "2024-06-13"), (2, "2024-06-14")}
