@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -24,6 +25,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Gives memory that is free in this Python worker back to the machine; the next task may be another stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Applies ``function`` to each Arrow batch of ``df``."""
 
@@ -31,6 +40,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
         for batch in batches:
             if batch.num_rows:
                 yield function(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 

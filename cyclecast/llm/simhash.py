@@ -161,9 +161,9 @@ LEAST_BITS, BUCKET_ROWS = 16, 64
 NUMERATOR, DENOMINATOR = 4, 5
 #: Rows of a bucket that are compared at once; buckets of so many are compared together.
 BLOCK, SMALL = 1024, 64
-#: Lanes of the sketch that comes before whole sets, and the distance of it that pairs at the least similarity
+#: Candidates from which sketches come before whole sets, lanes of a sketch, and the distance of it that pairs at the least similarity
 #: have on average, and four deviations.
-SKETCH_LANES = 32
+SKETCHED, SKETCH_LANES = 50_000, 32
 _DIFFER = acos(2 * NUMERATOR / (NUMERATOR + DENOMINATOR)) / pi
 SKETCH_RADIUS = round(64 * SKETCH_LANES * _DIFFER + 4 * (64 * SKETCH_LANES * _DIFFER * (1 - _DIFFER)) ** 0.5)
 #: Ids that may be broadcast (some 10 MB), so that texts don't move to meet them.
@@ -507,10 +507,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The ``pairs(a, b)`` of doc_ids whose texts' sets of shingles have the least similarity.
 
-    Sketches of 256 bytes rule out most that don't, so that few whole sets move. Of pairs at the least
-    similarity they rule out one of 30,000; those that are left are counted exactly.
+    Of more than ``SKETCHED`` pairs, sketches of 256 bytes rule out most that don't, so that few whole sets
+    move. Of pairs at the least similarity they rule out one of 30,000; those left are counted exactly.
     """
-    pairs = _both(pairs, _of_texts(docs, _ends(pairs), words, "sketch", _sketch), "sketch", _maybe_alike).checkpoint()
+    if pairs.count() > SKETCHED:
+        pairs = _both(pairs, _of_texts(docs, _ends(pairs), words, "sketch", _sketch), "sketch", _maybe_alike).checkpoint()
     return _both(pairs, _of_texts(docs, _ends(pairs), words, "set", np.ndarray.tobytes), "set", _alike)
 
 

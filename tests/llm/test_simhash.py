@@ -190,6 +190,20 @@ def test_keep_first_tells_by_shingles(spark):
     assert missed <= 2
 
 
+def test_sketches_lose_no_alike_pair(spark, monkeypatch):
+    common.prepare(spark)
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+    rows = [(0, " ".join(base))] + [(i, " ".join(base[:-n] + [f"x{rnd.randrange(10**6)}" for _ in range(n)])) for i, n in enumerate([1, 8, 15, 20, 22, 23, 30, 60, 120] * 5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, len(rows))], "a long, b long").checkpoint()
+    whole = {r.a for r in simhash.verified(docs, pairs, 5).collect()}
+    monkeypatch.setattr(simhash, "SKETCHED", 0)
+    assert {r.a for r in simhash.verified(docs, pairs, 5).collect()} == whole == {i for i, n in enumerate([1, 8, 15, 20, 22, 23, 30, 60, 120] * 5, 1) if 9 * n <= 200}
+    far = simhash._both(pairs, simhash._of_texts(docs, simhash._ends(pairs), 5, "sketch", simhash._sketch), "sketch", simhash._maybe_alike)
+    assert {r.a for r in far.collect()} >= whole and far.count() < 36
+
+
 def test_failed_candidates_hide_no_alike_pair(spark, monkeypatch):
     """Candidates near in their fingerprints but unlike stand between texts that are alike."""
     common.prepare(spark)
