@@ -14,11 +14,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, digits: int = 6):
     """Registers a function of the item panel."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.item_panel(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.item_panel(spark, sf_dir)), digits)
         if oracle:
             ORACLE_SQL[name] = oracle
         return function
@@ -205,9 +205,9 @@ WITH exponents AS (SELECT origin, round(exponent, 6) AS exponent FROM raw_expone
 levels AS (SELECT origin, serie, avg(items / power(CAST(cycle_days AS DOUBLE), exponent)) AS level FROM train JOIN exponents USING (origin) GROUP BY ALL),
 p AS (SELECT t.serie, t.cycle, o.origin, CAST(t.items AS DOUBLE) AS actual, level * power(CAST(t.cycle_days AS DOUBLE), exponent) AS predicted
   FROM panel t JOIN origins o USING (cycle) JOIN levels l ON l.origin = o.origin AND l.serie = t.serie JOIN exponents e ON e.origin = o.origin)
-SELECT 'naive:mean scaled' AS candidate, serie, cycle, origin, actual, round(predicted, 4) AS predicted, round(abs(actual - predicted), 4) AS abs_error FROM p""", "panel", INDEX, TRAIN, EXPONENT.replace("exponents AS", "raw_exponents AS")))
+SELECT 'naive:mean scaled' AS candidate, serie, cycle, origin, actual, round(predicted, 7) AS predicted, round(abs(actual - predicted), 7) AS abs_error FROM p""", "panel", INDEX, TRAIN, EXPONENT.replace("exponents AS", "raw_exponents AS")), 7)
 def scaled(p):
-    return rounded(folds.window_scaled_mean(p), 4)
+    return folds.window_scaled_mean(p)
 
 
 PASSES = ",\n".join(
