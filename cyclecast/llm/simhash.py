@@ -161,11 +161,8 @@ LEAST_BITS, BUCKET_ROWS = 16, 64
 NUMERATOR, DENOMINATOR = 4, 5
 #: Rows of a bucket that are compared at once; buckets of so many are compared together.
 BLOCK, SMALL = 1024, 64
-#: Candidates from which sketches come before whole sets, lanes of a sketch, and the distance of it that pairs at the least similarity
-#: have on average, and four deviations.
-SKETCHED, SKETCH_LANES = 50_000, 32
-_DIFFER = acos(2 * NUMERATOR / (NUMERATOR + DENOMINATOR)) / pi
-SKETCH_RADIUS = round(64 * SKETCH_LANES * _DIFFER + 4 * (64 * SKETCH_LANES * _DIFFER * (1 - _DIFFER)) ** 0.5)
+#: Candidates from which sketches come before whole sets, and bits of a sketch.
+SKETCHED, SKETCH_BITS = 50_000, 2048
 #: Ids that may be broadcast (some 10 MB), so that texts don't move to meet them.
 FEW = 500_000
 #: Pairs that a row tries with one other component, after those of ``link_wide``; at last all of them.
@@ -464,9 +461,9 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _sketch(found: np.ndarray) -> bytes:
-    """``SKETCH_LANES`` further lanes of the fingerprint of a set of shingles."""
-    found = found.astype(">u8")
-    return np.array([majority(_mixed(found, lane)) for lane in range(1, 1 + SKETCH_LANES)], np.int64).tobytes()
+    """The size of a set of shingles, and for each of ``SKETCH_BITS`` residues whether an odd number of its hashes have it."""
+    odd = np.bincount((found % SKETCH_BITS).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.uint64(len(found)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _of_texts(docs: DataFrame, asked: DataFrame, words: int, name: str, function) -> DataFrame:
@@ -497,7 +494,13 @@ def _both(pairs: DataFrame, held: DataFrame, name: str, alike) -> DataFrame:
 
 
 def _maybe_alike(x: np.ndarray, y: np.ndarray) -> bool:
-    return int(np.bitwise_count(x ^ y).sum()) <= SKETCH_RADIUS
+    """False only if the sets aren't alike: what both have cancels out, and each hash that one alone has changes one bit.
+
+    So sketches differ in at most as many bits as hashes lie in one set alone, and of alike sets these are
+    at most the share 1 - 2 * N / (N + D) of both sizes.
+    """
+    apart = int(np.bitwise_count(x[1:] ^ y[1:]).sum())
+    return (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * int(x[0] + y[0])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -507,8 +510,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The ``pairs(a, b)`` of doc_ids whose texts' sets of shingles have the least similarity.
 
-    Of more than ``SKETCHED`` pairs, sketches of 256 bytes rule out most that don't, so that few whole sets
-    move. Of pairs at the least similarity they rule out one of 30,000; those left are counted exactly.
+    Of more than ``SKETCHED`` pairs, sketches of 264 bytes rule out most that don't, so that few whole sets
+    move. They rule out none that has it, so the result is the same without them; those left are counted exactly.
     """
     if pairs.count() > SKETCHED:
         pairs = _both(pairs, _of_texts(docs, _ends(pairs), words, "sketch", _sketch), "sketch", _maybe_alike).checkpoint()

@@ -213,3 +213,16 @@ def test_failed_candidates_hide_no_alike_pair(spark, monkeypatch):
     near = spark.createDataFrame([(i, i, 0, 0, 0) for i in range(4)], "node long, f0 long, f1 long, f2 long, f3 long")
     links = simhash.link_alike(docs, near, 5, (16, 16))
     assert {(r.node, r.component) for r in common.components(links).collect()} == {(0, 0), (2, 0), (1, 1), (3, 1)}
+
+
+def test_sketches_keep_alike_pairs_of_any_size(spark, monkeypatch):
+    """Eight words beside nine, sets of 4 and 5 shingles, have 0.8 exactly; so have sets of 40 and 50, 400 and 500."""
+    common.prepare(spark)
+    rnd = random.Random(9)
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(n + 4)] for n in (5, 50, 500) for _ in range(8)]
+    rows = [(2 * i + k, " ".join(t[: len(t) - k * (len(t) - 4) // 5])) for i, t in enumerate(texts) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(len(texts))], "a long, b long").checkpoint()
+    few = {r.b for r in simhash.verified(docs, pairs, 5).collect()}
+    monkeypatch.setattr(simhash, "SKETCHED", 0)
+    assert {r.b for r in simhash.verified(docs, pairs, 5).collect()} == few == {2 * i for i in range(len(texts))}
