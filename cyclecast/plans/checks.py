@@ -16,11 +16,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a function of the order base and the item panel."""
+def query(name: str, oracle: str | None = None, of=tables.order_days):
+    """Registers a function of the order base, summed by day unless lines are counted, and the item panel."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(orders_of_star(spark, sf_dir), tables.item_panel(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(of(spark, sf_dir), tables.item_panel(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function
@@ -32,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 WITH b AS (SELECT * REPLACE (CASE WHEN cd = 400 THEN order_date::TIMESTAMP + INTERVAL 6 HOUR WHEN cd <> 100 THEN order_date::TIMESTAMP END AS order_date,
   CASE WHEN cd = 300 THEN -CAST(items AS DOUBLE) WHEN cd = 500 THEN 'NaN'::DOUBLE ELSE CAST(items AS DOUBLE) END AS items, CASE WHEN cd = 200 THEN closing_date - 10 ELSE closing_date END AS closing_date) FROM base),
 c AS (SELECT count(*) FILTER (order_date IS NULL) AS a, count(*) FILTER (date_trunc('day', order_date) <> order_date) AS b, count(*) FILTER (order_date IS NOT NULL AND NOT order_date BETWEEN opening_date AND closing_date) AS c, count(*) FILTER (isnan(items)) AS d, count(*) FILTER (items < 0) AS e FROM b)
-SELECT v."check", CAST(v.violations AS BIGINT) AS violations FROM c, LATERAL (VALUES ('null_dates', a), ('not_midnight', b), ('outside_window', c), ('items_not_finite', d), ('items_negative', e)) v("check", violations)""", "base"))
+SELECT v."check", CAST(v.violations AS BIGINT) AS violations FROM c, LATERAL (VALUES ('null_dates', a), ('not_midnight', b), ('outside_window', c), ('items_not_finite', d), ('items_negative', e)) v("check", violations)""", "base"), of=orders_of_star)
 def order_checks(base, p):
     """Of a base with a fault for each check: CDs without dates, with times, cut windows, negative items and none."""
     day, items = F.col("order_date").cast("timestamp"), F.col("items").cast("double")

@@ -11,7 +11,6 @@ from cyclecast.plans.curves import SWEEP
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.shapes import NODES
 from cyclecast.plans.sqlbase import sql
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,10 +18,10 @@ HOLDOUT = 3
 
 
 def query(name: str, oracle: str | None = None, digits: int = 6):
-    """Registers a function of the order base and the item panel."""
+    """Registers a function of the order base summed by day and the item panel."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(orders_of_star(spark, sf_dir), tables.item_panel(spark, sf_dir)), digits)
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.order_days(spark, sf_dir), tables.item_panel(spark, sf_dir)), digits)
         if oracle:
             ORACLE_SQL[name] = oracle
         return function

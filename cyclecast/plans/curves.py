@@ -9,17 +9,16 @@ from cyclecast.operators import curves, hierarchy, panel
 from cyclecast.plans import tables
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
-    """Registers a function of the order base and the item panel."""
+    """Registers a function of the order base summed by day and the item panel."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(orders_of_star(spark, sf_dir), tables.item_panel(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.order_days(spark, sf_dir), tables.item_panel(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function

@@ -11,17 +11,16 @@ from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
 from cyclecast.session import table
 from cyclecast.sources import quarterly
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
-    """Registers a function of the order base and the states' quarterly values."""
+    """Registers a function of the order base summed by day and the states' quarterly values."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(orders_of_star(spark, sf_dir), quarters(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(tables.order_days(spark, sf_dir), quarters(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function

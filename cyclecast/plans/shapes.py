@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclecast.operators import calendar, folds, hierarchy, panel, shape
+from cyclecast.plans import tables
 from cyclecast.plans.panels import rounded
 from cyclecast.plans.sqlbase import sql
-from cyclecast.sources.orders import orders_of_star
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Registers a function of the order base."""
+def query(name: str, oracle: str | None = None, of=tables.order_days):
+    """Registers a function of the order base summed by day, or of another table."""
 
     def register(function):
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(orders_of_star(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(of(spark, sf_dir)))
         if oracle:
             ORACLE_SQL[name] = oracle
         return function
@@ -180,19 +180,19 @@ tree AS (SELECT n.*, coalesce(n_children, 0) AS n_children, coalesce(active_chil
   FROM nodes n LEFT JOIN kids k ON k.node = n.node AND k.cycle = n.cycle LEFT JOIN (SELECT node, cycle, items FROM nodes) p ON p.node = n.parent AND p.cycle = n.cycle)"""
 
 
-def _tree(base: DataFrame) -> DataFrame:
-    nodes = hierarchy.node_totals(panel.item_panel(base).checkpoint()).checkpoint()  # read for children and parents too
+def _tree(p: DataFrame) -> DataFrame:
+    nodes = hierarchy.node_totals(p).checkpoint()  # read for children and parents too
     return hierarchy.with_parent(hierarchy.with_children(nodes))
 
 
-@query("node_totals", sql("SELECT node, parent, cycle, items, opening_date, closing_date, window_start, round(cycle_days, 6) AS cycle_days, CAST(days_min AS BIGINT) AS days_min, CAST(days_max AS BIGINT) AS days_max, round(opening_weekday_mean, 6) AS opening_weekday_mean, round(opening_day_mean, 6) AS opening_day_mean, level FROM nodes", "panel", NODES))
-def node_totals(base):
-    return hierarchy.node_totals(panel.item_panel(base).checkpoint())
+@query("node_totals", sql("SELECT node, parent, cycle, items, opening_date, closing_date, window_start, round(cycle_days, 6) AS cycle_days, CAST(days_min AS BIGINT) AS days_min, CAST(days_max AS BIGINT) AS days_max, round(opening_weekday_mean, 6) AS opening_weekday_mean, round(opening_day_mean, 6) AS opening_day_mean, level FROM nodes", "panel", NODES), of=tables.item_panel)
+def node_totals(p):
+    return hierarchy.node_totals(p)
 
 
-@query("node_children", sql("SELECT node, cycle, n_children, CAST(active_children AS BIGINT) AS active_children, round(largest_share, 6) AS largest_share, parent_actual FROM tree", "panel", NODES))
-def node_children(base):
-    return _tree(base).select("node", "cycle", "n_children", "active_children", "largest_share", "parent_actual")
+@query("node_children", sql("SELECT node, cycle, n_children, CAST(active_children AS BIGINT) AS active_children, round(largest_share, 6) AS largest_share, parent_actual FROM tree", "panel", NODES), of=tables.item_panel)
+def node_children(p):
+    return _tree(p).select("node", "cycle", "n_children", "active_children", "largest_share", "parent_actual")
 
 
 def _over(n: int) -> str:
@@ -208,9 +208,9 @@ SELECT node, parent, level, cycle, opening_date, items, {', '.join(f'CAST(lag(it
   round(stddev_samp(items) {_over(5)}, 6) AS std_5, round(avg(items) {_over(3)} / nullif(avg(items) {_over(10)}, 0), 6) AS trend_ratio, round(avg(CASE WHEN items > 0 THEN items END) {_over(5)}, 6) AS positive_mean_5,
   {', '.join(f'round(sum(items) {_over(n)} / nullif(sum(parent_actual) {_over(n)}, 0), 6) AS share_{n}' for n in (1, 2, 3, 5, 10))}, round(avg(parent_actual) {_over(5)}, 6) AS parent_mean_5,
   round(lag(largest_share) {N}), 6) AS previous_largest_share, lag(n_children) {N}) AS known_children, lag(n_children) {N}) - lag(n_children, 2) {N}) AS children_change, round(avg(active_children) {_over(5)}, 6) AS recent_active_children,
-  pos AS n_history, round(avg(CASE WHEN items > 0 THEN 1.0 ELSE 0.0 END) {_over(5)}, 6) AS purchase_frequency_5, pos - max(CASE WHEN items > 0 THEN pos END) {N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cycles_since_purchase FROM t""", "panel", NODES))
-def node_features(base):
-    return hierarchy.node_features(_tree(base))
+  pos AS n_history, round(avg(CASE WHEN items > 0 THEN 1.0 ELSE 0.0 END) {_over(5)}, 6) AS purchase_frequency_5, pos - max(CASE WHEN items > 0 THEN pos END) {N} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cycles_since_purchase FROM t""", "panel", NODES), of=tables.item_panel)
+def node_features(p):
+    return hierarchy.node_features(_tree(p))
 
 
 SHARES = """
@@ -226,9 +226,9 @@ v3 AS (SELECT s.node, s.level, value * share AS value FROM shares s JOIN v2 v ON
 values_down AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2 UNION ALL SELECT * FROM v3)"""
 
 
-def _down(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _down(p: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tree, and shares and values passed down for its last cycle from those before it."""
-    tree = _tree(base).checkpoint()  # read once per level below
+    tree = _tree(p).checkpoint()  # read once per level below
     last = tree.agg(F.max("opening_date").alias("_d"))
     past = tree.crossJoin(F.broadcast(last)).where("opening_date < _d").drop("_d")
     shares = hierarchy.historical_shares(past).checkpoint()
@@ -236,23 +236,23 @@ def _down(base: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tree, shares, hierarchy.distribute(roots, shares)
 
 
-@query("historical_shares", sql("SELECT node, parent, level, round(share, 6) AS share FROM shares", "panel", NODES, SHARES))
-def historical(base):
-    return _down(base)[1]
+@query("historical_shares", sql("SELECT node, parent, level, round(share, 6) AS share FROM shares", "panel", NODES, SHARES), of=tables.item_panel)
+def historical(p):
+    return _down(p)[1]
 
 
-@query("distribute_topdown", sql("SELECT node, level, round(value, 6) AS value FROM values_down", "panel", NODES, SHARES))
-def distributed(base):
-    return _down(base)[2]
+@query("distribute_topdown", sql("SELECT node, level, round(value, 6) AS value FROM values_down", "panel", NODES, SHARES), of=tables.item_panel)
+def distributed(p):
+    return _down(p)[2]
 
 
 @query("coherence_check", sql("""
 WITH up AS (SELECT DISTINCT node, parent FROM nodes), v AS (SELECT v.node, parent, value + CASE WHEN level = 'management' AND v.node LIKE '%-1"]' THEN 1 ELSE 0 END AS value FROM values_down v JOIN up USING (node)),
 c AS (SELECT parent AS node, sum(value) AS children FROM v WHERE parent <> '' GROUP BY parent)
-SELECT node, round(value, 6) AS value, round(children, 6) AS children FROM v JOIN c USING (node) WHERE abs(value - children) > 1e-6""", "panel", NODES, SHARES))
-def coherence(base):
+SELECT node, round(value, 6) AS value, round(children, 6) AS children FROM v JOIN c USING (node) WHERE abs(value - children) > 1e-6""", "panel", NODES, SHARES), of=tables.item_panel)
+def coherence(p):
     """Of values passed down, some of which were raised by one afterwards: these and their parents don't add up."""
-    _, shares, values = _down(base)
+    _, shares, values = _down(p)
     raised = (F.col("level") == "management") & F.col("node").endswith('-1"]')
     faulty = values.withColumn("value", F.col("value") + raised.cast("int"))
     return hierarchy.incoherent(faulty.join(shares.select("node", "parent"), "node", "left").fillna("", ["parent"]))
@@ -262,9 +262,9 @@ def coherence(base):
 WITH t AS (SELECT node, level, items AS actual FROM nodes WHERE opening_date = (SELECT d FROM last_cycle)),
 j AS (SELECT coalesce(t.level, v.level) AS level, coalesce(actual, 0) AS actual, value, value IS NOT NULL AS has FROM t FULL JOIN values_down v ON v.node = t.node)
 SELECT level, count(*) AS n, CAST(sum(CASE WHEN has THEN 1 ELSE 0 END) AS BIGINT) AS covered, round(avg(CASE WHEN has THEN abs(actual - value) END), 6) AS mae, round(sum(CASE WHEN has THEN abs(actual - value) END) / nullif(sum(CASE WHEN has THEN actual END), 0), 6) AS wmape
-FROM j GROUP BY GROUPING SETS ((), (level))""", "panel", NODES, SHARES))
-def hierarchy_metrics(base):
-    tree, _, values = _down(base)
+FROM j GROUP BY GROUPING SETS ((), (level))""", "panel", NODES, SHARES), of=tables.item_panel)
+def hierarchy_metrics(p):
+    tree, _, values = _down(p)
     last = tree.agg(F.max("opening_date").alias("opening_date"))
     actual = tree.join(F.broadcast(last), "opening_date", "left_semi").select("node", F.col("level").alias("l1"), F.col("items").cast("double").alias("actual"))
     joined = actual.join(values.select("node", F.col("level").alias("l2"), "value"), "node", "full_outer").select(F.coalesce("l1", "l2").alias("level"), F.coalesce("actual", F.lit(0.0)).alias("actual"), "value")
@@ -273,14 +273,14 @@ def hierarchy_metrics(base):
     return found.select("level", "n", "covered", "mae", "wmape")
 
 
-@query("summing_edges", sql("SELECT DISTINCT node AS leaf, a AS ancestor FROM (SELECT DISTINCT " + PATHS["city"] + " AS node, unnest([" + ", ".join(PATHS.values()) + "]) AS a FROM panel)", "panel"))
-def summing(base):
-    return hierarchy.edges(hierarchy.node_totals(panel.item_panel(base).checkpoint()).checkpoint())
+@query("summing_edges", sql("SELECT DISTINCT node AS leaf, a AS ancestor FROM (SELECT DISTINCT " + PATHS["city"] + " AS node, unnest([" + ", ".join(PATHS.values()) + "]) AS a FROM panel)", "panel"), of=tables.item_panel)
+def summing(p):
+    return hierarchy.edges(hierarchy.node_totals(p).checkpoint())
 
 
-@query("nnls_reconcile")
-def reconciled(base):
-    tree, shares, values = _down(base)
+@query("nnls_reconcile", of=tables.item_panel)
+def reconciled(p):
+    tree, shares, values = _down(p)
     spread = tree.groupBy("node").agg(F.greatest(F.coalesce(F.stddev_samp("items"), F.lit(1.0)), F.lit(1.0)).alias("scale"))
     averages = tree.groupBy("node", "parent", "level").agg(F.avg("items").cast("double").alias("value"))
     base_rows = averages.join(values.select("node"), "node", "left_semi").join(spread, "node")
