@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,32 @@ def release() -> None:
         trim(0)
 
 
+#: What ``kept`` holds in this Python worker.
+_KEPT: list = []
+
+
+def kept(function: Callable) -> Callable:
+    """``function`` with its last result kept in the worker for later tasks.
+
+    Workers outlive a query's stages, so to make a result drops what other functions have kept: a tokenizer
+    doesn't stand beside the language models of a stage before.
+    """
+    cache = lru_cache(maxsize=1)(function)
+    _KEPT.append(cache)
+
+    @wraps(function)
+    def call(*args):
+        others = [c for c in _KEPT if c is not cache and c.cache_info().currsize]
+        for other in others:
+            other.cache_clear()
+        if others:
+            release()
+        return cache(*args)
+
+    call.cache_info = cache.cache_info
+    return call
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Applies ``function`` to each Arrow batch of ``df``."""
 

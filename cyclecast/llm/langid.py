@@ -14,7 +14,6 @@ import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import islice
 from math import log
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclecast.llm.common import fresh, map_batches
+from cyclecast.llm.common import fresh, kept, map_batches
 
 #: Characters of a context are at most one less.
 ORDER = 5
@@ -366,7 +365,7 @@ def learn(labelled: DataFrame) -> Model:
     return model
 
 
-@lru_cache(maxsize=1)
+@kept
 def _scorer(packed: bytes) -> Scorer:
     return Scorer(pickle.loads(packed))
 

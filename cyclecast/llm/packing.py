@@ -14,7 +14,6 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cyclecast.llm.bpe import read_ranks, text_of
+from cyclecast.llm.common import kept, release
 
 WINDOW = 1024
 END = 0
@@ -76,7 +76,7 @@ def added_tokens(path: str) -> dict[str, int]:
     return {token["content"]: token["id"] for token in found}
 
 
-@lru_cache(maxsize=2)
+@kept
 def _encoder(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The encoder of a worker, and whether each id ends a sentence."""
     ranks, added = read_ranks(path), added_tokens(path)
@@ -165,6 +165,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, id_col:
                     yield out(pieces)
         if pieces := list(packer.plan(last=True)):
             yield out(pieces)
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return narrow.sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
