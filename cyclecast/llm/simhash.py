@@ -165,8 +165,8 @@ BLOCK, SMALL = 1024, 64
 SKETCHED, SKETCH_BITS = 50_000, 2048
 #: Ids that may be broadcast (some 10 MB), so that texts don't move to meet them.
 FEW = 500_000
-#: Pairs that a row tries with one other component, after those of ``link_wide``; at last all of them.
-TRIES = (16, BLOCK)
+#: Bits of the smaller sketch that goes with the rarest shingles of a set, and residues by which they are counted.
+TOKEN_BITS, COUNTED = 512, 1 << 20
 
 
 def wide_plan(n: int) -> tuple[int, int]:
@@ -360,58 +360,53 @@ def _bucket_links(radius: int):
     return run
 
 
-def _least(i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
-    """Which pairs are among the first ``limit`` of their (i, j)."""
-    order = np.lexsort((j, i))
-    i, j = i[order], j[order]
-    starts = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-    rank = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
-    kept = np.empty(len(i), bool)
-    kept[order] = rank < limit
-    return kept
+def _allowed(m, n):
+    """Most hashes that lie in one alone of two alike sets of ``m`` and ``n``."""
+    return (DENOMINATOR - NUMERATOR) * (m + n) // (DENOMINATOR + NUMERATOR)
 
 
-def _bucket_pairs(radius: int, limit: int):
-    """Per bucket sorted by label: pairs of rows with different labels; in buckets of over ``SMALL`` rows,
-    of a row and a label ``limit`` in two blocks, from ``limit`` BLOCK on all. Blocks of one label aren't
-    compared.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = [np.empty(0, np.int64)] * 4, None
-        for batch in batches:
-            key, *columns = (np.asarray(c) for c in batch.columns)
-            node, label = columns[0], columns[3]
-            i, j, others = _together(key, np.stack(columns[1:3], 1).view(np.uint64), last, radius)
-            apart = label[i] != label[j]
-            a, b = [node[i[apart]]], [node[j[apart]]]
-            for begin, end in others:
-                if key[begin] != last:
-                    own = [c[:0] for c in columns]
-                last = key[begin]
-                for at in range(begin, end, BLOCK):
-                    base = len(own[0])
-                    own = [np.concatenate([o, c[at : min(at + BLOCK, end)]]) for o, c in zip(own, columns)]
-                    node, label = own[0], own[3]
-                    f = np.stack(own[1:3], 1).view(np.uint64)
-                    for low in [base, *range(0, base, BLOCK)]:
-                        high = len(node) if low == base else min(low + BLOCK, base)
-                        if label[low] == label[-1]:  # in order: so are all between
-                            continue
-                        i, j = _near(f[base:], f[low:high], radius)
-                        i, j = i + base, j + low
-                        open_ = (i > j) & (label[i] != label[j])
-                        i, j = i[open_], j[open_]
-                        if len(i):
-                            few = _least(i, label[j], limit) & _least(j, label[i], limit)
-                            a.append(node[i[few]])
-                            b.append(node[j[few]])
-            last = key[-1]
-            a, b = np.concatenate(a), np.concatenate(b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _token_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shingle, sorted by label: the pairs of rows with different labels that size and sketch don't rule out.
 
-    return run
+    Rows are (key, label, node, size, sketch). Blocks of one label aren't compared, so a large group of true
+    copies costs its rows.
+    """
+    own, last = None, None
+    for batch in batches:
+        key, label, node, size = (np.asarray(c) for c in batch.columns[:4])
+        sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+        found = []
+        cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        goes_on = np.r_[key[0] == last, np.zeros(len(cuts) - 2, bool)]
+        ends = np.arange(len(cuts) - 1) == len(cuts) - 2  # may go on in the next batch
+        for c in np.flatnonzero((np.diff(cuts) > 1) | goes_on | ends):
+            rows = slice(cuts[c], cuts[c + 1])
+            new = [label[rows], node[rows], size[rows], sketch[rows]]
+            own = [np.concatenate(x) for x in zip(own, new)] if goes_on[c] else new
+            for at in range(len(own[0]) - len(new[0]), len(own[0]), BLOCK):
+                to = min(at + BLOCK, len(own[0]))
+                for low in range(0, to, BLOCK):
+                    high = min(low + BLOCK, to)
+                    if own[0][low] != own[0][to - 1]:  # in order: else so are all between
+                        i, j = _unlike_labels([x[at:to] for x in own], [x[low:high] for x in own])
+                        found.append(np.stack([own[1][at + i], own[1][low + j]], 1))
+        last = key[-1]
+        pairs = np.concatenate(found) if found else ()
+        if len(pairs):
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
+
+
+def _unlike_labels(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y, both (label, node, size, sketch), of the pairs that may be alike under different labels."""
+    m, n = x[2][:, None], y[2][None, :]
+    open_ = (x[0][:, None] != y[0][None, :]) & (DENOMINATOR * np.minimum(m, n) >= NUMERATOR * np.maximum(m, n))
+    i, j = np.nonzero(open_)
+    apart = np.zeros(len(i), np.int64)
+    for word in range(x[3].shape[1]):
+        apart += np.bitwise_count(x[3][i, word] ^ y[3][j, word])
+    near = apart <= _allowed(x[2][i], y[2][j])
+    return i[near], j[near]
 
 
 def _meet(rows: DataFrame, function, plan: tuple[int, int], *others: str, balls: bool = True) -> DataFrame:
@@ -460,10 +455,15 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common)
 
 
+def _parities(found: np.ndarray, bits: int) -> bytes:
+    """For each of so many residues whether an odd number of the hashes have it."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sketch(found: np.ndarray) -> bytes:
-    """The size of a set of shingles, and for each of ``SKETCH_BITS`` residues whether an odd number of its hashes have it."""
-    odd = np.bincount((found % SKETCH_BITS).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.uint64(len(found)).tobytes() + np.packbits(odd.astype(np.uint8)).tobytes()
+    """The size of a set of shingles, and its parities for ``SKETCH_BITS`` residues."""
+    return np.uint64(len(found)).tobytes() + _parities(found, SKETCH_BITS)
 
 
 def _of_texts(docs: DataFrame, asked: DataFrame, words: int, name: str, function) -> DataFrame:
@@ -471,15 +471,55 @@ def _of_texts(docs: DataFrame, asked: DataFrame, words: int, name: str, function
 
     Texts stay where they are: a bitmap tells which of them are asked for (and lets a few more through).
     """
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap(asked))
+    def run(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([nodes, pa.array([function(x) for x in sets], pa.binary())], ["node", name])
+
+    held = _map_sets(docs, docs.sparkSession.sparkContext.broadcast(bitmap(asked)), words, run, f"node long, {name} binary")
+    return held.groupBy("node").agg(F.collect_set(name).alias(name))
+
+
+def _map_sets(docs: DataFrame, filter_, words: int, function, schema: str) -> DataFrame:
+    """``function`` on the doc_ids and sets of shingles of the texts that the broadcast bitmap lets through."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = batch.filter(pa.array([in_bitmap(filter_.value, n) for n in batch.column(0).to_pylist()], pa.bool_()))
-        found = [function(shingle_set(t.as_py(), words)) for t in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", name])
+        return function(batch.column(0), [shingle_set(t.as_py(), words) for t in batch.column(1)])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return map_batches(texts, run, f"node long, {name} binary").groupBy("node").agg(F.collect_set(name).alias(name))
+    return map_batches(texts, run, schema)
+
+
+def sharing_rare(docs: DataFrame, rest: DataFrame, words: int) -> DataFrame:
+    """The pairs ``(a, b)`` of ``rest(node, label)`` with different labels that may be alike: all that are, and few more.
+
+    Of two alike sets each has at least the share N / D in the other. So in any one order of all shingles their
+    first ones meet: of n the first n - ceil(n * N / D) + 1. The order is rarest first, by counts in ``COUNTED``
+    residues, so that what a large group has in common comes last and its unlike texts seldom meet.
+    """
+    context = docs.sparkSession.sparkContext
+    filter_ = context.broadcast(bitmap(rest.select(F.col("node").alias("key"))))
+
+    def residues(_: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]) % np.uint64(COUNTED), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n)], ["at", "n"])
+
+    found = _map_sets(docs, filter_, words, residues, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTED, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    often = context.broadcast(counts)
+
+    def first(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        rarest = []
+        for x in sets:
+            order = np.lexsort((x, often.value[(x % np.uint64(COUNTED)).astype(np.int64)]))
+            rarest.append(x[order[: len(x) - -(-NUMERATOR * len(x) // DENOMINATOR) + 1]].view(np.int64))
+        columns = [pa.array(rarest, pa.list_(pa.int64())), pa.array([len(x) for x in sets], pa.int64()), pa.array([_parities(x, TOKEN_BITS) for x in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays([nodes, *columns], ["node", "keys", "size", "sketch"])
+
+    sets = _map_sets(docs, filter_, words, first, "node long, keys array<long>, size long, sketch binary").join(rest, "node")
+    rows = sets.select(F.explode("keys").alias("key"), "label", "node", "size", "sketch").repartition("key")
+    pairs = rows.sortWithinPartitions("key", "label", "node").mapInArrow(_token_pairs, "a long, b long")
+    return pairs.where("a <> b").distinct()
 
 
 def _both(pairs: DataFrame, held: DataFrame, name: str, alike) -> DataFrame:
@@ -499,8 +539,7 @@ def _maybe_alike(x: np.ndarray, y: np.ndarray) -> bool:
     So sketches differ in at most as many bits as hashes lie in one set alone, and of alike sets these are
     at most the share 1 - 2 * N / (N + D) of both sizes.
     """
-    apart = int(np.bitwise_count(x[1:] ^ y[1:]).sum())
-    return (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * int(x[0] + y[0])
+    return int(np.bitwise_count(x[1:] ^ y[1:]).sum()) <= _allowed(int(x[0]), int(y[0]))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -518,38 +557,46 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     return _both(pairs, _of_texts(docs, _ends(pairs), words, "set", np.ndarray.tobytes), "set", _alike)
 
 
+def _labelled(unique: DataFrame, links: DataFrame) -> DataFrame:
+    """``unique`` with the component of its node as ``label``, the node itself if no link has it."""
+    return unique.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _parted(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The labels of the ends of the ``pairs`` that no link connects."""
+    of = lambda end: labelled.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")).distinct()
+    failed = pairs.join(of("a"), "a").join(of("b"), "b").where("a_label <> b_label")
+    return failed.select(F.explode(F.array("a_label", "b_label")).alias("label")).distinct()
+
+
 def link_alike(docs: DataFrame, unique: DataFrame, words: int, plan: tuple[int, int], radius: int = WIDE_RADIUS) -> DataFrame:
     """Verified links that connect all near pairs of ``unique`` whose shingles are alike.
 
     First rows meet in the segments without balls and each is linked to the earliest near one it meets
-    there, so that a large group of near copies hangs together by a link a row. Then all meet in the
-    balls, where only rows that no verified link connects yet are linked: what meets there is as before,
-    but the group brings few further links. Where a candidate fails, so that its ends stay apart, further
-    pairs of the parts are tried, at last all that meet; so no failed candidate hides a true one, and
-    groups of true copies, which the first links connect, are never paired.
+    there, so that a large group of near copies hangs together by a link a row. Rows with the label of an end
+    of a candidate that fails are dense: near in their fingerprints and unlike. Then all meet in the balls,
+    where only rows that neither a verified link nor being dense connects are linked. A near pair that meets
+    is thus connected by links, by failed candidates and by dense rows; if links alone don't connect it, both
+    ends have the label of a dense row or of a failed candidate's end. The rows of these labels are the rest,
+    whose alike pairs ``sharing_rare`` finds without loss. So no failed candidate hides a true one, and unlike
+    rows of a large group are never paired by their fingerprints.
     """
     first = _meet(unique, _bucket_links(radius), plan, balls=False).groupBy("a").agg(F.min("b").alias("b")).checkpoint()
     known = verified(docs, first, words).checkpoint()
-    labelled = unique.join(components(known), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    pairs = _meet(labelled, _bucket_links(radius), plan, "label").join(first, ["a", "b"], "left_anti").checkpoint()
+    labelled = _labelled(unique, known).checkpoint()
+    dense = labelled.join(_parted(first, labelled), "label", "left_semi").select("node", F.col("label").alias("dense")).distinct().checkpoint()
+    one = dense.agg(F.min("dense")).first()[0]
+    met = labelled.join(dense, "node", "left").withColumn("label", F.when(F.col("dense").isNull(), F.col("label")).otherwise(F.lit(one))).drop("dense")
+    pairs = _meet(met, _bucket_links(radius), plan, "label").join(first, ["a", "b"], "left_anti").checkpoint()
     links = known.union(verified(docs, pairs, words)).checkpoint()
-    pairs = first.union(pairs)
-    if pairs.count() == links.count():
+    tried = first.union(pairs)
+    if tried.count() == links.count():
         return links
-    groups = components(pairs).checkpoint()
-    for limit in TRIES:
-        labels = components(links).checkpoint()
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
-        ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        failed = ends.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-        parted = failed.select(F.col("a").alias("node")).join(groups, "node").select("component").distinct()
-        rest = groups.join(parted, "component", "left_semi").select("node")
-        rest = unique.join(rest, "node").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        more = _meet(rest, _bucket_pairs(radius, limit), plan, "label").join(pairs, ["a", "b"], "left_anti").checkpoint()
-        if more.isEmpty():
-            break
-        links, pairs = links.union(verified(docs, more, words)).checkpoint(), pairs.union(more)
-    return links
+    labels = _labelled(unique.select("node").distinct(), links).checkpoint()
+    parted = _parted(tried, labels).union(labels.join(dense, "node", "left_semi").select("label")).distinct()
+    rest = labels.join(parted, "label", "left_semi").select("node", "label").checkpoint()
+    more = sharing_rare(docs, rest, words).join(tried, ["a", "b"], "left_anti").checkpoint()
+    return links.union(verified(docs, more, words)).checkpoint()
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:

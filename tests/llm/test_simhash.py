@@ -226,3 +226,34 @@ def test_sketches_keep_alike_pairs_of_any_size(spark, monkeypatch):
     few = {r.b for r in simhash.verified(docs, pairs, 5).collect()}
     monkeypatch.setattr(simhash, "SKETCHED", 0)
     assert {r.b for r in simhash.verified(docs, pairs, 5).collect()} == few == {2 * i for i in range(len(texts))}
+
+
+def test_unlike_texts_of_a_large_group_are_not_paired(spark, monkeypatch):
+    """Equal fingerprints, most pairs between 0.4 and 0.75, a few alike: few pairs are tried, no alike one is missed."""
+    common.prepare(spark)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(240):
+        words = list(texts[-1]) if k and k % 3 == 0 else list(base)
+        for at in rnd.sample(range(150), 5 if k % 3 else 1) if k else ():
+            words[at] = f"x{k}-{at}"
+        texts.append(words)
+    sets = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
+    alike = [(i, j) for i in range(240) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rest = spark.createDataFrame([(i, i) for i in range(240)], "node long, label long")
+    assert {(r.a, r.b) for r in simhash.sharing_rare(docs, rest, 5).collect()} >= set(alike)
+    tried, verified = [], simhash.verified
+
+    def counted(docs, pairs, words):
+        tried.append(pairs.count())
+        return verified(docs, pairs, words)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    near = spark.createDataFrame([(i, 0, 0) for i in range(240)], "node long, f0 long, f1 long")
+    found = {r.node: r.component for r in common.components(simhash.link_alike(docs, near, 5, (16, 4))).collect()}
+    root = simhash._labels(240, *np.array(alike).T)
+    assert [found.get(i, i) for i in range(240)] == root.tolist() and 20 < len(set(root.tolist())) < 240
+    assert sum(tried) < 5 * 240, tried
